@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat_format, license_scan, mixing, packing
+from kerbline.llm import chat_format, lang_id, license_scan, mixing, packing
 from kerbline.llm.shared import columns, table
 
 
+def _fold(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those outside the fold that is held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs.where(_fold(4) != 2))
+    return lang_id.predict(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of every document."""
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
@@ -33,7 +44,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_license_scan, op4_chat_format, op7_packing, op8_mixing)}
+    return {f.__name__: f for f in (op2_language_id, op3_license_scan, op4_chat_format, op7_packing, op8_mixing)}
 
 
 def _controls(x: str) -> str:
