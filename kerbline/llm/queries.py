@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat_format, lang_id, license_scan, mixing, packing
+from kerbline.llm import chat_format, lang_id, license_scan, lm_score, mixing, packing
 from kerbline.llm.shared import columns, table
 
 
@@ -13,6 +13,13 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document by a model learnt from those outside the fold that is held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = lm_score.score(docs, _fold(5) != 1)
+    return found.select("doc_id", (_fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those outside the fold that is held out."""
     docs = table(spark, sf_dir, "documents")
@@ -44,7 +51,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_license_scan, op4_chat_format, op7_packing, op8_mixing)}
+    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_license_scan, op4_chat_format, op7_packing, op8_mixing)}
 
 
 def _controls(x: str) -> str:
