@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat_format, lang_id, license_scan, lm_score, mixing, packing
+from kerbline.llm import chat_format, lang_id, license_scan, lm_score, minhash, mixing, packing
 from kerbline.llm.shared import columns, table
 
 
@@ -50,8 +50,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).drop("sources", "source")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on shingles of two words."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_license_scan, op4_chat_format, op7_packing, op8_mixing)}
+    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_license_scan, op4_chat_format, op7_packing, op8_mixing, op9_minhash)}
 
 
 def _controls(x: str) -> str:
@@ -105,5 +110,30 @@ mixed AS (
 OP8_SQL = f"WITH {mixing_sql('documents').strip()} SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken FROM mixed"
 
 
+def near_duplicate_sql(docs: str, k: int) -> str:
+    """CTEs over ``docs`` (doc_id, text) that end in components(doc_id, n_shingles, component_id, kept)."""
+    grams = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return f"""
+split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM {docs}),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, CASE WHEN len(w) < {k} THEN array_to_string(w, ' ') ELSE {grams} END AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {k} + 2))) AS i FROM split WHERE len(w) > 0))),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT a, b FROM sides UNION SELECT r.a, s.b FROM reached r JOIN sides s ON r.b = s.a),
+components AS (
+  SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id, d.doc_id <= coalesce(min(r.b), d.doc_id) AS kept
+  FROM {docs} d LEFT JOIN sizes z USING (doc_id) LEFT JOIN reached r ON r.a = d.doc_id GROUP BY d.doc_id)"""
+
+
+OP9_SQL = f"WITH RECURSIVE {near_duplicate_sql('documents', 2).strip()} SELECT * FROM components"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op8_mixing": OP8_SQL}
+    return {"op4_chat_format": OP4_SQL, "op8_mixing": OP8_SQL, "op9_minhash": OP9_SQL}
