@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat_format, lang_id, license_scan, lm_score, minhash, mixing, packing
+from kerbline.llm import chat_format, lang_id, license_scan, lm_score, minhash, mixing, neighbours, packing, vector_dedup
 from kerbline.llm.shared import columns, table
 
 
@@ -40,6 +40,16 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings."""
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all embeddings for each whose id is divisible by 50."""
+    return neighbours.search(neighbours.index(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, 5)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in full sequences of at most 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -56,7 +66,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_license_scan, op4_chat_format, op7_packing, op8_mixing, op9_minhash)}
+    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_license_scan, op4_chat_format, op5_vector_dedup, op6_neighbours, op7_packing, op8_mixing, op9_minhash)}
 
 
 def _controls(x: str) -> str:
@@ -110,6 +120,40 @@ mixed AS (
 OP8_SQL = f"WITH {mixing_sql('documents').strip()} SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken FROM mixed"
 
 
+def _sequential_sum(x: str) -> str:
+    return f"list_reduce({x}, lambda a, b: a + b)"
+
+
+_VECTORS = f"""
+usable AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+normed AS (SELECT vec_id, x, sqrt({_sequential_sum("list_transform(x, lambda c: c * c)")}) AS n FROM usable)"""
+
+
+def _cosine(p: str, q: str) -> str:
+    return f"{_sequential_sum(f'list_transform(list_zip({p}.x, {q}.x), lambda c: c[1] * c[2])')} / ({p}.n * {q}.n)"
+
+
+OP5_SQL = f"""
+WITH RECURSIVE {_VECTORS.strip()},
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM normed p JOIN normed q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) WHERE {_cosine("p", "q")} >= 0.95),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, s.b FROM reached r JOIN links s ON r.b = s.a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, least(e.vec_id, coalesce(m.low, e.vec_id)) AS component_id, e.vec_id <= coalesce(m.low, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN (SELECT a, min(b) AS low FROM reached GROUP BY a) m ON m.a = e.vec_id
+"""
+
+OP6_SQL = f"""
+WITH {_VECTORS.strip()},
+scored AS (
+  SELECT p.vec_id AS query_id, q.vec_id, {_cosine("p", "q")} AS score
+  FROM normed p JOIN normed q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) WHERE p.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def near_duplicate_sql(docs: str, k: int) -> str:
     """CTEs over ``docs`` (doc_id, text) that end in components(doc_id, n_shingles, component_id, kept)."""
     grams = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
@@ -136,4 +180,4 @@ OP9_SQL = f"WITH RECURSIVE {near_duplicate_sql('documents', 2).strip()} SELECT *
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op8_mixing": OP8_SQL, "op9_minhash": OP9_SQL}
+    return {"op4_chat_format": OP4_SQL, "op5_vector_dedup": OP5_SQL, "op6_neighbours": OP6_SQL, "op8_mixing": OP8_SQL, "op9_minhash": OP9_SQL}
