@@ -234,3 +234,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "cross_entropy": pd.Series([x[2] for x in found], dtype="Float64"), "rejected": [x[3] for x in found]})
 
     return columns(docs, "doc_id", "text").selectExpr("cast(doc_id as string) doc_id", "text").mapInPandas(task, SCHEMA)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) that ``predict`` doesn't reject, as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def accepts(text: pd.Series) -> pd.Series:
+        return pd.Series([not sent.value.predict(x)[3] for x in text.tolist()], dtype=bool)
+
+    return docs.where(accepts("text"))

@@ -240,3 +240,20 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, least: tuple[int, int] =
     out = sketches.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, **options: object) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with one row of each near-duplicate component, the one with the least id.
+
+    Of rows that repeat an id the least stays, in the order of their columns; rows with a null id stay.
+    """
+    found = stored(near_duplicates(docs, **options).where("doc_id is not null"), "minhash-found")
+    gone = found.where("not kept").select("doc_id").distinct()
+    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # A million ids are 8 MB; with more, the rows are sent to the ids.
+    small = lambda ids: F.broadcast(ids) if ids.count() <= 1_000_000 else ids
+    again = small(again)
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    once = kept.join(again, "doc_id", "left_anti").select(docs.columns)
+    least = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    return once.unionByName(least)

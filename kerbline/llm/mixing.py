@@ -147,3 +147,10 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """``mix`` of documents that belong to the one source of their ``source`` column."""
     docs = columns(docs, "doc_id", "text", "source")
     return mix(docs, F.array(F.col("source").cast("string")), word_count(F.col("text")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), also=["source"], **options)
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` (doc_id, text, source and any other columns) with each row as often as the mix takes it, which may be never."""
+    whole = docs.select("doc_id", F.struct("*").alias("row"))
+    found = mix(whole, F.array(F.col("row.source").cast("string")), word_count(F.col("row.text")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), also=["row"], **options)
+    return found.where("taken > 0").select("row", F.explode(F.sequence(F.lit(1), F.expr("cast(taken div size as int)")))).select("row.*")

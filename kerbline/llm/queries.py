@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat_format, lang_id, license_scan, lm_score, minhash, mixing, neighbours, packing, vector_dedup
+from kerbline.llm import chat_format, lang_id, license_scan, lm_score, minhash, mixing, neighbours, packing, token_counts, vector_dedup
 from kerbline.llm.shared import columns, table
 
 
@@ -65,8 +65,13 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files written for all documents."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_license_scan, op4_chat_format, op5_vector_dedup, op6_neighbours, op7_packing, op8_mixing, op9_minhash)}
+    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_license_scan, op4_chat_format, op5_vector_dedup, op6_neighbours, op7_packing, op8_mixing, op9_minhash, op10_token_counts)}
 
 
 def _controls(x: str) -> str:
