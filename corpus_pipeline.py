@@ -1,8 +1,42 @@
 """A training-data pipeline of four stages; each works on what the stage before it kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kerbline.llm import lang_id, minhash, mixing, packing
+from kerbline.llm.shared import stored, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; without text or letters, or unlike all of them, they go."""
+    return lang_id.accepted(docs, lang_id.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with similar sets of shingles of five words."""
+    return minhash.deduplicated(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in full sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("mixture", mixture), ("sequences", sequences)]
+
+#: The stages run models, hash minima and a tokenizer, which SQL can't express: tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
