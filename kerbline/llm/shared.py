@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -56,8 +57,10 @@ def text_batches(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]
 
 def released(spark: SparkSession) -> None:
     """Lets Spark's context cleaner remove the shuffle files of steps whose results are stored, instead of at some later time."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first may come before the listeners have let go of the last plan
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def block_count(df: DataFrame, block_bytes: int) -> int:
