@@ -3,10 +3,9 @@
 Documents with the same set of shingles are one class; everything after works on classes. Classes that share a band are in
 one bucket. First each member of a bucket is compared with the bucket's leader, which joins groups of close copies with
 one comparison for each member. Members of a bucket that are then still in another component than its leader are compared
-with all others of the bucket, blockwise and on signatures: each names its nearest few that it hasn't been compared with,
-and this is repeated until none is left. So every pair of different components that shares a band is looked at, no matter
-how large the bucket, and no pair within a component is. Signatures only reject, with a margin of six standard deviations;
-a link is always confirmed on the full sets.
+with all others of the bucket, in blocks of bounded size. So every pair of different components that shares a band is
+looked at, no matter how large the bucket. Signatures only reject, with a margin of six standard deviations; a link is
+always confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -30,8 +29,8 @@ LEAST = (80, 100)
 SHINGLE = 5
 #: Standard deviations below the limit at which a signature rejects a pair.
 SIGMAS = 6.0
-#: Rows of a block, partners that a row names in a block and round, and members of a leader that one task compares.
-BLOCK, NAMED, CHUNK = 1024, 8, 512
+#: Rows of a block on either side, and members of a leader that one task compares.
+BLOCK, CHUNK = 1024, 512
 
 
 def universal(n: int, seed: int = 20_240_601) -> tuple[np.ndarray, np.ndarray]:
@@ -124,29 +123,33 @@ def _cut(n: int, least: tuple[int, int]) -> float:
     return s - SIGMAS * np.sqrt(s * (1 - s) / n)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are as similar as a link asks.
-
-    Only texts of classes in some pair are read in full. The members of a leader a are dealt out in chunks, each with the
-    leader's set in front, and compared one by one as they stream by.
-    """
-    spark = docs.sparkSession
-    heads = pairs.groupBy("a").count().where(f"count > {CHUNK}").select("a", F.ceil(F.col("count") / CHUNK).alias("n"))
-    dealt = pairs.join(heads, "a", "left").withColumn("chunk", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("n")))).select("a", "b", "chunk")
-    dealt = stored(dealt.select("a", "chunk", F.col("b").alias("cid")).unionByName(dealt.select("a", "chunk", F.col("a").alias("cid")).distinct()), "minhash-dealt")
-    wanted = stored(dealt.select("cid").distinct().join(classes.select("cid", "rep"), "cid"), "minhash-wanted")
+def _sets_of(cids: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """cid and shingles (sorted, as bytes) of the given classes: the texts of their first documents are read again."""
+    wanted = stored(cids.join(classes.select("cid", "rep"), "cid"), "minhash-wanted")
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
     # A million ids are 8 MB; with more, the texts are sent to the ids.
     ids = F.broadcast(ids) if wanted.count() <= 1_000_000 else ids
-    texts = docs.join(ids, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [(class_key(x)[0], x.tobytes()) for _, x in _sets(batch["text"].tolist(), k) if len(x)]
             yield pd.DataFrame(found, columns=["cid", "shingles"])
 
-    # A row of the same id may hold another text; of rows of one class any will do.
-    full = texts.select("text").mapInPandas(sets, "cid long, shingles binary").join(dealt, "cid")
+    # Rows that repeat an id give one set for each of their texts, and equal texts one.
+    found = docs.join(ids, "doc_id", "left_semi").select("text").mapInPandas(sets, "cid long, shingles binary")
+    return found.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("shingles").alias("shingles"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are as similar as a link asks.
+
+    Only texts of classes in some pair are read in full. The members of a leader a are dealt out in chunks, each with the
+    leader's set in front, and compared one by one as they stream by.
+    """
+    heads = pairs.groupBy("a").count().where(f"count > {CHUNK}").select("a", F.ceil(F.col("count") / CHUNK).alias("n"))
+    dealt = pairs.join(heads, "a", "left").withColumn("chunk", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("n")))).select("a", "b", "chunk")
+    dealt = stored(dealt.select("a", "chunk", F.col("b").alias("cid")).unionByName(dealt.select("a", "chunk", F.col("a").alias("cid")).distinct()), "minhash-dealt")
+    full = _sets_of(dealt.select("cid").distinct(), docs, classes, k).join(dealt, "cid")
     full = full.withColumn("member", F.col("cid") != F.col("a")).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member", "cid")
     top, of = least
 
@@ -166,41 +169,84 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, le
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     found = stored(full.select("a", "chunk", "member", "cid", "shingles").mapInPandas(compare, "a long, b long").distinct(), "minhash-links")
-    released(spark)
+    released(docs.sparkSession)
     dropped(dealt)
-    dropped(wanted)
     return found
 
 
-def _named(active: DataFrame, labels: DataFrame, classes: DataFrame, tried: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """New pairs to confirm: members of a bucket in another component than its leader, each with its nearest in other components."""
+def _candidates(rows: pd.DataFrame, least: tuple[int, int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a block's rows that ask: the positions of those in other components that the signatures don't rule out, nearest first.
+
+    A pair that shares several bands is looked at in the first of them.
+    """
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+    bands = np.stack(rows["bands"].to_numpy())
+    own, asks, key = rows["own"].to_numpy(), rows["asks"].to_numpy(bool), rows["key"].iat[0]
+    there = np.flatnonzero(~asks)
+    cut = _cut(sig.shape[1], least)
+    for i in np.flatnonzero(asks):
+        at = there[own[there] != own[i]]
+        alike = (sig[at] == sig[i]).mean(axis=1)
+        at, alike = at[alike >= cut], alike[alike >= cut]
+        if len(at):
+            same = bands[at] == bands[i]
+            first = bands[i][same.argmax(axis=1)] == key
+            at, alike = at[first], alike[first]
+            yield i, at[np.argsort(-alike, kind="stable")]
+
+
+def _across(active: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between classes of a bucket that are in different components.
+
+    Members in another component than their bucket's leader are compared with all of the bucket, in blocks. A first pass
+    keeps the rows that have a candidate by their signatures; only their sets are fetched, and the second pass confirms
+    pairs on them, nearest first, unless the two have been joined meanwhile. It emits a spanning forest, never all pairs.
+    """
     label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
     rows = active.join(label("cid"), "cid", "left").join(label("leader"), "leader", "left").select("key", "cid", F.coalesce("cid_in", "cid").alias("own"), F.coalesce("leader_in", "leader").alias("lead"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.count(F.when(F.col("own") != F.col("lead"), 1)).alias("others")).where("others > 0 and m > 2")
-    rows = rows.join(sizes, "key").join(classes.select("cid", "sig"), "cid").withColumn("other", F.col("own") != F.col("lead"))
-    met = tried.groupBy("cid").agg(F.collect_set("partner").alias("met"))
-    rows = rows.join(met, "cid", "left").withColumn("i", F.ceil(F.col("others") / BLOCK)).withColumn("j", F.ceil(F.col("m") / BLOCK))
+    rows = rows.join(sizes, "key").withColumn("other", F.col("own") != F.col("lead")).withColumn("i", F.ceil(F.col("others") / BLOCK)).withColumn("j", F.ceil(F.col("m") / BLOCK))
+    rows = rows.join(classes.select("cid", "sig", "bands"), "cid")
     spot = lambda n: F.pmod(F.xxhash64("cid"), F.col(n))
-    left = rows.where("other").withColumn("at_i", spot("i")).withColumn("at_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("j") - 1))).withColumn("asks", F.lit(True))
-    right = rows.withColumn("at_j", spot("j")).withColumn("at_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("i") - 1))).withColumn("asks", F.lit(False)).withColumn("met", F.lit(None).cast("array<long>"))
-    names = ["key", "at_i", "at_j", "asks", "cid", "own", "sig", "met"]
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy(bool)
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        cid, own, met = pdf["cid"].to_numpy(), pdf["own"].to_numpy(), pdf["met"].to_numpy()
-        cut, out = _cut(sig.shape[1], least), []
-        y = sig[~asks]
-        for i in np.flatnonzero(asks):
-            alike = (y == sig[i]).mean(axis=1)
-            alike[own[~asks] == own[i]] = 0
-            if met[i] is not None:
-                alike[np.isin(cid[~asks], met[i])] = 0
-            best = np.argsort(-alike, kind="stable")[:NAMED]
-            out += [(cid[i], other) for other in cid[~asks][best[alike[best] >= cut]]]
-        return pd.DataFrame(out, columns=["cid", "partner"]).astype("int64")
-
-    return left.select(names).unionByName(right.select(names)).groupBy("key", "at_i", "at_j").applyInPandas(block, "cid long, partner long").distinct()
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.where("other").withColumn("at_i", spot("i")).withColumn("at_j", every("j")).withColumn("asks", F.lit(True))
+    right = rows.withColumn("at_j", spot("j")).withColumn("at_i", every("i")).withColumn("asks", F.lit(False))
+    names, keys = ["key", "at_i", "at_j", "asks", "cid", "own", "sig", "bands"], ["key", "at_i", "at_j"]
+
+    def screen(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = np.zeros(len(pdf), bool)
+        for i, at in _candidates(pdf, least):
+            kept[i] |= len(at) > 0
+            kept[at] = True
+        return pdf.loc[kept, [*keys, "asks", "cid", "own"]]
+
+    screened = left.select(names).unionByName(right.select(names)).groupBy(*keys).applyInPandas(screen, "key long, at_i long, at_j long, asks boolean, cid long, own long")
+    screened = stored(screened, "minhash-screened")
+    released(docs.sparkSession)
+    sets = stored(_sets_of(screened.select("cid").distinct(), docs, classes, k), "minhash-sets")
+    top, of = least
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets_ = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        cid, own, out = pdf["cid"].to_numpy(), pdf["own"].to_numpy().copy(), []
+        for i, at in _candidates(pdf, least):
+            x = sets_[i]
+            for s in range(0, len(at), 64):
+                some = at[s : s + 64][own[at[s : s + 64]] != own[i]]
+                if not len(some):
+                    continue
+                sizes_ = np.array([len(sets_[y]) for y in some])
+                flat = np.concatenate([sets_[y] for y in some])
+                hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes_) - sizes_)
+                for y in some[of * both >= top * (len(x) + sizes_ - both)]:
+                    if own[y] != own[i]:
+                        out.append((cid[i], cid[y]))
+                        own[own == own[y]] = own[i]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    full = screened.join(sets, "cid").join(classes.select("cid", "sig", "bands"), "cid").select(*names, "shingles")
+    return full.groupBy(*keys).applyInPandas(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, least: tuple[int, int] = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -222,16 +268,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, least: tuple[int, int] =
     active = stored(keys.join(buckets, "key").select("key", "leader", "cid"), "minhash-buckets")
     released(spark)
     pairs = stored(active.where("cid != leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), "minhash-pairs")
-    tried = pairs.select(F.col("b").alias("cid"), F.col("a").alias("partner"))
     links = _confirmed(stored(_agreeing(pairs, classes, least), "minhash-agreeing"), docs, classes, k, least)
-    while True:
-        labels = components(links)
-        fresh = stored(_named(active, labels, classes, tried, least), "minhash-named")
-        if fresh.isEmpty():
-            break
-        tried = tried.unionByName(fresh)
-        pairs = fresh.select(F.least("cid", "partner").alias("a"), F.greatest("cid", "partner").alias("b")).distinct()
-        links = stored(links.unionByName(_confirmed(pairs, docs, classes, k, least)).distinct(), "minhash-all-links")
+    links = stored(links.unionByName(_across(active, components(links), docs, classes, k, least)), "minhash-all-links")
     # Back to documents: a class's members hang on its first, and linked classes are joined by their firsts.
     first = classes.select("cid", "rep")
     within = sketches.join(classes.where("rep != last").select("cid", "rep"), "cid").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

@@ -1,11 +1,29 @@
-"""Named queries over the test tables and their SQL."""
+"""Named queries over the test tables and their SQL. A query's name is that of the operator it shows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def added(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return added
+
+
+def queries() -> dict[str, Callable]:
+    from kerbline.plans import lookups, rules, streams, text, traffic, travel  # noqa: F401  they register themselves
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    queries()
+    return dict(SQL)
