@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -44,45 +46,74 @@ def _translated(c: Column, table: dict[str, str]) -> Column:
     return F.translate(c, "".join(table), "".join(table.values()))
 
 
-def _candidate(cleaned: Column, order: int, kind: str, template: str) -> Column:
-    """The reading of a cleaned text by one template: (cost, order, format, text, corrections), null if it can't be read so."""
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _char(cleaned: Column, template: Column, i: Column) -> Column:
+    """The character at place i and what the template makes of it."""
+    want, was = F.substring(template, i + 1, F.lit(1)), F.substring(cleaned, i + 1, F.lit(1))
+    digit = want == "D"
+    kept = F.when(digit, was.rlike("[0-9]")).otherwise(was.rlike("[A-Z]"))
+    now = F.when(kept, was).when(digit, _translated(was, LETTER_TO_DIGIT)).otherwise(_translated(was, DIGIT_TO_LETTER))
+    return F.struct(i.alias("position"), was.alias("was"), now.alias("now"), F.when(digit, "digit-expected").otherwise("letter-expected").alias("reason"))
+
 
-    def char(i: Column) -> Column:
-        was, want = F.substring(cleaned, i + 1, F.lit(1)), F.substring(F.lit(template), i + 1, F.lit(1))
-        now = F.when(want == "D", _translated(was, LETTER_TO_DIGIT)).otherwise(_translated(was, DIGIT_TO_LETTER))
-        now = F.when((want == "D") & was.rlike("[0-9]") | (want == "L") & was.rlike("[A-Z]"), was).otherwise(now)
-        fits = F.when(want == "D", now.rlike("[0-9]")).otherwise(now.rlike("[A-Z]"))
-        reason = F.when(want == "D", "digit-expected").otherwise("letter-expected")
-        return F.struct(i.alias("position"), was.alias("was"), now.alias("now"), reason.alias("reason"), fits.alias("fits"))
+def _state_repair(text: Column) -> Column:
+    """struct(state, correction) that makes the first two letters a known state by one swap, the first letter's before the second's; null if they are one or none does."""
+    trials = []
+    for i in (0, 1):
+        was = F.substring(text, i + 1, 1)
+        now = _translated(was, STATE_REPAIR)
+        state = F.concat(now, F.substring(text, 2, 1)) if i == 0 else F.concat(F.substring(text, 1, 1), now)
+        trials.append(F.struct(state.alias("state"), F.struct(F.lit(i).alias("position"), was.alias("was"), now.alias("now"), F.lit("state-code").alias("reason")).alias("how")))
+    fits = F.filter(F.array(*trials), lambda x: (x["how"]["was"] != x["how"]["now"]) & x["state"].isin(STATES))
+    return F.when(~F.substring(text, 1, 2).isin(STATES), F.get(fits, F.lit(0)))
 
-    chars = F.transform(F.sequence(F.lit(0), F.lit(len(template) - 1)), char)
+
+def _reading(template: Column, chars: Column) -> Column:
+    """What a template that fits makes of a text: struct(cost, order, format, text, corrections)."""
+    bharat, delhi = template["format"] == "bharat", template["format"] == "delhi"
+    changed = F.filter(chars, lambda c: c["was"] != c["now"])
     text = F.array_join(F.transform(chars, lambda c: c["now"]), "")
-    changed = F.transform(F.filter(chars, lambda c: c["was"] != c["now"]), lambda c: F.struct(c["position"].alias("position"), c["was"].alias("was"), c["now"].alias("now"), c["reason"].alias("reason")))
-    cost = F.size(changed).cast("double")
-    if kind != "bharat":
-        repaired = F.lit(None)
-        for i in (1, 0):
-            was = F.substring(text, i + 1, 1)
-            now = _translated(was, STATE_REPAIR)
-            trial = F.concat(now, F.substring(text, 2, 1)) if i == 0 else F.concat(F.substring(text, 1, 1), now)
-            fix = F.struct(trial.alias("state"), F.struct(F.lit(i).alias("position"), was.alias("was"), now.alias("now"), F.lit("state-code").alias("reason")).alias("how"))
-            repaired = F.when((was != now) & trial.isin(STATES), fix).otherwise(repaired)
-        repaired = F.when(F.substring(text, 1, 2).isin(STATES), F.lit(None)).otherwise(repaired)
-        changed = F.when(repaired.isNull(), changed).otherwise(F.concat(changed, F.array(repaired["how"])))
-        text = F.when(repaired.isNull(), text).otherwise(F.concat(repaired["state"], F.substring(text, 3, 1 << 20)))
-        cost = cost + F.when(F.substring(text, 1, 2).isin(STATES), 0.0).otherwise(UNKNOWN_STATE_COST)
-        if kind == "delhi":
-            cost = cost + F.when(text.startswith("DL"), 0.0).otherwise(NOT_DELHI_COST)
-    found = F.struct(cost.alias("cost"), F.lit(order).alias("order"), F.lit(kind).alias("format"), text.alias("text"), changed.alias("corrections"))
-    return F.when((F.length(cleaned) == len(template)) & F.forall(chars, lambda c: c["fits"]), found)
+
+    def read(x: Column) -> Column:
+        fix = F.when(~bharat, _state_repair(x["text"]))
+        return _let(F.struct(x["text"].alias("text"), x["changed"].alias("changed"), fix.alias("fix")), repaired)
+
+    def repaired(x: Column) -> Column:
+        now = F.when(x["fix"].isNull(), x["text"]).otherwise(F.concat(x["fix"]["state"], F.substring(x["text"], 3, 1 << 20)))
+        hows = F.when(x["fix"].isNull(), x["changed"]).otherwise(F.concat(x["changed"], F.array(x["fix"]["how"])))
+        unknown = F.when(bharat | F.substring(now, 1, 2).isin(STATES), 0.0).otherwise(UNKNOWN_STATE_COST)
+        abroad = F.when(delhi & ~now.startswith("DL"), NOT_DELHI_COST).otherwise(0.0)
+        return F.struct((F.size(x["changed"]) + unknown + abroad).alias("cost"), template["order"].alias("order"), template["format"].alias("format"), now.alias("text"), hows.alias("corrections"))
+
+    return _let(F.struct(text.alias("text"), changed.alias("changed")), read)
 
 
 def normalised(raw: Column) -> Column:
     """struct(cleaned, normalized, is_valid, format, corrections): the cheapest template, the earlier of equals."""
-    cleaned = clean(raw)
-    best = F.array_min(F.array(*[_candidate(cleaned, i, kind, t) for i, (kind, t) in enumerate(TEMPLATES)]))
-    text = F.coalesce(best["text"], cleaned)
-    return F.struct(cleaned.alias("cleaned"), text.alias("normalized"), (best.isNotNull() & is_valid(text)).alias("is_valid"), best["format"].alias("format"), best["corrections"].alias("corrections"))
+    every = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(kind).alias("format"), F.lit(t).alias("template")) for i, (kind, t) in enumerate(TEMPLATES)])
+
+    def chars(cleaned: Column, t: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.length(t["template"]) - 1), lambda i: _char(cleaned, t["template"], i))
+
+    def fits(t: Column, c: Column) -> Column:
+        want = F.substring(t["template"], c["position"] + 1, F.lit(1))
+        return F.when(want == "D", c["now"].rlike("[0-9]")).otherwise(c["now"].rlike("[A-Z]"))
+
+    def best(cleaned: Column) -> Column:
+        long_enough = F.filter(every, lambda t: F.length(t["template"]) == F.length(cleaned))
+        read = F.transform(long_enough, lambda t: _let(chars(cleaned, t), lambda c: F.when(F.forall(c, lambda x: fits(t, x)), _reading(t, c))))
+        return _let(F.struct(cleaned.alias("cleaned"), F.array_min(read).alias("best")), chosen)
+
+    def chosen(x: Column) -> Column:
+        text = F.coalesce(x["best"]["text"], x["cleaned"])
+        valid = x["best"].isNotNull() & is_valid(text)
+        return F.struct(x["cleaned"].alias("cleaned"), text.alias("normalized"), valid.alias("is_valid"), x["best"]["format"].alias("format"), x["best"]["corrections"].alias("corrections"))
+
+    return _let(clean(raw), best)
 
 
 _COST = np.ones((128, 128))

@@ -11,7 +11,8 @@ LIGHT_OR_HEAVY = ["car", "truck", "bus"]
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+    """x within the limits; null stays null, which least and greatest alone would skip."""
+    return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
 
 
 def weighted_mean(parts: dict[str, tuple[Column | float, Column]]) -> Column:

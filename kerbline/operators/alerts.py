@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kerbline.operators.folds import min_separation, trailing
+
 #: Severity and cooldown of each rule.
 RULES = {
     "WATCHLIST_MATCH": ("MEDIUM", 120), "REPEATED_SIGHTING": ("LOW", 1800), "IMPOSSIBLE_TRAVEL": ("HIGH", 600), "WRONG_WAY": ("HIGH", 60), "SEVERE_CONGESTION": ("MEDIUM", 900),
@@ -43,16 +45,12 @@ def impossible_travel(obs: DataFrame, paths: DataFrame, max_ratio: float = 0.6,
 
 def repeated_counts(obs: DataFrame, key: list[str], window_s: int = 1800) -> DataFrame:
     """Sightings of the key in the trailing window, each itself included."""
-    trailing = Window.partitionBy(*key).orderBy(F.col("t").cast("long")).rangeBetween(-window_s, 0)
-    return obs.withColumn("recent", F.count("*").over(trailing))
+    return trailing(obs, key, window_s, {"recent": "count(*)"}, "cast(floor(t) as double)")
 
 
 def repeated_sightings(obs: DataFrame, key: list[str], window_s: float = 1800, least: int = 3, apart_s: float = 60) -> DataFrame:
     """Sightings with which a key has ``least`` passages, ``apart_s`` apart, in the trailing window."""
-    from kerbline.operators.folds import min_separation
-
-    order = Window.partitionBy(*key).orderBy(F.col("t").cast("double")).rangeBetween(-window_s, 0.0)
-    out = obs.withColumn("times", F.array_sort(F.collect_list("t").over(order)))
+    out = trailing(obs, key, window_s, {"times": "collect_list(t)"}).withColumn("times", F.array_sort("times"))
     return out.withColumn("passages", F.size(min_separation(F.col("times"), apart_s))).drop("times").where(F.col("passages") >= least)
 
 

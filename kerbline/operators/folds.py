@@ -113,3 +113,17 @@ def ema(df: DataFrame, key: str, value: str, keep: float, chunk_s: float) -> Dat
     # Starting from the first value, averaging it in once more changes nothing.
     in_order = F.array_sort(F.collect_list(F.struct("_chunk", "_n", "_s")))
     return parts.groupBy(key).agg(in_order.alias("_parts")).join(firsts, key).select(key, F.aggregate("_parts", F.col("_first").cast("double"), lambda e, p: F.pow(F.lit(keep), p["_n"]) * e + p["_s"]).alias("ema"))
+
+
+def trailing(df: DataFrame, keys: list[str], window_s: float, aggregates: dict[str, str], at: str = "t") -> DataFrame:
+    """``df`` with aggregates (name to SQL) over the rows of its keys in the ``window_s`` before each row, itself included.
+
+    Time is cut into spans of the window's length, and each row also goes to the span after its own, where it only serves
+    the windows of others. So a hot key is spread over its spans, for twice the rows, and no task holds all its time.
+    """
+    width = float(window_s)
+    span = F.floor(F.col("_at") / width)
+    rows = df.withColumn("_at", F.expr(at).cast("double")).withColumn("_span", F.explode(F.array(span, span + 1)))
+    over = f"(PARTITION BY {', '.join(keys)}, _span ORDER BY _at RANGE BETWEEN CAST({width} AS DOUBLE) PRECEDING AND CURRENT ROW)"
+    found = rows.withColumns({name: F.expr(f"{sql} OVER {over}") for name, sql in aggregates.items()})
+    return found.where(F.col("_span") == F.floor(F.col("_at") / width)).drop("_at", "_span")

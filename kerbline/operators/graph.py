@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kerbline.sources.lineage import cut
+
 #: Metres a second at best and usually.
 FASTEST_M_S, USUAL_M_S = 25.0, 8.33
 
@@ -42,7 +44,7 @@ def shortest_paths(edges: DataFrame, cost: str = "distance_m", max_hops: int = 6
 
     from_id, to_id, cost, cameras, hops, skipped (cameras between), and the path's distance, least and usual time. Ties go
     to the path that comes first. Each round extends the best paths so far by an edge: a road network's diameter bounds
-    the rounds, and a round's table holds one path for each pair.
+    the rounds, and a round's table, which is written, holds one path for each pair.
     """
     measures = ("distance_m", "min_travel_s", "typical_travel_s")
     hop = edges.where("allowed").select("from_id", "to_id", F.col(cost).cast("double").alias("c"), *measures)
@@ -51,12 +53,12 @@ def shortest_paths(edges: DataFrame, cost: str = "distance_m", max_hops: int = 6
     def least(paths: DataFrame) -> DataFrame:
         return paths.groupBy("from_id", "to_id").agg(F.min(F.struct("cost", "cameras", *measures)).alias("p")).select("from_id", "to_id", "p.*")
 
-    best = paths = least(best)
+    best = paths = cut(least(best))
     for _ in range(max_hops - 1):
         ends = paths.where("from_id <> to_id").select("from_id", F.col("to_id").alias("via"), "cost", "cameras", *[F.col(m).alias(f"{m}_0") for m in measures])
         step = ends.join(hop.withColumnRenamed("from_id", "via"), "via").where((F.col("to_id") == F.col("from_id")) | ~F.array_contains("cameras", F.col("to_id")))
         paths = step.select("from_id", "to_id", (F.col("cost") + F.col("c")).alias("cost"), F.concat("cameras", F.array("to_id")).alias("cameras"), *[(F.col(f"{m}_0") + F.col(m)).alias(m) for m in measures])
-        best = paths = least(best.unionByName(paths))
+        best = paths = cut(least(best.unionByName(paths)))
     hops = F.size("cameras") - 1
     return best.withColumn("hops", hops).withColumn("skipped", F.when(hops > 1, F.slice("cameras", 2, hops - 1)).otherwise(F.array().cast("array<string>")))
 
@@ -69,6 +71,7 @@ def corridor(edges: DataFrame, base: DataFrame, scores: DataFrame, origin: str,
     """
     timed = edges.where("allowed").join(base.select("from_id", "to_id", "seconds"), ["from_id", "to_id"], "left").join(scores.select(F.col("camera_id").alias("to_id"), "score", "level"), "to_id", "left")
     timed = timed.withColumn("seconds", F.coalesce("seconds", "typical_travel_s")).withColumn("load_cost", F.col("seconds") * (1 + F.coalesce("score", F.lit(0.0)) / 100))
+    timed = cut(timed)
     path = shortest_paths(timed, "load_cost", max_hops).where((F.col("from_id") == origin) & (F.col("to_id") == destination))
     steps = path.select(F.posexplode("cameras").alias("position", "camera_id")).withColumn("previous", F.lag("camera_id").over(Window.orderBy("position")))
     steps = steps.join(timed.select(F.col("from_id").alias("previous"), F.col("to_id").alias("camera_id"), "seconds", "min_travel_s", "score", "level"), ["previous", "camera_id"], "left")

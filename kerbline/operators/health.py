@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kerbline.operators.folds import trailing
+
 
 def fps(frames: DataFrame, window_s: int = 5) -> DataFrame:
     """Frames a second over the trailing window: its frames but the first by its span."""
-    trailing = Window.partitionBy("camera_id").orderBy(F.col("t").cast("double")).rangeBetween(-float(window_s), 0.0)
-    n, span = F.count("*").over(trailing), F.col("t") - F.min("t").over(trailing)
-    return frames.withColumn("fps", F.when(span > 0, F.round((n - 1) / span, 4)).otherwise(0.0))
+    found = trailing(frames, ["camera_id"], window_s, {"_n": "count(*)", "_first": "min(t)"})
+    span = F.col("t") - F.col("_first")
+    return found.withColumn("fps", F.when(span > 0, F.round((F.col("_n") - 1) / span, 4)).otherwise(0.0)).drop("_n", "_first")
 
 
 def counter_deltas(samples: DataFrame, counter: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kerbline.functions import plates
 from kerbline.operators import alerts, folds, search
 
 from kerbline.plans.registry import query
@@ -101,14 +102,20 @@ def flt_watchlist_active(spark, sf_dir):
     return search.active_entries(entries(spark), T.NOW).select("entry_id")
 
 
-#: Each listed plate is within the distance of the plates that differ from it by these confusable characters alone.
-@query(T.with_("obs") + f""", {_ENTRIES_SQL}, near AS (SELECT 1 AS entry_id, 'UP32AB0017' AS plate, 0.0::DOUBLE AS distance UNION ALL SELECT 2, 'UP32AB0008', 0.7 UNION ALL SELECT 3, 'UP32AB0101', 0.35)
+#: Plates are as long as the listed ones, and an insertion costs 1: within 0.8 only swaps of confusable characters are left.
+_NEAR_SQL = f"""{_ENTRIES_SQL}, listed AS (SELECT * FROM entries WHERE active AND (expires_s IS NULL OR expires_s > {T.NOW})), plates AS (SELECT DISTINCT plate FROM obs WHERE plate IS NOT NULL),
+near AS (SELECT entry_id, plate, round(d, 2) AS distance FROM (SELECT l.entry_id, l.match_mode, p.plate,
+    list_sum(list_transform(range(1, 11), lambda i: CASE WHEN l.plate[i] = p.plate[i] THEN 0 WHEN list_contains({sorted(plates.CONFUSABLE)}, l.plate[i] || p.plate[i]) OR list_contains({sorted(plates.CONFUSABLE)}, p.plate[i] || l.plate[i]) THEN 0.35 ELSE 1 END))::DOUBLE AS d
+  FROM listed l, plates p) WHERE d = 0 OR match_mode = 'fuzzy' AND d <= 0.8)"""
+
+
+@query(T.with_("obs") + f""", {_NEAR_SQL}
 SELECT event_id, entry_id, distance FROM obs JOIN near USING (plate)""")
 def jn_watchlist(spark, sf_dir):
     return search.watchlist_matches(T.observations(spark, sf_dir), search.active_entries(entries(spark), T.NOW), 0.8).select("event_id", "entry_id", "distance")
 
 
-@query(T.with_("obs") + f""", near AS (SELECT 1 AS entry_id, 'UP32AB0017' AS plate UNION ALL SELECT 2, 'UP32AB0008' UNION ALL SELECT 3, 'UP32AB0101')
+@query(T.with_("obs") + f""", {_NEAR_SQL}
 SELECT event_id, entry_id FROM obs JOIN near USING (plate) WHERE t >= {T.NOW - 20 * 86400} QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY t DESC, event_id DESC) <= 10""")
 def jn_retrospective(spark, sf_dir):
     return search.retrospective(T.observations(spark, sf_dir), search.active_entries(entries(spark), T.NOW), T.NOW - 20 * 86_400, 0.8, 10).select("event_id", "entry_id")
