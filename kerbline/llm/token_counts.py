@@ -8,6 +8,7 @@ then stitches documents that cross blocks: it carries the tokens since the last
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -26,6 +27,12 @@ SEPARATOR = 0
 BLOCK = 1 << 18
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether rows come straight from files. A shuffle may deal them otherwise each time that it is run, by the columns that it carries."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")
+    return all(re.match(r"[\s:+-]*(Project|Filter|Relation)\b", x) for x in lines)
+
+
 def write_flat(docs: DataFrame, path: str, json_path: str | None = None, rank_path: str | None = None) -> DataFrame:
     """Writes the token ids of ``docs`` (doc_id, text) as flat files below ``path``; returns doc_id, file number and place there.
 
@@ -34,6 +41,8 @@ def write_flat(docs: DataFrame, path: str, json_path: str | None = None, rank_pa
     """
     json_path, rank_path = (json_path, rank_path) if json_path and rank_path else vocabulary_paths()
     docs = columns(docs, "doc_id", "text")
+    if not _is_scan(docs):
+        docs = stored(docs, "flat-docs")
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
