@@ -1,13 +1,21 @@
-"""Cutting the lineage of iterative plans by tables in the shared folder."""
+"""Tables in the shared folder: cutting the lineage of iterative plans, and places for results of streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder of ``spark.checkpoint.dir``, which all executors share; where it is unset (tests), below /tmp."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``, which all executors share; where it is unset (tests), below /tmp."""
+    """``df`` written to the shared folder and read from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        context.setCheckpointDir(shared_path(df.sparkSession, "lineage"))
     return df.checkpoint()
