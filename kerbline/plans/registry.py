@@ -19,7 +19,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
-    from kerbline.plans import lookups, rules, streams, text, traffic, travel  # noqa: F401  they register themselves
+    from kerbline.plans import further, lookups, rules, streams, text, traffic, travel  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 
