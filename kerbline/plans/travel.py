@@ -120,6 +120,15 @@ def gr_edge_defaults(spark, sf_dir):
     return graph.with_defaults(bare, both_ways=True).select("from_id", "to_id", F.round("min_travel_s", 4).alias("min_travel_s"), F.round("typical_travel_s", 4).alias("typical_travel_s"), "valid")
 
 
+@query(T.with_("edges", "cameras") + """SELECT e.from_id, e.to_id, a.longitude AS x1, a.latitude AS y1, b.longitude AS x2, b.latitude AS y2, 'LineString' AS kind, distance_m FROM edges e JOIN cameras a ON a.camera_id = e.from_id JOIN cameras b ON b.camera_id = e.to_id""")
+def gr_geojson_fields(spark, sf_dir):
+    """The features of ``gr_geojson`` read back from their text."""
+    found = graph.geojson(T.edges(spark), T.cameras(spark))
+    at = lambda path: F.get_json_object("feature", path)
+    places = {f"{c}{i + 1}": at(f"$.geometry.coordinates[{i}][{j}]").cast("double") for i in (0, 1) for j, c in enumerate("xy")}
+    return found.select("from_id", "to_id", *[v.alias(k) for k, v in places.items()], at("$.geometry.type").alias("kind"), at("$.properties.distance_m").cast("double").alias("distance_m"))
+
+
 @query()
 def gr_geojson(spark, sf_dir):
     return graph.geojson(T.edges(spark), T.cameras(spark))
@@ -135,9 +144,10 @@ def gr_corridor(spark, sf_dir):
     return graph.corridor(T.edges(spark), base, scores, "error", "signup")
 
 
-@query()
+#: Of the ways from view to purchase: avoiding click the direct one is left, and avoiding signup too, so it is given once.
+@query(T.with_("edges") + "SELECT 'view>purchase' AS cameras, 'click' AS avoids, typical_travel_s AS cost, distance_m FROM edges WHERE from_id = 'view' AND to_id = 'purchase'")
 def gr_alternatives(spark, sf_dir):
-    return graph.alternatives(T.edges(spark), "typical_travel_s", "error", "purchase", ["error", "view", "purchase"]).withColumn("cameras", F.array_join("cameras", ">"))
+    return graph.alternatives(T.edges(spark), "typical_travel_s", "view", "purchase", ["view", "click", "signup", "purchase"]).withColumn("cameras", F.array_join("cameras", ">"))
 
 
 _TRANSITIONS = "transitions AS (SELECT from_camera_id AS from_id, camera_id AS to_id, count(*) AS n FROM points WHERE from_camera_id IS NOT NULL AND from_camera_id <> camera_id GROUP BY ALL)"
