@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import plates
 from kerbline.operators import alerts, folds, search
-
 from kerbline.plans.registry import query
 from kerbline.plans.traffic import _BASELINE, _ratios
 from kerbline.sources import tables as T
