@@ -39,31 +39,33 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return out.join(into, "camera_id", "full").select("camera_id", F.coalesce("outgoing", empty).alias("outgoing"), F.coalesce("incoming", empty).alias("incoming"))
 
 
-def shortest_paths(edges: DataFrame, cost: str = "distance_m", max_hops: int = 6) -> DataFrame:
-    """The cheapest allowed path between any two cameras (and loop back to each), of at most ``max_hops`` hops.
+def shortest_paths(edges: DataFrame, cost: str = "distance_m", max_hops: int | None = None) -> DataFrame:
+    """The cheapest allowed path between any two cameras (and loop back to each), of any number of hops or at most ``max_hops``.
 
     from_id, to_id, cost, cameras, hops, skipped (cameras between), and the path's distance, least and usual time. Ties go
-    to the path that comes first. Each round extends the best paths so far by an edge: a road network's diameter bounds
-    the rounds, and a round's table, which is written, holds one path for each pair.
+    to the path that comes first. Each round extends the paths that the last one found or improved by an edge, until a
+    round improves none: a road network's diameter bounds the rounds, and a round's table, which is written, holds one
+    path for each pair.
     """
     measures = ("distance_m", "min_travel_s", "typical_travel_s")
     hop = edges.where("allowed").select("from_id", "to_id", F.col(cost).cast("double").alias("c"), *measures)
-    best = hop.select("from_id", "to_id", F.col("c").alias("cost"), F.array("from_id", "to_id").alias("cameras"), *measures)
+    best = hop.select("from_id", "to_id", F.col("c").alias("cost"), F.array("from_id", "to_id").alias("cameras"), *measures, F.lit(1).alias("new"))
 
     def least(paths: DataFrame) -> DataFrame:
-        return paths.groupBy("from_id", "to_id").agg(F.min(F.struct("cost", "cameras", *measures)).alias("p")).select("from_id", "to_id", "p.*")
+        # A path found again equals the kept one, which is not new and so comes first.
+        return paths.groupBy("from_id", "to_id").agg(F.min(F.struct("cost", "cameras", *measures, "new")).alias("p")).select("from_id", "to_id", "p.*")
 
-    best = paths = cut(least(best))
-    for _ in range(max_hops - 1):
-        ends = paths.where("from_id <> to_id").select("from_id", F.col("to_id").alias("via"), "cost", "cameras", *[F.col(m).alias(f"{m}_0") for m in measures])
+    best, rounds = cut(least(best)), 1
+    while (max_hops is None or rounds < max_hops) and not best.where("new = 1").isEmpty():
+        ends = best.where("new = 1 and from_id <> to_id").select("from_id", F.col("to_id").alias("via"), "cost", "cameras", *[F.col(m).alias(f"{m}_0") for m in measures])
         step = ends.join(hop.withColumnRenamed("from_id", "via"), "via").where((F.col("to_id") == F.col("from_id")) | ~F.array_contains("cameras", F.col("to_id")))
-        paths = step.select("from_id", "to_id", (F.col("cost") + F.col("c")).alias("cost"), F.concat("cameras", F.array("to_id")).alias("cameras"), *[(F.col(f"{m}_0") + F.col(m)).alias(m) for m in measures])
-        best = paths = cut(least(best.unionByName(paths)))
+        paths = step.select("from_id", "to_id", (F.col("cost") + F.col("c")).alias("cost"), F.concat("cameras", F.array("to_id")).alias("cameras"), *[(F.col(f"{m}_0") + F.col(m)).alias(m) for m in measures], F.lit(1).alias("new"))
+        best, rounds = cut(least(best.withColumn("new", F.lit(0)).unionByName(paths))), rounds + 1
     hops = F.size("cameras") - 1
-    return best.withColumn("hops", hops).withColumn("skipped", F.when(hops > 1, F.slice("cameras", 2, hops - 1)).otherwise(F.array().cast("array<string>")))
+    return best.drop("new").withColumn("hops", hops).withColumn("skipped", F.when(hops > 1, F.slice("cameras", 2, hops - 1)).otherwise(F.array().cast("array<string>")))
 
 
-def corridor(edges: DataFrame, base: DataFrame, scores: DataFrame, origin: str, destination: str, speedup: float = 0.35, max_hops: int = 6) -> DataFrame:
+def corridor(edges: DataFrame, base: DataFrame, scores: DataFrame, origin: str, destination: str, speedup: float = 0.35, max_hops: int | None = None) -> DataFrame:
     """Steps from origin to destination on the path with the least congested time, with arrival times as usual and with priority.
 
     An edge costs its usual seconds times 1 + score / 100 of the camera it leads to. With priority a segment takes
@@ -81,7 +83,7 @@ def corridor(edges: DataFrame, base: DataFrame, scores: DataFrame, origin: str,
     return steps.select("position", "camera_id", F.round(F.sum(F.coalesce("seconds", F.lit(0.0))).over(upto), 1).alias("eta_s"), F.round(F.sum(F.coalesce(fast, F.lit(0.0))).over(upto), 1).alias("eta_with_priority_s"), advice.alias("advice"))
 
 
-def alternatives(edges: DataFrame, cost: str, origin: str, destination: str, primary: list[str], max_hops: int = 6) -> DataFrame:
+def alternatives(edges: DataFrame, cost: str, origin: str, destination: str, primary: list[str], max_hops: int | None = None) -> DataFrame:
     """Paths that avoid one camera between the ends of the primary path each; the same path is returned once."""
     found = None
     for avoided in primary[1:-1]:

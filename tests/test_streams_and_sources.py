@@ -115,3 +115,15 @@ def test_paths_take_the_cheapest_way(spark):
     df = spark.createDataFrame([(*e, e[2], e[2], True) for e in edges], "from_id string, to_id string, distance_m double, min_travel_s double, typical_travel_s double, allowed boolean")
     found = {(r.from_id, r.to_id): (r.cost, r.cameras) for r in graph.shortest_paths(df).collect()}
     assert found["a", "c"] == (2.0, ["a", "b", "c"]) and found["a", "a"] == (3.0, ["a", "b", "c", "a"]) and ("d", "a") not in found
+
+
+def test_paths_and_corridors_have_no_limit_of_hops(spark):
+    # A ring of nine, and a dearer direct way for its first eight hops.
+    edges = [(f"n{i}", f"n{(i + 1) % 9}", 1.0) for i in range(9)] + [("n0", "n8", 20.0)]
+    df = spark.createDataFrame([(*e, e[2], e[2], True) for e in edges], "from_id string, to_id string, distance_m double, min_travel_s double, typical_travel_s double, allowed boolean")
+    found = {(r.from_id, r.to_id): (r.cost, r.hops) for r in graph.shortest_paths(df).collect()}
+    assert found == {(f"n{i}", f"n{j}"): (d, d) for i in range(9) for j in range(9) for d in [(j - i) % 9 or 9]}
+    base = spark.createDataFrame([], "from_id string, to_id string, seconds double")
+    scores = spark.createDataFrame([], "camera_id string, score double, level string")
+    assert [r.camera_id for r in graph.corridor(df, base, scores, "n0", "n7").orderBy("position").collect()] == [f"n{i}" for i in range(8)]
+    assert {r.hops for r in graph.shortest_paths(df, max_hops=2).collect()} == {1, 2}
