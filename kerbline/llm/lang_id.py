@@ -25,6 +25,9 @@ SAMPLE_ROWS, SAMPLE_CHARS = 1200, 20_000
 #: One in so many sampled rows calibrates the rejection instead of fitting. The limit is the quantile of their
 #: cross-entropies plus a margin in nats, wider for short texts.
 CALIBRATE, QUANTILE, MARGIN, SHORT_MARGIN = 5, 0.999, 0.35, 6.0
+#: A limit of a language's own needs so many held-out rows. Of a language with fewer rows than the second number each row
+#: is held out once, by a model of the others.
+LEAST_HELD, FEW_ROWS = 20, 200
 UNDETERMINED = "und"
 SPACE = 32
 SCHEMA = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -180,12 +183,14 @@ def fit(labelled: DataFrame, order: int = ORDER, discount: float = DISCOUNT, sam
 
     About ``sample_rows`` rows of each language are drawn by a hash of the row's id, and so reruns agree. They bound what
     reaches the driver: the n-grams of ``sample_rows`` rows of ``sample_chars`` characters for each language. Longer rows
-    are left out of the sample, unless a language has no others.
+    are left out of the sample, unless a language has no others. Every language gets a finite limit of rejection: that of
+    its own held-out rows, and where these are few, that of all languages' but not below what its own ask for.
     """
     rows = columns(labelled, "doc_id", "text", "lang").where("text is not null and lang is not null")
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("draw")), F.lit(1 << 40)) / float(1 << 40)
     fits = F.length("text") <= sample_chars
     sizes = rows.groupBy("lang").agg(F.count(F.when(fits, 1)).alias("n"), F.count("*").alias("all")).collect()
+    few = {r["lang"] for r in sizes if (r["n"] or r["all"]) < FEW_ROWS}
     share: Column = F.lit(0.0)
     for r in sizes:
         part = F.when(fits, sample_rows / r["n"]).otherwise(0.0) if r["n"] else F.lit(sample_rows / r["all"])
@@ -195,26 +200,46 @@ def fit(labelled: DataFrame, order: int = ORDER, discount: float = DISCOUNT, sam
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (lang, fold), part in batch.groupby(["lang", "fold"]):
-                if fold == 0:
-                    yield pd.DataFrame({"lang": lang, "gram": part["text"], "n": 0})
+                if fold == 0 or lang in few:
+                    yield pd.DataFrame({"lang": lang, "fold": fold, "gram": part["text"], "n": 0})
+                if fold == 0 and lang not in few:
                     continue
                 runs = [np.lib.stride_tricks.sliding_window_view(p, order) for p in map(letters_of, part["text"]) if len(p) >= order]
                 if runs:
                     flat = np.ascontiguousarray(np.concatenate(runs).astype("<u4")).view(f"<U{order}").ravel()
                     gram, n = np.unique(flat, return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": gram.astype(str), "n": n.astype(np.int64)})
-
-    found = sample.select("text", "lang", "fold").mapInPandas(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = {lang: part[part["n"] > 0] for lang, part in found.groupby("lang")}
-    counts = {lang: part for lang, part in counts.items() if len(part)}
-    if not counts:
-        return Model([], [], [], [], np.zeros(0), np.zeros(0))
-    model = Model(*_kneser_ney(counts, order, discount), np.full(len(counts), np.inf))
-    limit = []
-    for lang in model.langs:
-        held = [x for x in (model.predict(t) for t in found.loc[(found["lang"] == lang) & (found["n"] == 0), "gram"]) if x[2] is not None and x[0] == lang]
-        limit.append(np.quantile([x[2] for x in held], QUANTILE) + MARGIN if len(held) >= 20 else np.inf)
-    model.limit = np.array(limit)
+                    yield pd.DataFrame({"lang": lang, "fold": fold if lang in few else 1, "gram": gram.astype(str), "n": n.astype(np.int64)})
+
+    found = sample.select("text", "lang", "fold").mapInPandas(grams, "lang string, fold long, gram string, n long").groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n")).toPandas()
+    in_few = found["lang"].isin(few)
+
+    def learnt(without: int) -> Model:
+        kept = found[(found["n"] > 0) & (found["fold"] != np.where(in_few, without, 0))]
+        counts = dict(iter(kept.groupby("lang")))
+        return Model(*_kneser_ney(counts, order, discount), np.full(len(counts), np.inf)) if counts else Model([], [], [], [], np.zeros(0), np.zeros(0))
+
+    model = learnt(0)
+    if not model.langs:
+        return model
+    held: dict[str, list[float]] = {lang: [] for lang in found["lang"].unique()}
+    for fold in range(CALIBRATE if few else 1):
+        asked = found[(found["n"] == 0) & (found["fold"] == fold) & (in_few if fold else True)]
+        if len(asked):
+            other = learnt(fold) if fold else model
+            for lang, text in zip(asked["lang"], asked["gram"], strict=True):
+                x = other.predict(text)
+                if x[2] is not None and x[0] == lang:
+                    held[lang].append(x[2])
+    pool = [x for own in held.values() for x in own]
+
+    def limit(k: int, own: list[float]) -> float:
+        if len(own) >= LEAST_HELD:
+            return np.quantile(own, QUANTILE) + MARGIN
+        if pool:
+            return max([np.quantile(pool, QUANTILE), *own]) + MARGIN
+        return -0.75 * model.unseen[k]  # nothing to calibrate with: well below what a letter that nobody taught costs
+
+    model.limit = np.array([limit(k, held[lang]) for k, lang in enumerate(model.langs)])
     return model
 
 

@@ -118,6 +118,20 @@ def test_language_of_odd_texts(spark):
     assert lang_id.accepted(documents(spark, rows()), model).columns == documents(spark, rows()).columns
 
 
+def test_unseen_script_is_rejected_with_few_rows(spark, small, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet").where("lang is not null and text is not null")
+    rare = docs.groupBy("lang").count().orderBy("lang").first().lang
+    ids = [r.doc_id for r in docs.where(docs.lang == rare).orderBy("doc_id").limit(15).collect()]
+    one_rare = docs.where((docs.lang != rare) | docs.doc_id.isin(ids))
+    unseen = " ".join(["\u0531\u0574\u0565\u0576 \u0570\u0561\u0580\u0581 \u057a\u0561\u057f\u0561\u057d\u056d\u0561\u0576"] * 12)
+    for table in (one_rare, spark.read.parquet(f"{small}/documents.parquet")):
+        model = lang_id.fit(table)
+        assert np.isfinite(model.limit).all() and model.predict(unseen)[3]
+        # Held-out texts of every language are kept, those of the rare one too where they are told apart.
+        found = [model.predict(r.text) for r in docs.where(~docs.doc_id.isin(ids)).orderBy("doc_id").limit(400).collect()]
+        assert sum(x[3] for x in found) <= 0.02 * len(found)
+
+
 LICENCE = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
