@@ -1,8 +1,9 @@
 """Licence scan: matching statistics of a generalised suffix automaton of licence templates, chained into covered spans.
 
 The automaton holds every run of words of every template. A text is streamed through it word by word; after each word it
-stands at the longest run of words, ending there, that occurs in some template. Long runs are chained, where they follow
-one another in a template with small gaps on both sides, and a chain that covers enough of its template is a hit.
+stands at the longest run of words, ending there, that occurs in some template, and by its suffixes at the longest of each
+template. Long runs of a template are chained, where they follow one another in it with small gaps on both sides, and a
+chain that covers enough of its template is a hit, whatever longer runs of other templates the text holds there.
 """
 
 from __future__ import annotations
@@ -125,27 +126,37 @@ class Scanner:
             if self.auto.link[state] > 0:
                 have = self.phrases[state]
                 have.extend(x for x in self.phrases[self.auto.link[state]] if x not in have)
+        # Of each state, the templates with a run that counts: the longest's words (0: as many as the text has), and where it ends.
+        self.within: list[dict[str, tuple[int, list[int]]]] = [{} for _ in self.auto.length]
+        for state in sorted(range(1, len(self.auto.length)), key=self.auto.length.__getitem__):
+            up = self.auto.link[state]
+            if self.auto.length[up] >= least_run:
+                self.within[state] = {name: (n or self.auto.length[up], at) for name, (n, at) in self.within[up].items()}
+            own: dict[str, tuple[int, list[int]]] = {}
+            for name, at in self.auto.ends[state]:
+                if name not in self.label:
+                    own.setdefault(name, (0, []))[1].append(at)
+            self.within[state] |= own
 
     def scan(self, text: str | None) -> tuple:
         """n_words, base places (label, first word), spans (template, first, last, covered words, cover)."""
         words = WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
-        base, runs, before = [], [], (-2, 0, 0)
+        base, runs = [], []
+        last, growing = -2, {}  # of each template the run that ends at the last word: its words, and where it ends
         for i, state, length in self.auto.matching(words):
             for name, n in self.phrases[state]:
                 if length >= n:
                     base.append((self.label[name], i - n + 1))
-            if before[0] == i - 1 and length == before[2] + 1:
-                before = (i, state, length)
+            if not growing and length < self.least_run:
                 continue
-            if before[2] >= self.least_run:
-                runs.append(before)
-            before = (i, state, length)
-        if before[2] >= self.least_run:
-            runs.append(before)
+            now = {name: (n or length, at) for name, (n, at) in self.within[state].items()} if length >= self.least_run else {}
+            runs += [(last, name, n, at) for name, (n, at) in growing.items() if last != i - 1 or name not in now or now[name][0] != n + 1]
+            last, growing = i, now
+        runs += [(last, name, n, at) for name, (n, at) in growing.items()]
         return len(words), base, self.chained(runs)
 
-    def chained(self, runs: list[tuple[int, int, int]]) -> list[tuple]:
-        """Chains of maximal runs, in order of the text, for each template; those that cover enough of it."""
+    def chained(self, runs: list[tuple[int, str, int, list[int]]]) -> list[tuple]:
+        """Chains of each template's maximal runs (last word, template, words, ends in it), in order of the text; those that cover enough of it."""
         open_: dict[str, list] = {}
         done = []
 
@@ -153,23 +164,17 @@ class Scanner:
             if chain[3] >= self.least_cover * len(self.texts[name]):
                 done.append((name, chain[0], chain[1], chain[3], chain[3] / len(self.texts[name])))
 
-        for i, state, length in runs:
-            here: dict[str, int] = {}
-            for name, at in self.auto.ends[state]:
-                if name not in self.label:
-                    was = open_.get(name)
-                    fits = was is not None and was[2] < at and at - length - was[2] <= self.most_gap and i - length - was[1] <= self.most_gap
-                    if name not in here or fits and at < here[name]:
-                        here[name] = at
-            for name, at in here.items():
-                chain = open_.get(name)
-                if chain and chain[2] < at and at - length - chain[2] <= self.most_gap and -length < i - length - chain[1] <= self.most_gap:
-                    covered = min(length, at - chain[2], i - chain[1])
-                    open_[name] = [chain[0], i, at, chain[3] + covered]
-                else:
-                    if chain:
-                        close(name, chain)
-                    open_[name] = [i - length + 1, i, at, length]
+        for i, name, length, ends in runs:
+            chain = open_.get(name)
+            fitting = [at for at in ends if chain and chain[2] < at and at - length - chain[2] <= self.most_gap and -length < i - length - chain[1] <= self.most_gap]
+            if fitting:
+                at = min(fitting)
+                covered = min(length, at - chain[2], i - chain[1])
+                open_[name] = [chain[0], i, at, chain[3] + covered]
+            else:
+                if chain:
+                    close(name, chain)
+                open_[name] = [i - length + 1, i, ends[0], length]
         for name, chain in open_.items():
             close(name, chain)
         return sorted(done, key=lambda x: (x[1], x[0]))

@@ -158,6 +158,25 @@ def test_matching_statistics_against_search():
     assert {i: n for i, _, n in auto.matching(words)} == {i: n for i, n in want.items() if n}
 
 
+def test_licence_templates_are_found_as_if_each_stood_alone(spark):
+    short = "licensed under the apache license version 2 0 the text of which is elsewhere"
+    assert [(r.labels, r.score) for r in license_scan.scan(documents(spark, [(1, short, "en", "a")])).collect()] == [("apache-2.0-short", 1.0)]
+    rng = np.random.default_rng(5)
+    base = [str(x) for x in rng.integers(0, 9, 40)]
+    texts = {f"t{i}": " ".join(base[a : a + n]) for i, (a, n) in enumerate(zip(rng.integers(0, 25, 8), rng.integers(5, 16, 8), strict=True))}
+    texts["prefix"], texts["inner"] = " ".join(base[:7]), " ".join(base[9:16])
+    args = (license_scan.LEAST_RUN, license_scan.MOST_GAP, license_scan.LEAST_COVER)
+    together, alone = license_scan.Scanner({}, texts, *args), {k: license_scan.Scanner({}, {k: v}, *args) for k, v in texts.items()}
+    hits = 0
+    for _ in range(300):
+        parts = [base[a : a + n] if rng.random() < 0.8 else [str(x) for x in rng.integers(0, 9, 3)] for a, n in zip(rng.integers(0, 30, 4), rng.integers(1, 20, 4), strict=True)]
+        text = " ".join(x for part in parts for x in part)
+        want = sorted((x for k in alone for x in alone[k].scan(text)[2]), key=lambda x: (x[1], x[0]))
+        assert together.scan(text)[2] == want
+        hits += len(want)
+    assert hits > 300
+
+
 def check_packing(found, texts):
     paths = vocabulary_paths()
     ids = {i: [*encode(t, *paths), 0] for i, t in texts.items()}
