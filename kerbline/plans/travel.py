@@ -231,12 +231,13 @@ def _identity_rows(spark, sf_dir):
 alike AS (SELECT event_id, unnest(list(event_id) OVER (PARTITION BY is_demo, plate ORDER BY t, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) AS p_event_id FROM obs WHERE plate IS NOT NULL)
 SELECT * FROM near UNION SELECT * FROM alike""")
 def jn_candidates(spark, sf_dir):
-    return identity.candidates(_identity_rows(spark, sf_dir)).select("event_id", "p_event_id")
+    # Its SQL counts sightings, not vehicles.
+    return identity.candidates(_identity_rows(spark, sf_dir), vehicles=False).select("event_id", "p_event_id")
 
 
 def _scored(spark, sf_dir):
     base = travel.baselines(T.trajectory(spark, sf_dir), T.edges(spark), T.NOW, _BASELINE, _WINDOW)
-    return identity.scored(identity.candidates(_identity_rows(spark, sf_dir), same_plate=2), T.paths(spark), base, T.GAP_S)
+    return identity.scored(identity.candidates(_identity_rows(spark, sf_dir)), T.paths(spark), base, T.GAP_S)
 
 
 @query()

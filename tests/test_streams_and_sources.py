@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from kerbline.functions import plates
-from kerbline.operators import folds, graph
+from kerbline.operators import folds, graph, identity
 from kerbline.sources import network, spool
 from kerbline.streaming import ingest, run, windows
 
@@ -127,3 +127,22 @@ def test_paths_and_corridors_have_no_limit_of_hops(spark):
     scores = spark.createDataFrame([], "camera_id string, score double, level string")
     assert [r.camera_id for r in graph.corridor(df, base, scores, "n0", "n7").orderBy("position").collect()] == [f"n{i}" for i in range(8)]
     assert {r.hops for r in graph.shortest_paths(df, max_hops=2).collect()} == {1, 2}
+
+
+def test_candidates_count_vehicles_not_sightings(spark):
+    # Two vehicles seen 150 times each use up no place of a third seen before them, nor of two sightings without a plate.
+    rows = [(1, False, 10.0, "C"), (2, False, 11.0, None), (3, False, 12.0, None)] + [(10 + i, False, 20.0 + i, "AB"[i % 2]) for i in range(300)] + [(999, False, 400.0, "D")]
+    obs = spark.createDataFrame(rows, "event_id long, scope boolean, t double, plate string")
+    found = identity.candidates(obs).where("event_id = 999").collect()
+    assert sorted(r.p_event_id for r in found) == [1, 2, 3, 308, 309]
+    assert sorted(r.p_event_id for r in identity.candidates(obs, limit=4).where("event_id = 999").collect()) == [2, 3, 308, 309]
+    again = identity.candidates(obs).where("event_id = 309").collect()
+    assert sorted(r.p_event_id for r in again) == [1, 2, 3, 299, 301, 303, 305, 307, 308]  # five back with its plate
+
+
+def test_identity_queries_score_five_candidates_of_a_plate(spark, small):
+    from kerbline.plans import travel
+
+    rows = travel._identity_rows(spark, small)
+    want = {(r.event_id, r.p_event_id) for r in identity.candidates(rows, same_plate=identity.SAME_PLATE).collect()}
+    assert {(r.event_id, r.p_event_id) for r in travel.id_score(spark, small).collect()} == want
