@@ -161,6 +161,18 @@ def ws_filter(spark, sf_dir):
     return search.visible_events(events, ["view", "click", "error"], ["view", "click", "signup"], raw=True).select("event_id", "plate")
 
 
+@query(T.with_("obs") + "SELECT event_id, plate FROM obs WHERE camera_id IN ('view', 'click')")
+def ws_filter_raw(spark, sf_dir):
+    events = T.observations(spark, sf_dir).withColumn("type", F.col("camera_id"))
+    return search.visible_events(events, ["view", "click", "error"], ["view", "click", "signup"], raw=True).select("event_id", "plate")
+
+
+@query(T.with_("obs") + "SELECT event_id, CAST(NULL AS VARCHAR) AS plate FROM obs WHERE camera_id IN ('view', 'click')")
+def ws_filter_blanked(spark, sf_dir):
+    events = T.observations(spark, sf_dir).withColumn("type", F.col("camera_id"))
+    return search.visible_events(events, ["view", "click", "error"], ["view", "click", "signup"], raw=False).select("event_id", "plate")
+
+
 @query(T.with_("obs") + f"SELECT event_id FROM obs WHERE t >= {T.NOW - 14 * 86400}")
 def ret_run(spark, sf_dir):
     obs = T.observations(spark, sf_dir)

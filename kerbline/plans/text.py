@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hmac
+
 from pyspark.sql import functions as F
 
 from kerbline.functions import plates, privacy
@@ -78,6 +80,18 @@ def flt_pseudonym(spark, sf_dir):
     return by_pseudonym(obs, "PSN-AB").select("event_id")
 
 
+#: The first four digits of the hash of a plate that occurs.
+_SOUGHT = hmac.new(KEY, b"UP32AB0008", "sha256").hexdigest()[:4]
+
+
+@query(T.with_("obs") + f"SELECT event_id FROM obs WHERE plate IS NOT NULL AND starts_with({_HMAC}, '{_SOUGHT}')")
+def flt_pseudonym_prefix(spark, sf_dir):
+    from kerbline.operators.search import by_pseudonym
+
+    obs = T.observations(spark, sf_dir).withColumn("plate_hash", privacy.hmac_sha256(F.col("plate"), KEY))
+    return by_pseudonym(obs, f"PSN-{_SOUGHT}").select("event_id")
+
+
 @query(T.with_("obs") + f"SELECT event_id, 'seen ' || 'PSN-' || upper(substr({_HMAC}, 1, 10)) || ' at ' || camera_id AS text FROM obs WHERE plate IS NOT NULL")
 def sec_mask_text(spark, sf_dir):
     text = F.concat(F.lit("seen "), F.regexp_replace("plate", "^(.{4})(.{2})", "$1 $2 "), F.lit(" at "), "camera_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import plates
 from kerbline.operators import folds, graph, identity
+from kerbline.plans import registry
 from kerbline.sources import network, spool
 from kerbline.streaming import ingest, run, windows
 
@@ -146,3 +147,11 @@ def test_identity_queries_score_five_candidates_of_a_plate(spark, small):
     rows = travel._identity_rows(spark, small)
     want = {(r.event_id, r.p_event_id) for r in identity.candidates(rows, same_plate=identity.SAME_PLATE).collect()}
     assert {(r.event_id, r.p_event_id) for r in travel.id_score(spark, small).collect()} == want
+
+
+def test_pseudonym_and_event_filters_find_rows(spark, small):
+    every = registry.queries()
+    assert every["flt_pseudonym_prefix"](spark, small).count() > 0
+    raw, blanked = (every[x](spark, small).collect() for x in ("ws_filter_raw", "ws_filter_blanked"))
+    assert len(raw) == len(blanked) > every["ws_filter"](spark, small).count()
+    assert any(r.plate for r in raw) and not any(r.plate for r in blanked)
