@@ -108,42 +108,41 @@ def lifecycle(actions: DataFrame) -> DataFrame:
     A raise while an alert is open and was updated within the cooldown counts as another occurrence; one within the
     cooldown of an automatic recovery opens that alert again; any other makes a new one. A recovery resolves all open
     alerts of the key. Spark sorts the actions of each key together, and a task folds them as they stream by.
+
+    Only the newest alert of a key can be touched by a raise, since those before it are updated and resolved no later. So
+    it alone is held; one that is still open when the next is made will be resolved by the key's next recovery, whose time
+    each action brings along.
     """
+    names = [x.split()[0] for x in ALERT_SCHEMA.split(", ")]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, alerts, n = None, [], 0
-        names = [x.split()[0] for x in ALERT_SCHEMA.split(", ")]
-
-        def closed(rows: list[dict]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=names)
-
+        key, now = None, None
         for batch in batches:
             done: list[dict] = []
             for r in batch.itertuples():
                 if r.dedup_key != key:
-                    done += alerts
-                    key, alerts, n = r.dedup_key, [], 0
+                    done += [now] if now else []
+                    key, now = r.dedup_key, None
                 if r.action == "resolve":
-                    for a in alerts:
-                        if a["status"] != "RESOLVED":
-                            a |= {"status": "RESOLVED", "resolved_s": r.t}
+                    if now and now["status"] != "RESOLVED":
+                        now |= {"status": "RESOLVED", "resolved_s": r.t}
                     continue
-                since = r.t - r.cooldown_s
-                live = next((a for a in reversed(alerts) if a["status"] != "RESOLVED" and a["updated_s"] >= since), None)
-                again = live or next((a for a in reversed(alerts) if a["status"] == "RESOLVED" and a["resolved_s"] >= since), None)
-                if again:
-                    again["reopened"] += live is None
-                    again |= {"status": "NEW", "resolved_s": None, "updated_s": r.t, "occurrences": again["occurrences"] + 1}
+                open_, since = now and now["status"] != "RESOLVED", r.t - r.cooldown_s
+                if now and now["updated_s" if open_ else "resolved_s"] >= since:
+                    now |= {"status": "NEW", "resolved_s": None, "updated_s": r.t, "occurrences": now["occurrences"] + 1, "reopened": now["reopened"] + (not open_)}
                     continue
-                # An alert that can no longer be touched need not be held; open ones may still be resolved.
-                done += [a for a in alerts if a["status"] == "RESOLVED" and a["resolved_s"] < since]
-                alerts = [a for a in alerts if not (a["status"] == "RESOLVED" and a["resolved_s"] < since)]
-                n += 1
-                alerts.append({"dedup_key": key, "type": r.type, "severity": r.severity, "camera_id": r.camera_id, "n": n, "status": "NEW", "created_s": r.t, "updated_s": r.t, "resolved_s": None, "occurrences": 1, "reopened": 0})
-            yield closed(done)
-        yield closed(alerts)
+                if now:
+                    if open_ and not pd.isna(r.recovery_s):
+                        now |= {"status": "RESOLVED", "resolved_s": r.recovery_s}
+                    done.append(now)
+                now = {"dedup_key": key, "type": r.type, "severity": r.severity, "camera_id": r.camera_id, "n": now["n"] + 1 if now else 1, "status": "NEW", "created_s": r.t, "updated_s": r.t, "resolved_s": None, "occurrences": 1, "reopened": 0}
+            yield pd.DataFrame(done, columns=names)
+        yield pd.DataFrame([now] if now else [], columns=names)
 
     rows = actions.select("dedup_key", "type", "severity", "cooldown_s", "camera_id", "t", "action")
+    # Read backwards, the last recovery so far is the next one.
+    later = Window.partitionBy("dedup_key").orderBy(F.desc("t"), F.desc("action")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("recovery_s", F.min(F.when(F.col("action") == "resolve", F.col("t"))).over(later))
     return rows.repartition("dedup_key").sortWithinPartitions("dedup_key", "t", "action").mapInPandas(task, ALERT_SCHEMA)
 
 
