@@ -64,4 +64,4 @@ def cosine(a: Column, b: Column) -> Column:
 
 def plate_veto(a: Column, b: Column, reliability: Column, distance: Column, similarity: Column) -> Column:
     """Why two reads can't be of one vehicle, null if they can."""
-    return F.when(a == b, None).when((reliability >= 1) & (distance >= 1), "two confident plate reads disagree").when((reliability >= 0.5) & (F.coalesce(similarity, F.lit(0.0)) < 0.5), "plate reads disagree on most characters")
+    return F.when(a == b, None).when((reliability >= 1) & (distance >= 1), "plates_differ").when((reliability >= 0.5) & (F.coalesce(similarity, F.lit(0.0)) < 0.5), "plates_unlike")

@@ -39,17 +39,18 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return out.join(into, "camera_id", "full").select("camera_id", F.coalesce("outgoing", empty).alias("outgoing"), F.coalesce("incoming", empty).alias("incoming"))
 
 
-def shortest_paths(edges: DataFrame, cost: str = "distance_m", max_hops: int | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, cost: str = "distance_m", max_hops: int | None = None, origin: str | None = None) -> DataFrame:
     """The cheapest allowed path between any two cameras (and loop back to each), of any number of hops or at most ``max_hops``.
 
-    from_id, to_id, cost, cameras, hops, skipped (cameras between), and the path's distance, least and usual time. Ties go
-    to the path that comes first. Each round extends the paths that the last one found or improved by an edge, until a
-    round improves none: a road network's diameter bounds the rounds, and a round's table, which is written, holds one
-    path for each pair.
+    With ``origin`` only paths from there are searched. Columns: from_id, to_id, cost, cameras, hops, skipped (cameras
+    between), and the path's distance, least and usual time. Ties go to the path that comes first. Each round extends the
+    paths that the last one found or improved by an edge, until a round improves none: a road network's diameter bounds the
+    rounds, and a round's table, which is written, holds one path for each pair.
     """
     measures = ("distance_m", "min_travel_s", "typical_travel_s")
     hop = edges.where("allowed").select("from_id", "to_id", F.col(cost).cast("double").alias("c"), *measures)
-    best = hop.select("from_id", "to_id", F.col("c").alias("cost"), F.array("from_id", "to_id").alias("cameras"), *measures, F.lit(1).alias("new"))
+    first = hop if origin is None else hop.where(F.col("from_id") == origin)
+    best = first.select("from_id", "to_id", F.col("c").alias("cost"), F.array("from_id", "to_id").alias("cameras"), *measures, F.lit(1).alias("new"))
 
     def least(paths: DataFrame) -> DataFrame:
         # A path found again equals the kept one, which is not new and so comes first.
@@ -65,16 +66,21 @@ def shortest_paths(edges: DataFrame, cost: str = "distance_m", max_hops: int | N
     return best.drop("new").withColumn("hops", hops).withColumn("skipped", F.when(hops > 1, F.slice("cameras", 2, hops - 1)).otherwise(F.array().cast("array<string>")))
 
 
+def loaded(edges: DataFrame, base: DataFrame, scores: DataFrame) -> DataFrame:
+    """Allowed edges with their usual seconds and ``load_cost``: these, times 1 + score / 100 of the camera that they lead to."""
+    timed = edges.where("allowed").join(base.select("from_id", "to_id", "seconds"), ["from_id", "to_id"], "left").join(scores.select(F.col("camera_id").alias("to_id"), "score", "level"), "to_id", "left")
+    return timed.withColumn("seconds", F.coalesce("seconds", "typical_travel_s")).withColumn("load_cost", F.col("seconds") * (1 + F.coalesce(F.col("score"), F.lit(0.0)) / 100))
+
+
 def corridor(edges: DataFrame, base: DataFrame, scores: DataFrame, origin: str, destination: str, speedup: float = 0.35, max_hops: int | None = None) -> DataFrame:
     """Steps from origin to destination on the path with the least congested time, with arrival times as usual and with priority.
 
     An edge costs its usual seconds times 1 + score / 100 of the camera it leads to. With priority a segment takes
     ``speedup`` less, never less than its least time.
     """
-    timed = edges.where("allowed").join(base.select("from_id", "to_id", "seconds"), ["from_id", "to_id"], "left").join(scores.select(F.col("camera_id").alias("to_id"), "score", "level"), "to_id", "left")
-    timed = timed.withColumn("seconds", F.coalesce("seconds", "typical_travel_s")).withColumn("load_cost", F.col("seconds") * (1 + F.coalesce("score", F.lit(0.0)) / 100))
+    timed = loaded(edges, base, scores)
     timed = cut(timed)
-    path = shortest_paths(timed, "load_cost", max_hops).where((F.col("from_id") == origin) & (F.col("to_id") == destination))
+    path = shortest_paths(timed, "load_cost", max_hops, origin).where(F.col("to_id") == destination)
     steps = path.select(F.posexplode("cameras").alias("position", "camera_id")).withColumn("previous", F.lag("camera_id").over(Window.orderBy("position")))
     steps = steps.join(timed.select(F.col("from_id").alias("previous"), F.col("to_id").alias("camera_id"), "seconds", "min_travel_s", "score", "level"), ["previous", "camera_id"], "left")
     upto = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # the few steps of one path
@@ -83,15 +89,19 @@ def corridor(edges: DataFrame, base: DataFrame, scores: DataFrame, origin: str,
     return steps.select("position", "camera_id", F.round(F.sum(F.coalesce("seconds", F.lit(0.0))).over(upto), 1).alias("eta_s"), F.round(F.sum(F.coalesce(fast, F.lit(0.0))).over(upto), 1).alias("eta_with_priority_s"), advice.alias("advice"))
 
 
-def alternatives(edges: DataFrame, cost: str, origin: str, destination: str, primary: list[str], max_hops: int | None = None) -> DataFrame:
-    """Paths that avoid one camera between the ends of the primary path each; the same path is returned once."""
+def alternatives(edges: DataFrame, cost: str, origin: str, destination: str, max_hops: int | None = None) -> DataFrame:
+    """Cheapest paths that avoid one camera between the ends of the cheapest path each; the same path is returned once.
+
+    The cameras of one path are collected, and one search from the origin is made for each that is avoided.
+    """
+    primary = shortest_paths(edges, cost, max_hops, origin).where(F.col("to_id") == destination).first()
     found = None
-    for avoided in primary[1:-1]:
+    for avoided in primary["cameras"][1:-1] if primary else []:
         kept = edges.where((F.col("to_id") != avoided) & (F.col("from_id") != avoided))
-        one = shortest_paths(kept, cost, max_hops).where((F.col("from_id") == origin) & (F.col("to_id") == destination)).withColumn("avoids", F.lit(avoided))
+        one = shortest_paths(kept, cost, max_hops, origin).where(F.col("to_id") == destination).withColumn("avoids", F.lit(avoided))
         found = one if found is None else found.unionByName(one)
     if found is None:
-        return shortest_paths(edges, cost, max_hops).withColumn("avoids", F.lit(None).cast("string")).limit(0)
+        return shortest_paths(edges.limit(0), cost, max_hops).withColumn("avoids", F.lit(None).cast("string")).select("cameras", "avoids", "cost", "distance_m")
     return found.groupBy("cameras").agg(F.min("avoids").alias("avoids"), F.first("cost").alias("cost"), F.first("distance_m").alias("distance_m"))
 
 

@@ -69,11 +69,18 @@ def transitions(points: DataFrame, since: float | None = None) -> DataFrame:
     return kept.where("from_camera_id is not null and from_camera_id <> camera_id").groupBy(F.col("from_camera_id").alias("from_id"), F.col("camera_id").alias("to_id")).agg(F.count("*").alias("n"))
 
 
-def next_camera(counts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Probability of each allowed exit (one is added to each count) and the best, ties to the smaller name."""
+def next_camera(counts: DataFrame, edges: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """Of each way to arrive at a camera: the probability of each allowed exit and the best, ties to the smaller name.
+
+    ``arrivals`` (camera_id, from_camera_id, which may be null) are points of trajectories. The exit back to where a vehicle
+    came from is left out unless it is the only one. One is added to each count.
+    """
     exits = edges.where("allowed").select("from_id", "to_id", "min_travel_s", "typical_travel_s").join(counts, ["from_id", "to_id"], "left").fillna(0, ["n"])
-    every = Window.partitionBy("from_id")
-    out = exits.withColumn("probability", (F.col("n") + 1) / (F.sum("n").over(every) + F.count("*").over(every)))
+    exits = exits.withColumn("_exits", F.count("*").over(Window.partitionBy("from_id")))
+    ways = arrivals.select(F.col("camera_id").alias("from_id"), F.col("from_camera_id").alias("came_from")).distinct()
+    open_ = ways.join(exits, "from_id").where((F.col("_exits") == 1) | ~F.col("to_id").eqNullSafe(F.col("came_from"))).drop("_exits")
+    every = Window.partitionBy("from_id", "came_from")
+    out = open_.withColumn("probability", (F.col("n") + 1) / (F.sum("n").over(every) + F.count("*").over(every)))
     best = F.row_number().over(every.orderBy(F.desc("probability"), "to_id")) == 1
     return out.withColumn("best", best).withColumn("window_start_s", F.col("min_travel_s")).withColumn("window_end_s", F.greatest(2.5 * F.col("typical_travel_s"), F.col("min_travel_s") + 60))
 
@@ -82,10 +89,11 @@ def prediction_status(points: DataFrame, predicted: DataFrame, now: float, grace
     """Of each sighting, whether the prediction made at it was CONFIRMED, DEVIATED, or is PENDING or EXPIRED."""
     by = Window.partitionBy("vehicle_id").orderBy("seq")
     following = points.withColumn("next_camera", F.lead("camera_id").over(by)).withColumn("next_t", F.lead("t").over(by)).withColumn("same", F.lead("journey_index").over(by) == F.col("journey_index"))
-    best = predicted.where("best").select(F.col("from_id").alias("camera_id"), F.col("to_id").alias("predicted"), "window_end_s")
+    best = predicted.where("best").select(F.col("from_id").alias("_at"), F.col("came_from").alias("_came"), F.col("to_id").alias("predicted"), "window_end_s")
     late = F.col("t") + F.col("window_end_s") + grace_s
     status = F.when(F.col("next_t").isNull(), F.when(F.lit(now) > late, "EXPIRED").otherwise("PENDING")).when(F.col("same") & (F.col("next_camera") == F.col("predicted")) & (F.col("next_t") <= late), "CONFIRMED").otherwise("DEVIATED")
-    return following.join(best, "camera_id").withColumn("status", status)
+    made = following.join(best, (F.col("camera_id") == F.col("_at")) & F.col("from_camera_id").eqNullSafe(F.col("_came")))
+    return made.drop("_at", "_came").withColumn("status", status)
 
 
 def vehicle_summary(points: DataFrame) -> DataFrame:

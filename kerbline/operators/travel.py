@@ -63,6 +63,28 @@ def incident_measures(metrics: DataFrame, start: float, end: float) -> DataFrame
     return out.groupBy("camera_id").agg(*[pick("during", m).alias(f"during_{m}") for m in measures], *[F.round(pick("during", m) - pick("before", m), 3).alias(f"delta_{m}") for m in measures])
 
 
+def incident_sites(edges: DataFrame, cameras: DataFrame, camera: str) -> DataFrame:
+    """camera_id and role (site, upstream, downstream) of an incident's camera and its neighbours of the same scope."""
+    allowed, site = edges.where("allowed"), cameras.where(F.col("camera_id") == camera)
+    up = allowed.where(F.col("to_id") == camera).select(F.col("from_id").alias("camera_id"), F.lit("upstream").alias("role"))
+    down = allowed.where(F.col("from_id") == camera).select(F.col("to_id").alias("camera_id"), F.lit("downstream").alias("role"))
+    same = cameras.join(F.broadcast(site.select("is_demo")), "is_demo", "left_semi").select("camera_id")  # one camera's scope
+    return up.unionByName(down).distinct().join(same, "camera_id", "left_semi").unionByName(site.select("camera_id", F.lit("site").alias("role")))
+
+
+def incident_impact(obs: DataFrame, points: DataFrame, edges: DataFrame, cameras: DataFrame, alerts: DataFrame, camera: str, start: float, end: float) -> DataFrame:
+    """One row: vehicles at the site or upstream during an incident, alerts at all its cameras, vehicle-hours lost, and a summary."""
+    sites = incident_sites(edges, cameras, camera)
+    during = lambda df: df.where((F.col("t") >= start) & (F.col("t") < end))
+    vehicles = during(obs).join(sites.where("role <> 'downstream'"), "camera_id", "left_semi").agg(F.count_distinct("vehicle_id").alias("vehicles_affected"))
+    raised = during(alerts).join(sites, "camera_id", "left_semi").agg(F.count("*").alias("alerts"))
+    lost = incident_segments(points, edges, camera, start, end).agg(F.count("*").alias("segments"), F.round(F.coalesce(F.sum("extra_s"), F.lit(0.0)) / 3600, 3).alias("vehicle_hours"))
+    one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731  each is one row
+    out = one(vehicles).join(one(raised), "_one").join(one(lost), "_one").drop("_one")
+    text = F.format_string("%d vehicles, %d alerts, %s vehicle-hours on %d segments", "vehicles_affected", "alerts", F.col("vehicle_hours").cast("string"), "segments")
+    return out.select(F.lit(camera).alias("camera_id"), "vehicles_affected", "alerts", "segments", "vehicle_hours", text.alias("summary"))
+
+
 def incident_segments(points: DataFrame, edges: DataFrame, camera: str, start: float, end: float) -> DataFrame:
     """Segments at the camera during an incident against the period before, or the edge's typical time: extra seconds for each vehicle."""
     before = start - max(end - start, 900)

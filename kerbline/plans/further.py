@@ -10,7 +10,7 @@ from kerbline.operators import alerts, search, travel
 from kerbline.plans.registry import query
 from kerbline.plans.rules import _NEAR_SQL, entries
 from kerbline.plans.traffic import _BASELINE, _RATIOS, _WINDOW
-from kerbline.sources import changes, scenario
+from kerbline.sources import changes
 from kerbline.sources import tables as T
 
 
@@ -100,10 +100,3 @@ def al_auto_resolve(spark, sf_dir):
     rows = orders.withColumn("action", action).where("action is not null")
     found = alerts.lifecycle(alerts.raised(rows, "CAMERA_OFFLINE", F.col("o_orderkey").cast("string"), F.col("t"), F.lit("a"), F.col("action")))
     return found.select("dedup_key", "status", "occurrences")
-
-
-@query()
-def src_demo(spark, sf_dir):
-    """A cycle of generated traffic for each nation's number of customers."""
-    routes = spark.createDataFrame([(0, ["view", "click", "signup"], [60.0, 90.0]), (1, ["signup", "purchase"], [75.0]), (2, ["error", "view"], [45.0])], "route_id long, cameras array<string>, seconds array<double>")
-    return scenario.sightings(spark, routes, T.read(spark, sf_dir, "customer").count())

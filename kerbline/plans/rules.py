@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kerbline.functions import plates
 from kerbline.operators import alerts, folds, search
 from kerbline.plans.registry import query
-from kerbline.plans.traffic import _BASELINE, _ratios
+from kerbline.plans.traffic import _BASELINE, _CONGESTION, _RATIOS, _WINDOW, _ratios
 from kerbline.sources import tables as T
 
 
@@ -57,11 +57,11 @@ def rl_degraded(spark, sf_dir):
     return alerts.degraded(_status(spark, sf_dir), T.NOW + 86_400)
 
 
-@query()
+@query(T.with_("obs", "edges", "points", "metrics") + ", " + _RATIOS + ", " + _CONGESTION + " SELECT camera_id, round(score, 1) AS score, CASE WHEN round(score, 1) >= 60 THEN 'raise' ELSE 'resolve' END AS action FROM scored WHERE round(score, 1) >= 60 OR round(score, 1) < 55")
 def rl_congestion(spark, sf_dir):
     from kerbline.operators import congestion
 
-    found = congestion.congestion(T.hourly(spark, sf_dir), _ratios(spark, sf_dir), T.NOW, 4 * 86_400, _BASELINE)
+    found = congestion.congestion(T.hourly(spark, sf_dir), _ratios(spark, sf_dir), T.NOW, _WINDOW, _BASELINE)
     return alerts.congestion_actions(found, 60, 55).select("camera_id", "score", "action")
 
 
@@ -177,6 +177,10 @@ def win_ema(spark, sf_dir):
     return folds.ema(T.observations(spark, sf_dir), "camera_id", "speed_kmh", 0.8, 86_400).select("camera_id", F.round("ema", 6).alias("ema"))
 
 
-@query()
+@query("""WITH RECURSIVE ordered AS (SELECT user_id AS vehicle_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+walk AS (SELECT vehicle_id, i, event_id, t, true AS allowed, [t] AS live FROM ordered WHERE i = 1
+  UNION ALL SELECT vehicle_id, i, event_id, t, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, t) ELSE kept END
+  FROM (SELECT o.*, list_filter(w.live, lambda x: o.t - x <= 86400) AS kept FROM walk w JOIN ordered o ON o.vehicle_id = w.vehicle_id AND o.i = w.i + 1))
+SELECT vehicle_id, t, event_id, allowed FROM walk""")
 def rate_limit(spark, sf_dir):
     return folds.rate_limited(T.observations(spark, sf_dir), "vehicle_id", 3, 86_400)

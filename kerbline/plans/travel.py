@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kerbline.operators import graph, identity, journeys, travel
 from kerbline.plans.registry import query
-from kerbline.plans.traffic import _BASELINE, _RATIOS, _WINDOW, rollup_sql
+from kerbline.plans.traffic import _BASELINE, _CONGESTION, _RATIOS, _WINDOW, rollup_sql
 from kerbline.sources import tables as T
 
 _TRIPS = """trips AS (SELECT vehicle_id, journey_index, arg_min(camera_id, seq) AS origin, arg_max(camera_id, seq) AS destination, count(*) AS points, min(t) AS start_s, max(t) AS end_s FROM points GROUP BY ALL),
@@ -82,11 +82,29 @@ def an_travel_anomaly(spark, sf_dir):
 _START, _END = T.NOW - 3 * 86_400, T.NOW - 86_400
 
 
-@query(T.with_("obs", "metrics") + f""", d AS (SELECT camera_id, {rollup_sql(f"start_s >= {_START}")} FROM metrics WHERE start_s >= {2 * _START - _END} AND start_s < {_END} GROUP BY camera_id),
+_SITES = """sites AS (SELECT camera_id, role FROM (SELECT 'click' AS camera_id, 'site' AS role UNION SELECT from_id, 'upstream' FROM edges WHERE allowed AND to_id = 'click' UNION SELECT to_id, 'downstream' FROM edges WHERE allowed AND from_id = 'click')
+  JOIN cameras USING (camera_id) WHERE is_demo = (SELECT is_demo FROM cameras WHERE camera_id = 'click'))"""
+
+
+@query(T.with_("obs", "metrics", "edges", "cameras") + f""", {_SITES}, d AS (SELECT camera_id, {rollup_sql(f"start_s >= {_START}")} FROM metrics WHERE start_s >= {2 * _START - _END} AND start_s < {_END} GROUP BY camera_id),
 b AS (SELECT camera_id, {rollup_sql(f"start_s < {_START}")} FROM metrics WHERE start_s >= {2 * _START - _END} AND start_s < {_END} GROUP BY camera_id)
-SELECT camera_id, {", ".join(f"d.{m} AS during_{m}, round(d.{m} - b.{m}, 3) AS delta_{m}" for m in ("rate_per_min", "avg_speed_kmh", "occupancy", "queue"))} FROM d JOIN b USING (camera_id)""")
+SELECT camera_id, role, {", ".join(f"d.{m} AS during_{m}, round(d.{m} - b.{m}, 3) AS delta_{m}" for m in ("rate_per_min", "avg_speed_kmh", "occupancy", "queue"))} FROM d JOIN b USING (camera_id) JOIN sites USING (camera_id)""")
 def an_incident(spark, sf_dir):
-    return travel.incident_measures(T.hourly(spark, sf_dir), _START, _END)
+    sites = travel.incident_sites(T.edges(spark), T.cameras(spark), "click")
+    return travel.incident_measures(T.hourly(spark, sf_dir), _START, _END).join(sites, "camera_id")
+
+
+_SEGMENTS = f"""s AS (SELECT from_camera_id AS from_id, camera_id AS to_id, median(segment_travel_s) FILTER (WHERE t >= {_START}) AS now_s, median(segment_travel_s) FILTER (WHERE t < {_START}) AS prior_s, count(*) FILTER (WHERE t >= {_START}) AS samples
+  FROM points WHERE t >= {2 * _START - _END} AND t < {_END} AND segment_travel_s IS NOT NULL AND from_camera_id <> camera_id AND 'click' IN (from_camera_id, camera_id) GROUP BY ALL)"""
+
+
+@query(T.with_("obs", "edges", "cameras", "points") + f""", {_SITES}, {_SEGMENTS}, lost AS (SELECT count(*) AS segments, round(coalesce(sum(coalesce(greatest(0, now_s - coalesce(prior_s, typical_travel_s)), 0) * samples), 0) / 3600, 3) AS vehicle_hours
+  FROM s LEFT JOIN edges e ON e.from_id = s.from_id AND e.to_id = s.to_id WHERE samples > 0)
+SELECT 'click' AS camera_id, (SELECT count(DISTINCT vehicle_id) FROM obs WHERE t >= {_START} AND t < {_END} AND camera_id IN (SELECT camera_id FROM sites WHERE role <> 'downstream')) AS vehicles_affected,
+  (SELECT count(*) FROM obs WHERE k >= 95 AND t >= {_START} AND t < {_END} AND camera_id IN (SELECT camera_id FROM sites)) AS alerts, segments, vehicle_hours FROM lost""")
+def an_incident_impact(spark, sf_dir):
+    obs = T.observations(spark, sf_dir)
+    return travel.incident_impact(obs, T.trajectory(spark, sf_dir), T.edges(spark), T.cameras(spark), obs.where("k >= 95"), "click", _START, _END).drop("summary")
 
 
 @query(T.with_("obs", "edges", "points") + f""", s AS (SELECT from_camera_id AS from_id, camera_id AS to_id, median(segment_travel_s) FILTER (WHERE t >= {_START}) AS now_s, median(segment_travel_s) FILTER (WHERE t < {_START}) AS prior_s, count(*) FILTER (WHERE t >= {_START}) AS samples
@@ -134,55 +152,102 @@ def gr_geojson(spark, sf_dir):
     return graph.geojson(T.edges(spark), T.cameras(spark))
 
 
-@query()
-def gr_corridor(spark, sf_dir):
+@query(T.with_("network", "paths") + "SELECT from_id, to_id, cost, array_to_string(cameras, '>') AS cameras, CAST(len(cameras) - 1 AS INTEGER) AS hops FROM paths")
+def gr_shortest_network(spark, sf_dir):
+    """Paths of up to 24 hops over a network that comes from the tables."""
+    return graph.shortest_paths(T.network(spark, sf_dir)).select("from_id", "to_id", "cost", F.array_join("cameras", ">").alias("cameras"), "hops")
+
+
+@query(T.with_("network") + """SELECT camera_id, coalesce((SELECT string_agg(DISTINCT to_id, ',' ORDER BY to_id) FROM edges WHERE from_id = camera_id), '') AS outgoing,
+  coalesce((SELECT string_agg(DISTINCT from_id, ',' ORDER BY from_id) FROM edges WHERE to_id = camera_id), '') AS incoming FROM (SELECT from_id AS camera_id FROM edges UNION SELECT to_id FROM edges)""")
+def gr_neighbours_network(spark, sf_dir):
+    return graph.neighbours(T.network(spark, sf_dir)).select("camera_id", F.array_join("outgoing", ",").alias("outgoing"), F.array_join("incoming", ",").alias("incoming"))
+
+
+def _route_sql(origin: str, destination: str, cost: str) -> str:
+    """CTE of all simple paths between two cameras over ``priced`` (from_id, to_id, and the cost)."""
+    return f"""routes AS (
+  SELECT to_id AS here, {cost} AS cost, [from_id, to_id] AS cameras, distance_m FROM priced WHERE from_id = '{origin}'
+  UNION ALL SELECT e.to_id, r.cost + e.{cost}, list_append(r.cameras, e.to_id), r.distance_m + e.distance_m FROM routes r JOIN priced e ON e.from_id = r.here WHERE r.here <> '{destination}' AND NOT list_contains(r.cameras, e.to_id)),
+complete AS (SELECT * FROM routes WHERE here = '{destination}'),
+cheapest AS (SELECT * FROM complete ORDER BY cost, cameras LIMIT 1)"""
+
+
+def _corridor_parts(spark, sf_dir):
     from kerbline.operators import congestion
     from kerbline.plans.traffic import _ratios
 
     base = travel.baselines(T.trajectory(spark, sf_dir), T.edges(spark), T.NOW, _BASELINE, _WINDOW)
-    scores = congestion.congestion(T.hourly(spark, sf_dir), _ratios(spark, sf_dir), T.NOW, _WINDOW, _BASELINE)
-    return graph.corridor(T.edges(spark), base, scores, "error", "signup")
+    return base, congestion.congestion(T.hourly(spark, sf_dir), _ratios(spark, sf_dir), T.NOW, _WINDOW, _BASELINE)
+
+
+_PRICED = """levels AS (SELECT camera_id, round(score, 1) AS score, CASE WHEN score >= 75 THEN 'SEVERE' WHEN score >= 55 THEN 'HEAVY' WHEN score >= 30 THEN 'MODERATE' ELSE 'FREE' END AS level FROM scored),
+priced AS (SELECT e.*, seconds, level, seconds * (1 + coalesce(l.score, 0) / 100) AS load_cost FROM edges e JOIN base b ON b.from_id = e.from_id AND b.to_id = e.to_id LEFT JOIN levels l ON l.camera_id = e.to_id WHERE allowed)"""
+
 
+@query(T.with_("obs", "edges", "points", "metrics").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _RATIOS + ", " + _CONGESTION + ", " + _PRICED + ", " + _route_sql("error", "signup", "load_cost") + """,
+steps AS (SELECT cameras, unnest(range(0, len(cameras))) AS position FROM cheapest),
+timed AS (SELECT CAST(position AS INTEGER) AS position, cameras[position + 1] AS camera_id, seconds, min_travel_s, level FROM steps LEFT JOIN priced p ON position > 0 AND p.from_id = cameras[position] AND p.to_id = cameras[position + 1])
+SELECT position, camera_id, round(sum(coalesce(seconds, 0)) OVER w, 1) AS eta_s, round(sum(coalesce(greatest(min_travel_s, seconds * 0.65), 0)) OVER w, 1) AS eta_with_priority_s,
+  CASE WHEN position = 0 THEN 'dispatch' WHEN level IN ('HEAVY', 'SEVERE') THEN 'clear the queue' WHEN level = 'MODERATE' THEN 'prepare a green wave' ELSE 'monitor' END AS advice FROM timed WINDOW w AS (ORDER BY position)""")
+def gr_corridor(spark, sf_dir):
+    return graph.corridor(T.edges(spark), *_corridor_parts(spark, sf_dir), "error", "signup")
+
+
+_AVOIDING = """mids AS (SELECT unnest(cameras[2:len(cameras) - 1]) AS mid FROM cheapest),
+avoiding AS (SELECT mid, c.* FROM mids, complete c WHERE NOT list_contains(c.cameras, mid) QUALIFY row_number() OVER (PARTITION BY mid ORDER BY cost, cameras) = 1)
+SELECT array_to_string(cameras, '>') AS cameras, min(mid) AS avoids, min(cost) AS cost, min(distance_m) AS distance_m FROM avoiding GROUP BY cameras"""
 
-#: Of the ways from view to purchase: avoiding click the direct one is left, and avoiding signup too, so it is given once.
-@query(T.with_("edges") + "SELECT 'view>purchase' AS cameras, 'click' AS avoids, typical_travel_s AS cost, distance_m FROM edges WHERE from_id = 'view' AND to_id = 'purchase'")
+
+@query(T.with_("edges").replace("WITH ", "WITH RECURSIVE ", 1) + ", priced AS (SELECT * FROM edges WHERE allowed), " + _route_sql("click", "view", "typical_travel_s") + ", " + _AVOIDING)
 def gr_alternatives(spark, sf_dir):
-    return graph.alternatives(T.edges(spark), "typical_travel_s", "view", "purchase", ["view", "click", "signup", "purchase"]).withColumn("cameras", F.array_join("cameras", ">"))
+    return graph.alternatives(T.edges(spark), "typical_travel_s", "click", "view").withColumn("cameras", F.array_join("cameras", ">"))
+
 
+@query(T.with_("network").replace("WITH ", "WITH RECURSIVE ", 1) + ", priced AS (SELECT * FROM edges), " + _route_sql("N00", "N18", "typical_travel_s") + ", " + _AVOIDING)
+def gr_alternatives_network(spark, sf_dir):
+    return graph.alternatives(T.network(spark, sf_dir), "typical_travel_s", "N00", "N18").withColumn("cameras", F.array_join("cameras", ">"))
 
-_TRANSITIONS = "transitions AS (SELECT from_camera_id AS from_id, camera_id AS to_id, count(*) AS n FROM points WHERE from_camera_id IS NOT NULL AND from_camera_id <> camera_id GROUP BY ALL)"
-_PREDICTED = """predicted AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY probability DESC, to_id) = 1 AS best FROM (
-  SELECT e.from_id, e.to_id, coalesce(n, 0) AS n, (coalesce(n, 0) + 1) / (sum(coalesce(n, 0)) OVER w + count(*) OVER w)::DOUBLE AS probability, min_travel_s AS window_start_s, greatest(2.5 * typical_travel_s, min_travel_s + 60) AS window_end_s
-  FROM edges e LEFT JOIN transitions t ON t.from_id = e.from_id AND t.to_id = e.to_id WHERE allowed WINDOW w AS (PARTITION BY e.from_id)))"""
+
+#: Transitions of the last day before the time that queries take as now count for predictions.
+_SINCE = T.NOW - 86_400
+_TRANSITIONS = f"transitions AS (SELECT from_camera_id AS from_id, camera_id AS to_id, count(*) AS n FROM points WHERE from_camera_id IS NOT NULL AND from_camera_id <> camera_id AND t >= {_SINCE} GROUP BY ALL)"
+_PREDICTED = """arrivals AS (SELECT DISTINCT camera_id, from_camera_id AS came_from FROM points),
+exits AS (SELECT e.*, coalesce(n, 0) AS n, count(*) OVER (PARTITION BY e.from_id) AS of_all FROM edges e LEFT JOIN transitions t ON t.from_id = e.from_id AND t.to_id = e.to_id WHERE allowed),
+predicted AS (SELECT *, row_number() OVER (PARTITION BY from_id, came_from ORDER BY probability DESC, to_id) = 1 AS best FROM (
+  SELECT from_id, came_from, to_id, n, (n + 1) / (sum(n) OVER w + count(*) OVER w)::DOUBLE AS probability, min_travel_s AS window_start_s, greatest(2.5 * typical_travel_s, min_travel_s + 60) AS window_end_s
+  FROM exits JOIN arrivals ON camera_id = from_id WHERE of_all = 1 OR came_from IS DISTINCT FROM to_id WINDOW w AS (PARTITION BY from_id, came_from)))"""
 
 
 @query(T.with_("obs", "points") + ", " + _TRANSITIONS + " SELECT * FROM transitions")
 def agg_transitions(spark, sf_dir):
-    return journeys.transitions(T.trajectory(spark, sf_dir))
+    return journeys.transitions(T.trajectory(spark, sf_dir), _SINCE)
+
+
+def _predicted(spark, sf_dir):
+    points = T.trajectory(spark, sf_dir)
+    return points, journeys.next_camera(journeys.transitions(points, _SINCE), T.edges(spark), points)
 
 
-@query(T.with_("obs", "edges", "points") + ", " + _TRANSITIONS + ", " + _PREDICTED + " SELECT from_id, to_id, n, round(probability, 6) AS probability, best, window_start_s, window_end_s FROM predicted")
+@query(T.with_("obs", "edges", "points") + ", " + _TRANSITIONS + ", " + _PREDICTED + " SELECT from_id, came_from, to_id, n, round(probability, 6) AS probability, best, window_start_s, window_end_s FROM predicted")
 def gr_predict(spark, sf_dir):
-    found = journeys.next_camera(journeys.transitions(T.trajectory(spark, sf_dir)), T.edges(spark))
-    return found.select("from_id", "to_id", "n", F.round("probability", 6).alias("probability"), "best", "window_start_s", "window_end_s")
+    return _predicted(spark, sf_dir)[1].select("from_id", "came_from", "to_id", "n", F.round("probability", 6).alias("probability"), "best", "window_start_s", "window_end_s")
 
 
 _STATUS = f"""statuses AS (SELECT event_id, camera_id, CASE WHEN next_t IS NULL THEN CASE WHEN {T.NOW} > t + window_end_s + 30 THEN 'EXPIRED' ELSE 'PENDING' END
   WHEN next_j = journey_index AND next_c = to_id AND next_t <= t + window_end_s + 30 THEN 'CONFIRMED' ELSE 'DEVIATED' END AS status
-  FROM (SELECT *, lead(t) OVER w AS next_t, lead(camera_id) OVER w AS next_c, lead(journey_index) OVER w AS next_j FROM points WINDOW w AS (PARTITION BY vehicle_id ORDER BY seq)) p JOIN predicted ON best AND from_id = camera_id)"""
+  FROM (SELECT *, lead(t) OVER w AS next_t, lead(camera_id) OVER w AS next_c, lead(journey_index) OVER w AS next_j FROM points WINDOW w AS (PARTITION BY vehicle_id ORDER BY seq)) p
+  JOIN predicted ON best AND from_id = camera_id AND came_from IS NOT DISTINCT FROM from_camera_id)"""
 
 
 @query(T.with_("obs", "edges", "points") + ", " + _TRANSITIONS + ", " + _PREDICTED + ", " + _STATUS + " SELECT event_id, status FROM statuses")
 def gr_predict_status(spark, sf_dir):
-    points = T.trajectory(spark, sf_dir)
-    predicted = journeys.next_camera(journeys.transitions(points), T.edges(spark))
-    return journeys.prediction_status(points, predicted, T.NOW).select("event_id", "status")
+    return journeys.prediction_status(*_predicted(spark, sf_dir), T.NOW).select("event_id", "status")
 
 
 @query(T.with_("obs", "edges", "points") + ", " + _TRANSITIONS + ", " + _PREDICTED + ", " + _STATUS + " SELECT camera_id, count(*) FILTER (WHERE status = 'CONFIRMED') AS confirmed, round(count(*) FILTER (WHERE status = 'CONFIRMED') / nullif(count(*) FILTER (WHERE status IN ('CONFIRMED', 'DEVIATED')), 0)::DOUBLE, 3) AS accuracy FROM statuses GROUP BY camera_id")
 def agg_prediction_accuracy(spark, sf_dir):
-    points = T.trajectory(spark, sf_dir)
-    found = journeys.prediction_status(points, journeys.next_camera(journeys.transitions(points), T.edges(spark)), T.NOW)
+    found = journeys.prediction_status(*_predicted(spark, sf_dir), T.NOW)
     hit, known = F.count(F.when(F.col("status") == "CONFIRMED", 1)), F.count(F.when(F.col("status").isin("CONFIRMED", "DEVIATED"), 1))
     return found.groupBy("camera_id").agg(hit.alias("confirmed"), F.round(F.try_divide(hit, known), 3).alias("accuracy"))
 
@@ -226,7 +291,7 @@ def _identity_rows(spark, sf_dir):
     return T.observations(spark, sf_dir).select("event_id", F.col("is_demo").alias("scope"), "t", "camera_id", "plate", "confidence", classes.alias("vehicle_class"), colours.alias("colour"), F.lit(None).cast("array<float>").alias("embedding"))
 
 
-@query(T.with_("obs") + """, near AS (SELECT a.event_id, b.event_id AS p_event_id FROM obs a JOIN obs b ON a.is_demo = b.is_demo AND a.event_id <> b.event_id AND b.t >= a.t - 3600 AND b.t <= a.t + 2 AND (b.t < a.t OR b.event_id < a.event_id)
+@query(T.with_("obs") + """, near AS (SELECT a.event_id, b.event_id AS p_event_id FROM obs a JOIN obs b ON a.is_demo = b.is_demo AND a.event_id <> b.event_id AND b.t >= a.t - 3600 AND (b.t < a.t OR b.t = a.t AND b.event_id < a.event_id)
   QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY b.t DESC, b.event_id DESC) <= 200),
 alike AS (SELECT event_id, unnest(list(event_id) OVER (PARTITION BY is_demo, plate ORDER BY t, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) AS p_event_id FROM obs WHERE plate IS NOT NULL)
 SELECT * FROM near UNION SELECT * FROM alike""")
@@ -252,5 +317,14 @@ def srt_best_runnerup(spark, sf_dir):
 
 @query()
 def id_resolve(spark, sf_dir):
-    rows = _identity_rows(spark, sf_dir)
-    return identity.resolved(rows, identity.decisions(_scored(spark, sf_dir)))
+    return identity.settled(_identity_rows(spark, sf_dir), _scored(spark, sf_dir))
+
+
+@query()
+def id_conflicts(spark, sf_dir):
+    return identity.conflicts(_scored(spark, sf_dir))
+
+
+@query()
+def str_explain(spark, sf_dir):
+    return identity.explained(_scored(spark, sf_dir)).select("event_id", "p_event_id", "why")

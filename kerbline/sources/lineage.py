@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder of ``spark.checkpoint.dir``, which all executors share; where it is unset (tests), below /tmp."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    """A new place in the folder of ``spark.checkpoint.dir``; where it is unset, in the warehouse, which all executors share too."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

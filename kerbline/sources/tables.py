@@ -106,7 +106,26 @@ def paths(spark: SparkSession) -> DataFrame:
     return graph.shortest_paths(edges(spark))
 
 
-_PARTS = {"obs": OBS, "edges": EDGES_SQL, "cameras": CAMERAS_SQL, "points": TRAJECTORY, "metrics": METRICS, "samples": SAMPLES, "paths": PATHS_SQL}
+def network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A one-way ring road through the nations in the order of their keys, with short cuts at those of the first region.
+
+    A segment's length goes by the customers of its nation, so that the graph comes from the tables; it is up to 24 hops wide.
+    """
+    nations, each = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    there = nations.join(each, F.col("n_nationkey") == F.col("c_nationkey"), "left").fillna(0, ["n"])
+    name = lambda k: F.format_string("N%02d", k % 25)
+    step = F.explode(F.when(F.col("n_regionkey") == 0, F.array(F.lit(1), F.lit(4))).otherwise(F.array(F.lit(1))))
+    out = there.withColumn("step", step).select(name(F.col("n_nationkey")).alias("from_id"), name(F.col("n_nationkey") + F.col("step")).alias("to_id"), ((500 + 10 * F.col("n")) * F.col("step")).cast("double").alias("distance_m"), F.lit(True).alias("allowed"))
+    return out.withColumns({"min_travel_s": F.col("distance_m") / 25, "typical_travel_s": F.col("distance_m") / 10})
+
+
+NETWORK_SQL = """edges AS (
+  SELECT printf('N%02d', n_nationkey % 25) AS from_id, printf('N%02d', (n_nationkey + step) % 25) AS to_id, ((500 + 10 * coalesce(n, 0)) * step)::DOUBLE AS distance_m, true AS allowed,
+    ((500 + 10 * coalesce(n, 0)) * step)::DOUBLE / 25 AS min_travel_s, ((500 + 10 * coalesce(n, 0)) * step)::DOUBLE / 10 AS typical_travel_s
+  FROM (SELECT *, unnest(CASE WHEN n_regionkey = 0 THEN [1, 4] ELSE [1] END) AS step FROM nation) LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY ALL) ON n_nationkey = c_nationkey)"""
+
+
+_PARTS = {"obs": OBS, "edges": EDGES_SQL, "cameras": CAMERAS_SQL, "points": TRAJECTORY, "metrics": METRICS, "samples": SAMPLES, "paths": PATHS_SQL, "network": NETWORK_SQL}
 
 
 def with_(*names: str) -> str:
