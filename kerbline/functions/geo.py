@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_008.8
+#: Usual widths of vehicles in metres, and of any other kind.
+WIDTH_M, OTHER_WIDTH_M = {"car": 1.75, "motorcycle": 0.8, "bus": 2.55, "truck": 2.5, "van": 1.9, "auto_rickshaw": 1.4}, 1.75
 #: The eight compass points from north, clockwise.
 COMPASS = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
 
@@ -57,3 +59,31 @@ def fitted_speed_kmh(t: Column, x: Column, z: Column, least_samples: int = 3, le
     """Aggregate: speed from least-squares slopes of ground positions over time; null with too few samples or too short a span."""
     enough = (F.count(t) >= least_samples) & (F.max(t) - F.min(t) >= least_span_s)
     return F.when(enough, F.hypot(F.regr_slope(x, t), F.regr_slope(z, t)) * 3.6)
+
+
+def ground_m(cx: Column, bottom: Column, box_width: Column, kind: Column, frame_width: float, focal_px: float | None = None) -> Column:
+    """(x, z) in metres of a box's foot before a pinhole camera, by the width that its kind of vehicle usually has."""
+    focal = focal_px or frame_width
+    width = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in WIDTH_M.items() for v in pair]), kind), F.lit(OTHER_WIDTH_M))
+    z = focal * width / F.greatest(box_width, F.lit(1.0))
+    return F.struct(((cx - frame_width / 2) * z / focal).alias("x"), z.alias("z"))
+
+
+def ground_by_homography(cx: Column, bottom: Column, h: list[list[float]]) -> Column:
+    """(x, z) in metres of a box's foot by a homography of the image to the ground, given as three rows."""
+    row = lambda r: cx * r[0] + bottom * r[1] + r[2]
+    w = row(h[2])
+    return F.struct(F.try_divide(row(h[0]), w).alias("x"), F.try_divide(row(h[1]), w).alias("z"))
+
+
+def lane(cx: Column, cy: Column, frame: tuple[float, float], vanishing: tuple[float, float], bounds: list[float]) -> Column:
+    """Lane from 1 of a point in the image: followed from the vanishing point (as a share of the frame) to the bottom row.
+
+    ``bounds`` are the lanes' edges there, as shares of the width; points beyond them are of the outer lanes. Null above
+    the vanishing point.
+    """
+    width, height = frame
+    vx, vy = vanishing[0] * width, vanishing[1] * height
+    share = (vx + (cx - vx) * (height - vy) / (cy - vy)) / width
+    inner = sum((F.when(share >= b, 1).otherwise(0) for b in bounds[1:-1]), F.lit(1))
+    return F.when(cy > vy + 1, inner)

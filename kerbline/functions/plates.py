@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,3 +161,10 @@ def similarity(a: Column, b: Column, distance: Column) -> Column:
     """1 - distance / longer length, at least 0; null if either is null or empty."""
     longer = F.greatest(F.length(a), F.length(b))
     return F.when((F.length(a) > 0) & (F.length(b) > 0), F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - distance / longer)))
+
+
+def with_normalised(reads: DataFrame, raw: str) -> DataFrame:
+    """``reads`` with ``plate``, what ``normalised`` makes of the column ``raw``: worked out once for each distinct text and joined back."""
+    distinct = reads.select(F.col(raw).alias("_raw")).distinct()
+    known = distinct.select("_raw", normalised(F.col("_raw")).alias("plate"))
+    return reads.join(known, F.col(raw).eqNullSafe(F.col("_raw")), "left").drop("_raw")

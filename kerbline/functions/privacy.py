@@ -67,6 +67,17 @@ def scrubbed(details: Column) -> Column:
     return F.transform_values(details, lambda k, v: F.when(F.lower(k).isin(*SECRET_KEYS), F.lit("***")).otherwise(v))
 
 
+def scrubbed_tree(column: Column, kind: T.DataType, name: str = "") -> Column:
+    """A column of nested details with the values of secret keys redacted at any depth, by its schema. Lists are left as they are."""
+    if name.lower() in SECRET_KEYS:
+        return F.lit("***")
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*[scrubbed_tree(column[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
+        return scrubbed(column)
+    return column
+
+
 def safe_uri(uri: Column) -> Column:
     """User and password in a URI replaced by stars."""
     return F.regexp_replace(uri, r"//[^/@]+@", "//***:***@")

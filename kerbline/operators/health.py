@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kerbline.operators.folds import trailing
+from kerbline.operators.folds import folded, trailing
+
+#: The level that a status is logged with (others INFO), and the most characters of a message.
+LEVELS, MOST_MESSAGE = {"DEGRADED": "WARNING", "OFFLINE": "ERROR", "ERROR": "ERROR"}, 2000
 
 
 def fps(frames: DataFrame, window_s: int = 5) -> DataFrame:
@@ -78,3 +81,42 @@ def report(samples: DataFrame, cameras: DataFrame, now: float, window_s: float =
     out = out.withColumn("raw", F.when(seen, score))
     grade = F.when(F.col("raw").isNull(), "NO_DATA").when(F.col("raw") >= 85, "GOOD").when(F.col("raw") >= 60, "FAIR").otherwise("POOR")
     return out.select("camera_id", F.coalesce("samples", F.lit(0)).alias("samples"), F.round("raw", 1).alias("score"), grade.alias("grade"), *[F.round(f"p_{k}", 1).alias(f"p_{k}") for k in penalty])
+
+
+def status_log(events: DataFrame) -> DataFrame:
+    """Log rows of status events (event_id, t, camera_id, old_status, status, message, intentional): level and message.
+
+    Intentional changes are only information, and ``alerts`` says that others go to the alert rules.
+    """
+    known = F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])
+    meant = F.coalesce("intentional", F.lit(False))
+    level = F.when(meant, "INFO").otherwise(F.coalesce(F.element_at(known, F.col("status")), F.lit("INFO")))
+    text = F.substring(F.concat(F.coalesce("old_status", F.lit("-")), F.lit(" to "), "status", F.lit(": "), F.coalesce("message", F.lit(""))), 1, MOST_MESSAGE)
+    return events.select("event_id", "t", "camera_id", level.alias("level"), text.alias("message"), (~meant).alias("alerts"))
+
+
+def camera_states(events: DataFrame, cameras: DataFrame) -> DataFrame:
+    """``cameras`` (camera_id) with status, message and the last time online from their status events; null without any."""
+    last = F.struct("t", "event_id")
+    newest = events.groupBy("camera_id").agg(F.max_by("status", last).alias("status"), F.substring(F.max_by(F.coalesce("message", F.lit("")), last), 1, MOST_MESSAGE).alias("status_message"), F.max(F.when(F.col("status") == "ONLINE", F.col("t"))).alias("last_seen_s"))
+    return cameras.select("camera_id").join(newest, "camera_id", "left")
+
+
+def sampled(counters: DataFrame, every_s: float = 15) -> DataFrame:
+    """Samples of cameras' cumulative counters (vehicles, plates, ocr_sum, ocr_reads) at least ``every_s`` apart, as growth since the last.
+
+    The first reading is a sample; the mean OCR confidence is that of the reads since. A counter that fell began anew.
+    """
+    names = ("vehicles", "plates", "ocr_sum", "ocr_reads")
+
+    def step(key: tuple, state: dict, row: object) -> list:
+        if state["t"] is not None and row.t - state["t"] < every_s:
+            return []
+        now = [getattr(row, x) for x in names]
+        grown = [x - y if x >= y else x for x, y in zip(now, state["was"], strict=True)]
+        state |= {"t": row.t, "was": now}
+        return [(*key, row.event_id, row.t, int(grown[0]), int(grown[1]), grown[2] / grown[3] if grown[3] else None, int(grown[3]))]
+
+    schema = "camera_id string, event_id long, t double, vehicles_detected long, plates_read long, avg_ocr_confidence double, ocr_reads long"
+    rows = counters.select("camera_id", "t", "event_id", *names)
+    return folded(rows, ["camera_id"], ["t", "event_id"], lambda _: {"t": None, "was": [0] * len(names)}, step, lambda *_: [], schema).withColumn("avg_ocr_confidence", F.round("avg_ocr_confidence", 4))

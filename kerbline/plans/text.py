@@ -38,8 +38,8 @@ def str_normalize(spark, sf_dir):
     digits = F.lpad((F.col("vehicle_id") % 10_000).cast("string"), 4, "0")
     tail = F.when(F.col("vehicle_id") % 10 == 0, F.concat(F.substring(digits, 1, 3), F.lit("o"))).otherwise(digits)
     raw = F.concat(F.lit("up "), F.when(F.col("k") % 2 == 0, "3Z").otherwise("32"), F.lit("-ab "), tail)
-    out = plates.normalised(raw)
-    return T.observations(spark, sf_dir).select("event_id", out["normalized"].alias("normalized"), out["is_valid"].alias("is_valid"), F.size(out["corrections"]).alias("corrections"))
+    found = plates.with_normalised(T.observations(spark, sf_dir).select("event_id", raw.alias("raw")), "raw")
+    return found.select("event_id", "plate.normalized", "plate.is_valid", F.size("plate.corrections").alias("corrections"))
 
 
 @query(T.with_("obs") + """SELECT event_id, CASE WHEN d = 0 THEN 0.0::DOUBLE ELSE d END AS distance, round(CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE 1 - d / 10 END, 6) AS similarity FROM (SELECT event_id, [0, 0.35, 1.0, 0.7][k % 4 + 1]::DOUBLE AS d FROM obs)""")

@@ -1,6 +1,6 @@
-"""Settings, change logs, the scenario, vectors as texts, evidence."""
+"""Settings, change logs, vectors as texts, evidence."""
 
-from kerbline.sources import changes, scenario, settings
+from kerbline.sources import changes, settings
 
 
 def test_settings_merge_and_are_checked():
@@ -19,12 +19,3 @@ def test_changes_are_read_as_the_newest(spark):
     assert sorted((r.id, r.v) for r in changes.current(log, ["id"], ["n"]).collect()) == [(1, "b"), (3, None)]
     gone = spark.createDataFrame([(1,)], "id int")
     assert sorted(r.id for r in changes.cascaded(gone, log.select("id"), ["id"]).collect()) == [2, 2, 3]
-
-
-def test_the_scenario_repeats_itself(spark):
-    routes = spark.createDataFrame([(0, ["a", "b", "c"], [60.0, 90.0]), (1, ["c"], [])], "route_id long, cameras array<string>, seconds array<double>")
-    once, again = (sorted(map(tuple, scenario.sightings(spark, routes.repartition(n), 50, 2).collect())) for n in (1, 4))
-    assert once == again and {x[1] for x in once} == {0, 1}
-    for trip in {x[0] for x in once}:
-        times = [x[7] for x in sorted(x for x in once if x[0] == trip) for _ in [0]]
-        assert times == sorted(times) and len(times) in (1, 3)
