@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kerbline.operators.folds import min_separation, trailing
+from kerbline.sources.lineage import cut
 
 #: Severity and cooldown of each rule.
 RULES = {
@@ -28,6 +29,20 @@ def all_rules(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def isolated(rules: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """Rows of all rules, each run by itself, and what went wrong by rule: one that fails takes no other with it.
+
+    A rule's rows are written to the shared folder as they are worked out, since only then does a failure show.
+    """
+    made, failed = [], {}
+    for name, rule in rules.items():
+        try:
+            made.append(cut(rule()))
+        except Exception as error:  # whatever a rule may do
+            failed[name] = f"{type(error).__name__}: {error}"[:2000]
+    return (all_rules(*made) if made else None), failed
+
+
 def wrong_way(obs: DataFrame, cameras: DataFrame, min_frames: int = 4) -> DataFrame:
     """Tracks against the flow of a one-way road, of enough frames or of an unknown number."""
     one_way = cameras.where("one_way").select("camera_id")

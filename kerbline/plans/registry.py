@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+DEFERRED: dict[str, Callable[[], str]] = {}
 
 
-def query(sql: str | None = None) -> Callable:
+def query(sql: str | None = None, deferred: Callable[[], str] | None = None) -> Callable:
+    """Registers a query with its SQL, or with what makes it from other queries' SQL once all are registered."""
+
     def added(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
+        if deferred:
+            DEFERRED[f.__name__] = deferred
         return f
 
     return added
@@ -26,4 +31,4 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     queries()
-    return dict(SQL)
+    return SQL | {name: made() for name, made in DEFERRED.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import plates
 from kerbline.operators import alerts, folds, search
-from kerbline.plans.registry import query
+from kerbline.plans.registry import SQL, query
 from kerbline.plans.traffic import _BASELINE, _CONGESTION, _RATIOS, _WINDOW, _ratios
 from kerbline.sources import tables as T
 
@@ -29,7 +29,9 @@ def win_rolling_count(spark, sf_dir):
     return alerts.repeated_counts(T.observations(spark, sf_dir), ["camera_id", "vehicle_id"], 172_800).select("event_id", "recent")
 
 
-@query()
+@query(T.with_("obs") + """, seen AS (SELECT event_id, list(t) OVER (PARTITION BY camera_id, vehicle_id ORDER BY t RANGE BETWEEN 172800 PRECEDING AND CURRENT ROW) AS times FROM obs),
+counted AS (SELECT event_id, list_reduce(list_transform(list_sort(times), lambda x: {'last': x, 'n': 1}), lambda a, x: CASE WHEN x.last - a.last >= 21600 THEN {'last': x.last, 'n': a.n + 1} ELSE a END).n AS passages FROM seen)
+SELECT * FROM counted WHERE passages >= 3""")
 def rl_repeated(spark, sf_dir):
     return alerts.repeated_sightings(T.observations(spark, sf_dir), ["camera_id", "vehicle_id"], 172_800, 3, 21_600).select("event_id", "passages")
 
@@ -120,16 +122,42 @@ def jn_retrospective(spark, sf_dir):
     return search.retrospective(T.observations(spark, sf_dir), search.active_entries(entries(spark), T.NOW), T.NOW - 20 * 86_400, 0.8, 10).select("event_id", "entry_id")
 
 
+def _rules(spark, sf_dir):
+    """All rules by name, with the limits that their own queries have here."""
+    from kerbline.operators import congestion, travel
+
+    obs, status = T.observations(spark, sf_dir), _status(spark, sf_dir)
+    camera, t, now = F.col("camera_id"), F.col("t"), F.lit(T.NOW)
+    whole = lambda name, df, key, at=t, where=camera, action=None: alerts.raised(df, name, key, at, where, action)
+
+    def segments():
+        points = T.trajectory(spark, sf_dir)
+        base = travel.baselines(points, T.edges(spark), T.NOW, _BASELINE, _WINDOW)
+        recent = travel.segment_medians(travel.segment_samples(points, T.NOW - _WINDOW, T.NOW)).where("samples >= 2").join(base.select("from_id", "to_id", "seconds"), ["from_id", "to_id"])
+        ratio = F.col("median_s") / F.greatest("seconds", F.lit(1.0))
+        return recent.withColumn("action", F.when(ratio >= 1.1, "raise").when(ratio < 1.0, "resolve")).where("action is not null")
+
+    moving = obs.withColumn("motion", F.when(F.col("k") % 7 == 0, "against_flow").otherwise("with_flow")).withColumn("frames", F.when(F.col("k") >= 50, F.col("k") - 50))
+    slow = T.paths(spark).withColumn("min_travel_s", F.col("min_travel_s") * 100)
+    return {
+        "CAMERA_OFFLINE": lambda: whole("CAMERA_OFFLINE", alerts.status_changes(status), camera, action=F.col("action")),
+        "CAMERA_DEGRADED": lambda: whole("CAMERA_DEGRADED", alerts.degraded(status, T.NOW + 86_400), camera, F.col("since_s")),
+        "WATCHLIST_MATCH": lambda: whole("WATCHLIST_MATCH", search.watchlist_matches(obs, search.active_entries(entries(spark), T.NOW), 0.8), F.concat_ws(":", "entry_id", "camera_id")),
+        "WRONG_WAY": lambda: whole("WRONG_WAY", alerts.wrong_way(moving, T.cameras(spark)), F.concat_ws(":", "camera_id", "vehicle_id")),
+        "IMPOSSIBLE_TRAVEL": lambda: whole("IMPOSSIBLE_TRAVEL", alerts.impossible_travel(obs, slow), F.col("plate")),
+        "REPEATED_SIGHTING": lambda: whole("REPEATED_SIGHTING", alerts.repeated_sightings(obs, ["camera_id", "vehicle_id"], 172_800, 3, 21_600), F.concat_ws(":", "camera_id", "vehicle_id")),
+        "SEVERE_CONGESTION": lambda: whole("SEVERE_CONGESTION", alerts.congestion_actions(congestion.congestion(T.hourly(spark, sf_dir), _ratios(spark, sf_dir), T.NOW, _WINDOW, _BASELINE), 60, 55), camera, now, action=F.col("action")),
+        "OCR_DEGRADATION": lambda: whole("OCR_DEGRADATION", alerts.ocr_drop(obs, T.NOW, 86_400, 10 * 86_400, 8, 0.02).where("action is not null"), camera, now, action=F.col("action")),
+        "TRAFFIC_SURGE": lambda: whole("TRAFFIC_SURGE", alerts.surge(T.hourly(spark, sf_dir), T.NOW, 86_400, _BASELINE, 8, 1.02).where("surge"), camera, now),
+        "TRAVEL_TIME_ANOMALY": lambda: whole("TRAVEL_TIME_ANOMALY", segments(), F.concat_ws(">", "from_id", "to_id"), now, F.col("to_id"), F.col("action")),
+    }
+
+
 def _actions(spark, sf_dir):
-    obs = T.observations(spark, sf_dir)
-    status = alerts.status_changes(_status(spark, sf_dir))
-    watch = search.watchlist_matches(obs, search.active_entries(entries(spark), T.NOW), 0.8)
-    wrong = alerts.wrong_way(obs.withColumn("motion", F.when(F.col("k") % 7 == 0, "against_flow")).withColumn("frames", F.col("k")), T.cameras(spark))
-    return alerts.all_rules(
-        alerts.raised(status, "CAMERA_OFFLINE", F.col("camera_id"), F.col("t"), F.col("camera_id"), F.col("action")),
-        alerts.raised(watch, "WATCHLIST_MATCH", F.concat_ws(":", "entry_id", "camera_id"), F.col("t"), F.col("camera_id")),
-        alerts.raised(wrong, "WRONG_WAY", F.concat_ws(":", "camera_id", "vehicle_id"), F.col("t"), F.col("camera_id")),
-    )
+    found, failed = alerts.isolated(_rules(spark, sf_dir))
+    if failed:
+        raise RuntimeError(f"rules failed: {failed}")
+    return found
 
 
 @query()
@@ -137,6 +165,18 @@ def rl_engine(spark, sf_dir):
     return _actions(spark, sf_dir)
 
 
+def _engine_sql() -> str:
+    """Raises and recoveries of each rule, counted over the rules' own SQL."""
+    from kerbline.plans import further  # noqa: F401  registers rl_travel
+
+    of = {
+        "CAMERA_OFFLINE": ("rl_offline", "action"), "CAMERA_DEGRADED": ("rl_degraded", "'raise'"), "WATCHLIST_MATCH": ("jn_watchlist", "'raise'"), "WRONG_WAY": ("rl_wrong_way", "'raise'"), "IMPOSSIBLE_TRAVEL": ("rl_impossible", "'raise'"),
+        "REPEATED_SIGHTING": ("rl_repeated", "'raise'"), "SEVERE_CONGESTION": ("rl_congestion", "action"), "OCR_DEGRADATION": ("rl_ocr", "action"), "TRAFFIC_SURGE": ("rl_surge", "CASE WHEN surge THEN 'raise' END"), "TRAVEL_TIME_ANOMALY": ("rl_travel", "action"),
+    }
+    rules = " UNION ALL ".join(f"SELECT '{rule}' AS type, {action} AS action FROM ({SQL[name]})" for rule, (name, action) in of.items())
+    return f"SELECT type, action, count(*) AS n FROM ({rules}) WHERE action IS NOT NULL GROUP BY type, action"
+
+
 @query()
 def al_raise(spark, sf_dir):
     return alerts.coded(alerts.lifecycle(_actions(spark, sf_dir)))
@@ -184,3 +224,8 @@ walk AS (SELECT vehicle_id, i, event_id, t, true AS allowed, [t] AS live FROM or
 SELECT vehicle_id, t, event_id, allowed FROM walk""")
 def rate_limit(spark, sf_dir):
     return folds.rate_limited(T.observations(spark, sf_dir), "vehicle_id", 3, 86_400)
+
+
+@query(deferred=_engine_sql)
+def rl_engine_counts(spark, sf_dir):
+    return _actions(spark, sf_dir).groupBy("type", "action").agg(F.count("*").alias("n"))

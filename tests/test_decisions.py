@@ -218,6 +218,14 @@ def test_alerts_against_a_search_of_all(spark, small):
     assert len(set(codes)) == len(codes) > 0
 
 
+def test_a_rule_that_fails_takes_no_other_with_it(spark):
+    good = spark.createDataFrame([("a", 1.0)], "camera_id string, t double")
+    broken = lambda: good.where(F.raise_error(F.lit("no such thing")).isNull())
+    raised = lambda df, rule: alerts.raised(df, rule, F.col("camera_id"), F.col("t"), F.col("camera_id"))
+    found, failed = alerts.isolated({"one": lambda: raised(good, "WRONG_WAY"), "two": lambda: raised(broken(), "WRONG_WAY"), "three": lambda: 1 / 0, "four": lambda: raised(good, "CAMERA_OFFLINE")})
+    assert sorted(r.type for r in found.collect()) == ["CAMERA_OFFLINE", "WRONG_WAY"] and set(failed) == {"two", "three"}
+
+
 def test_repeated_passages_against_search(spark, small):
     rows = T.observations(spark, small).select("event_id", "camera_id", "vehicle_id", "t").collect()
     want = {}
