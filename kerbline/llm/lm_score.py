@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.shared import block_count, columns, released, stored, text_batches
+from kerbline.llm.shared import block_count, columns, stored, text_batches
 from kerbline.llm.textnum import BASE, mixed, word_hashes
 
 #: Bytes of input files in a block; more for inputs of many terabytes, since what blocks send are blocks squared arrays.
@@ -175,7 +175,6 @@ def score(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> Dat
 
     sent = rows.select("block", "text", "train").groupBy("block").applyInPandas(words, _SENT)
     known = stored(sent.groupBy("part").applyInPandas(_summed, _COUNTS), "lm-words")
-    released(spark)
     total, types = (int(x or 0) for x in known.agg(F.sum("n"), F.sum("types")).first())
 
     def bigrams(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
@@ -190,7 +189,6 @@ def score(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> Dat
     returned = known.select("block", "part", "counts")
     sent = rows.select("block", "text", "train").groupBy("block").cogroup(returned.groupBy("block")).applyInPandas(bigrams, _SENT)
     pairs = stored(sent.groupBy("part").applyInPandas(_summed, _COUNTS), "lm-bigrams")
-    released(spark)
     # One row for each size class, of which there are 64 at most.
     share_new = {r["size"]: min(0.999, (r["once"] + 0.5) / (r["n"] + 1)) for r in pairs.selectExpr("explode(classes) c").groupBy("c.size").agg(F.sum("c.once").alias("once"), F.sum("c.n").alias("n")).collect()}
 

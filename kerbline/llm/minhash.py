@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.components import components
-from kerbline.llm.shared import columns, dropped, released, stored, text_batches
+from kerbline.llm.shared import columns, dropped, stored, text_batches
 from kerbline.llm.textnum import BASE, mixed, shingle_hashes, word_hashes
 
 #: Bands of so many minima each: two sets of similarity 0.8 share none with probability 5e-6.
@@ -169,7 +169,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, le
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     found = stored(full.select("a", "chunk", "member", "cid", "shingles").mapInPandas(compare, "a long, b long").distinct(), "minhash-links")
-    released(docs.sparkSession)
     dropped(dealt)
     return found
 
@@ -222,7 +221,6 @@ def _across(active: DataFrame, labels: DataFrame, docs: DataFrame, classes: Data
 
     screened = left.select(names).unionByName(right.select(names)).groupBy(*keys).applyInPandas(screen, "key long, at_i long, at_j long, asks boolean, cid long, own long")
     screened = stored(screened, "minhash-screened")
-    released(docs.sparkSession)
     sets = stored(_sets_of(screened.select("cid").distinct(), docs, classes, k), "minhash-sets")
     top, of = least
 
@@ -262,11 +260,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, least: tuple[int, int] =
     sketches = stored(sketch(docs, k, bands, rows), "minhash-sketches")
     classes = sketches.where("cid is not null and doc_id is not null").groupBy("cid", "digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("of"))
     classes = stored(classes.select("cid", "rep", "last", "of.sig", "of.bands"), "minhash-classes")
-    released(spark)
     keys = classes.select("cid", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader != last").select("key", "leader")
     active = stored(keys.join(buckets, "key").select("key", "leader", "cid"), "minhash-buckets")
-    released(spark)
     pairs = stored(active.where("cid != leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), "minhash-pairs")
     links = _confirmed(stored(_agreeing(pairs, classes, least), "minhash-agreeing"), docs, classes, k, least)
     links = stored(links.unionByName(_across(active, components(links), docs, classes, k, least)), "minhash-all-links")

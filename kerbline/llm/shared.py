@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -11,17 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting by which the shuffle files of an execution are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests, one machine), one below /tmp."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which the executors share too."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or "/tmp/checkpoints").rstrip("/")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    Nothing reads the shuffles of a stored step again, so their files go as soon as it is written.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,14 +64,6 @@ def text_batches(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark's context cleaner remove the shuffle files of steps whose results are stored, instead of at some later time."""
-    for _ in range(2):  # the first may come before the listeners have let go of the last plan
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def block_count(df: DataFrame, block_bytes: int) -> int:
     """How many blocks hold about ``block_bytes`` of the files that ``df`` scans each: by its scan tasks, and so by the size of the input."""
     spark = df.sparkSession
