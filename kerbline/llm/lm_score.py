@@ -1,33 +1,45 @@
-"""Language-model scoring: a weighted backoff automaton over word bigrams, learnt from all training rows.
-
-The model is P(w | h) = (1 - l) c(h, w) / c(h) + l P(w), where P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) and l depends on
-the size class of c(h): the share of the class's bigram tokens that occur once (Good and Turing's estimate of what is new).
-As an automaton, each word seen in training is a state; an explicit arc leads along each seen bigram, and a failure arc of
-weight l leads to the empty history. One walk over a text carries the state and adds up the weights.
-
-The model grows with the corpus, so it is never in one place. Rows are dealt to blocks by hash, and a block asks only for
-what it holds: its distinct words and bigrams go, as sorted hashes, to the ranges of hashes that count them over all
-blocks, and the counts come back in the same order. Each block then builds its own part of the automaton and walks it.
-What is sent is one array for each block and range, already summed within the block; no range is hot, since a block sends
-each word or bigram once.
+"""Language-model scoring: a weighted backoff automaton over word trigrams, learnt from all training rows.
+
+The model is P(w | h) = (1 - l) c(h, w) / c(h) + l P(w | h'), where h' is h without its first word, and without history
+P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). The share l depends on the order and on the size class of c(h): it is the share of
+the class's tokens whose n-gram occurs once (Good and Turing's estimate of what is new).
+
+As an automaton, each bigram and each word seen in training is a state, and so are the start of a text and the empty
+history. An explicit arc leads along each seen n-gram, and a failure arc of weight l leads to the state of the shorter
+history. One walk from left to right carries the longest known history, adds up the explicit arcs of its state and of those
+along its failure arcs, and accumulates the logarithms.
+
+The model grows with the corpus, so it is never in one place. Rows are gathered into blocks, and a block asks only for what
+it holds: its distinct n-grams go, as sorted hashes, to the ranges of hashes that count them over all blocks, and the
+counts come back in the same order. Words and bigrams go first. A trigram can only stand in another block if both its
+bigrams do, and so only such trigrams go in the second exchange; the others are counted where they are. Each block then
+builds its own part of the automaton and walks it. What is sent is an array for each block and range that isn't empty, so
+never more arrays than n-grams, already summed within the block; no range is hot, since a block sends each n-gram once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.shared import block_count, columns, stored, text_batches
+from kerbline.llm.shared import dropped, stored, text_batches
 from kerbline.llm.textnum import BASE, mixed, word_hashes
 
-#: Bytes of input files in a block; more for inputs of many terabytes, since what blocks send are blocks squared arrays.
-BLOCK_BYTES = 8_000_000
+#: Characters of a block; a longer text is a block of its own. Blocks whose n-grams are counted together in one range.
+BLOCK_CHARS, BLOCKS_OF_RANGE = 5_000_000, 3
 #: Hashes of the end of a text (a token) and of the start (only a history).
 END, START = np.uint64(0x517CC1B727220A95), np.uint64(0x6C62272E07BB0142)
+#: Share of what is new where no training row tells it, and the most that it can be.
+UNKNOWN_SHARE, MOST_SHARE = 0.5, 0.999
 
-_COUNTS = "block int, part int, counts binary, n long, types long, classes array<struct<size: int, once: long, n: long>>"
+_SENT = "order int, part int, block long, keys binary, counts binary, classes binary, stats array<struct<order: int, size: int, once: long, n: long>>"
+_COUNTS = "order int, part int, block long, counts binary, n long, types long, stats array<struct<order: int, size: int, once: long, n: long>>"
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -35,7 +47,7 @@ def packed(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def unpacked(data: bytes, dtype: type) -> np.ndarray:
+def unpacked(data: bytes, dtype: type = np.uint64) -> np.ndarray:
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
@@ -45,7 +57,7 @@ def packed_sorted(x: np.ndarray) -> bytes:
 
 
 def unpacked_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+    return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
 def parts(keys: np.ndarray, n: int) -> np.ndarray:
@@ -54,149 +66,241 @@ def parts(keys: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, firsts), len(keys))
 
 
+def size_class(c: np.ndarray) -> np.ndarray:
+    return np.frexp(np.maximum(c, 1).astype(np.float64))[1].astype(np.uint8)
+
+
+def gathered(docs: DataFrame, train: Column, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) in blocks: one row each of ids, compressed texts, their lengths and whether they teach."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = TaskContext.get()
+        base, made, held, size = (context.partitionId() if context else 0) << 33, 0, [], 0
+
+        def row() -> pd.DataFrame:
+            nonlocal made, size
+            data = [x.encode("utf-8", "surrogatepass") for _, x, _ in held]
+            lengths = np.array([len(x) for x in data], np.uint64)
+            frame = pd.DataFrame({"block": [base + made], "ids": [[i for i, _, _ in held]], "texts": [zstandard.ZstdCompressor(level=1).compress(b"".join(data))], "lengths": [packed(lengths)], "train": [bytes(t for _, _, t in held)]})
+            made, size = made + 1, 0
+            held.clear()
+            return frame
+
+        for batch in batches:
+            for i, x, t in zip(batch["doc_id"].tolist(), batch["text"].tolist(), batch["train"].tolist(), strict=True):
+                if held and size + len(x) > block_chars:
+                    yield row()
+                held.append((None if pd.isna(i) else i, x, bool(t)))
+                size += len(x) + 1
+        if held:
+            yield row()
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    return stored(rows.mapInPandas(task, "block long, ids array<string>, texts binary, lengths binary, train binary"), "lm-blocks")
+
+
 class Block:
-    """Tokens of a block's texts: ``rank`` into its sorted distinct ``words``, text by text, each with its end."""
+    """A block's tokens, text by text, each with its end: their ranks among its sorted distinct words and bigrams.
+
+    Histories of tokens: the word before (the start before a text's first), and the bigram that ends there.
+    """
 
-    def __init__(self, texts: list, train: np.ndarray) -> None:
+    def __init__(self, row: pd.Series) -> None:
+        self.block, self.ids = int(row["block"]), list(row["ids"])
+        data, ends = zstandard.ZstdDecompressor().decompress(row["texts"]), np.cumsum(unpacked(row["lengths"]).astype(np.int64))
+        starts = np.append(0, ends[:-1]) if len(ends) else ends
+        texts = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         found, lengths = [], []
         for a, b in text_batches(texts, 128_000):
             h, offsets = word_hashes(texts[a:b])
-            ends = offsets[1:]
-            found.append(np.insert(h, ends, END))
+            found.append(np.insert(h, offsets[1:], END))
             lengths.append(np.diff(offsets) + 1)
-        tokens = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        self.lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+        tokens = np.concatenate(found)
+        self.lengths = np.concatenate(lengths)
         self.first = np.cumsum(self.lengths) - self.lengths
+        self.train = np.repeat(np.frombuffer(row["train"], bool), self.lengths)
         self.words, self.rank = np.unique(tokens, return_inverse=True)
-        self.train = np.repeat(train, self.lengths)
-
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.rank, weights=self.train, minlength=len(self.words)).astype(np.uint32)
-
-    def histories(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and training count of each token's history, the start's at the first token of a text."""
-        before = np.empty_like(self.rank)
-        before[1:] = self.rank[:-1]
-        before[self.first] = 0
-        h, c = self.words[before], counts[before].astype(np.int64)
-        h[self.first] = START
-        c[self.first] = counts[np.searchsorted(self.words, END)]
-        return h, c
-
-    def bigrams(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct bigrams whose words training knows, each token's rank among them (-1: none), and their histories' size classes."""
-        h, c = self.histories(counts)
-        known = (c > 0) & (counts[self.rank] > 0)
-        keys, at = np.unique(mixed(h[known] * np.uint64(BASE) + self.words[self.rank[known]]), return_inverse=True)
-        rank = np.full(len(h), -1)
-        rank[known] = at
-        classes = np.zeros(len(keys), np.uint8)
-        classes[at] = size_class(c[known])
-        return keys, rank, classes, c
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        before[self.first] = START
+        self.bigrams, self.bigram = np.unique(mixed(before * np.uint64(BASE) + tokens), return_inverse=True)
+        self.tokens = tokens
+
+    def trigrams(self, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct trigrams and each token's rank among them, -1 for a text's first token and tokens not in ``among``."""
+        has = np.ones(len(self.tokens), bool) if among is None else among.copy()
+        has[self.first] = False
+        at = np.flatnonzero(has)
+        keys, rank = np.unique(mixed(self.bigrams[self.bigram[at - 1]] * np.uint64(BASE) + self.tokens[at]), return_inverse=True)
+        out = np.full(len(self.tokens), -1)
+        out[at] = rank
+        return keys, out
+
+    def counts(self, rank: np.ndarray, n: int) -> np.ndarray:
+        """Training counts of the block's n-grams by their tokens' ranks."""
+        has = rank >= 0
+        return np.bincount(rank[has], weights=self.train[has], minlength=n).astype(np.uint64)
 
 
-def size_class(c: np.ndarray) -> np.ndarray:
-    return np.frexp(np.maximum(c, 1).astype(np.float64))[1].astype(np.uint8)
+class Totals:
+    """Counts over all blocks as they came back to a block, with whether another block has the n-gram and whether this block tells of it."""
+
+    def __init__(self, back: pd.DataFrame, order: int) -> None:
+        found = [unpacked(x) for x in back[back["order"] == order].sort_values("part")["counts"]]
+        x = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        self.count, self.elsewhere, self.own = (x >> np.uint64(2)).astype(np.int64), (x & np.uint64(2)) > 0, (x & np.uint64(1)) > 0
+
+
+def _histories(block: Block, words: Totals, bigrams: Totals) -> tuple[np.ndarray, np.ndarray]:
+    """Training count of each token's history of one word, and of two (0 at a text's first token)."""
+    one, two = np.empty(len(block.rank), np.int64), np.zeros(len(block.rank), np.int64)
+    one[1:] = words.count[block.rank[:-1]]
+    one[block.first] = words.count[np.searchsorted(block.words, END)]
+    two[1:] = bigrams.count[block.bigram[:-1]]
+    two[block.first] = 0
+    return one, two
+
+
+def _class_sums(order: int, classes: np.ndarray, counts: np.ndarray) -> list[dict]:
+    once, n = np.bincount(classes[counts == 1], minlength=256), np.bincount(classes, weights=counts, minlength=256)
+    return [{"order": order, "size": int(i), "once": int(once[i]), "n": int(n[i])} for i in np.flatnonzero(n)]
+
+
+def _of_types(rank: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    """A value of each distinct n-gram from those of its tokens."""
+    out, has = np.zeros(n, values.dtype), rank >= 0
+    out[rank[has]] = values[has]
+    return out
 
 
 class Automaton:
-    """The part of the automaton that a block needs; states are its distinct histories, arcs its distinct bigrams."""
-
-    def __init__(self, block: Block, counts: np.ndarray, arcs: np.ndarray, total: int, types: int, share_new: dict[int, float]) -> None:
-        self.block, self.counts = block, counts
-        self.base = np.log10((counts + 0.5) / (total + 0.5 * (types + 1)))
-        _, self.arc, _, self.history = block.bigrams(counts)
-        self.arcs = arcs
-        table = np.full(256, 0.5)
-        for size, share in share_new.items():
-            table[size] = share
-        self.failure = np.where(self.history > 0, table[size_class(self.history)], 1.0)
+    """A block's part of the automaton: states, their failure arcs and weights, and the explicit arcs that its tokens ask for.
 
-    def walk(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text: known tokens, the base score and the model's score. The state before a token is that of the token before it."""
-        own = np.where(self.arc >= 0, self.arcs[self.arc] if len(self.arcs) else 0, 0)
-        base = self.base[self.block.rank]
-        explicit = (1 - self.failure) * own / np.maximum(self.history, 1)
-        score = np.log10(explicit + self.failure * np.power(10.0, base))
-        sums = lambda x: np.add.reduceat(x, self.block.first) if len(x) else np.zeros(0)
-        return sums((self.counts[self.block.rank] > 0).astype(np.int64)), sums(base), sums(score)
+    State 0 is the empty history, then follow the words, the start of a text, and the bigrams. A history that training
+    doesn't know has no arcs, and its failure arc has weight 1.
+    """
 
+    def __init__(self, block: Block, words: Totals, bigrams: Totals, trigrams: np.ndarray, total: int, types: int, share_new: dict[tuple[int, int], float]) -> None:
+        self.block, n = block, len(block.words)
+        self.base = np.log10((words.count + 0.5) / (total + 0.5 * (types + 1)))
+        self.known = words.count > 0
+        last = _of_types(block.bigram, len(block.bigrams), block.rank)
+        self.start = n + 1
+        self.count = np.concatenate([[0], words.count, [words.count[np.searchsorted(block.words, END)]], bigrams.count])
+        self.failure = np.concatenate([np.zeros(n + 2, np.int64), last + 1])
+        self.depth = np.concatenate([[0], np.ones(n + 1, np.int64), np.full(len(bigrams.count), 2)])
+        table = np.full((3, 256), UNKNOWN_SHARE)
+        for (order, size), share in share_new.items():
+            table[order - 1, size] = share
+        self.weight = np.where(self.count > 0, table[self.depth, size_class(self.count)], 1.0)
+        self.arcs = (bigrams.count[block.bigram], trigrams)  # of each token, from a state of one word and of two
 
-def _sent(keys: np.ndarray, counts: np.ndarray, classes: np.ndarray | None, block: int, n_parts: int) -> pd.DataFrame:
+    def walk(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: known tokens, the base score and the model's score."""
+        block = self.block
+        state = np.empty(len(block.rank), np.int64)  # before each token: the longest history
+        state[1:] = len(block.words) + 2 + block.bigram[:-1]
+        state[block.first] = self.start
+        base = self.base[block.rank]
+        chance, passed = np.zeros(len(state)), np.ones(len(state))
+        while (at := np.flatnonzero(state)).size:
+            here, weight = state[at], self.weight[state[at]]
+            own = np.where(self.depth[here] == 2, self.arcs[1][at], self.arcs[0][at])
+            chance[at] += passed[at] * (1 - weight) * own / np.maximum(self.count[here], 1)
+            passed[at] *= weight
+            state[at] = self.failure[here]
+        score = np.log10(chance + passed * np.power(10.0, base))
+        sums = lambda x: np.add.reduceat(x, block.first)
+        return sums(self.known[block.rank].astype(np.int64)), sums(base), sums(score)
+
+
+def _sent(order: int, block: int, keys: np.ndarray, counts: np.ndarray, classes: np.ndarray | None, n_parts: int) -> list[tuple]:
     at = parts(keys, n_parts)
-    rows = [(block, p, packed_sorted(keys[a:b]), packed(counts[a:b]), b"" if classes is None else classes[a:b].tobytes()) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-    return pd.DataFrame(rows, columns=["block", "part", "keys", "counts", "classes"])
+    return [(order, p, block, packed_sorted(keys[a:b]), packed(counts[a:b]), b"" if classes is None else classes[a:b].tobytes(), []) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
 
 
-_SENT = "block int, part int, keys binary, counts binary, classes binary"
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["order", "part", "block", "keys", "counts", "classes", "stats"])
 
 
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Counts over all blocks of the keys of one range, returned to each block in the order of its keys."""
+    """Counts over all blocks of the keys of one range, returned to each block in the order of its keys; sums of a block pass through."""
+    order, told = int(rows["order"].iat[0]), [x for s in rows["stats"] for x in s]
+    out = pd.DataFrame({"order": order, "part": rows["part"], "block": rows["block"], "counts": b"", "n": 0, "types": 0, "stats": [[] for _ in range(len(rows))]})
+    if order == 0:
+        out.at[out.index[0], "stats"] = told
+        return out
     sent = [unpacked_sorted(x) for x in rows["keys"]]
-    counts = np.concatenate([unpacked(x, np.uint32) for x in rows["counts"]]).astype(np.int64)
-    keys, at = np.unique(np.concatenate(sent), return_inverse=True)
-    total = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.uint32)
-    back = np.split(total[at], np.cumsum([len(x) for x in sent])[:-1])
-    stats: list = []
-    if rows["classes"].iat[0]:
-        classes = np.zeros(len(keys), np.uint8)
-        classes[at] = np.frombuffer(b"".join(rows["classes"]), np.uint8)
-        once = np.bincount(classes[total == 1], minlength=256)
-        n = np.bincount(classes, weights=total, minlength=256)
-        stats = [{"size": int(i), "once": int(once[i]), "n": int(n[i])} for i in np.flatnonzero(n)]
-    out = pd.DataFrame({"block": rows["block"], "part": rows["part"], "counts": [packed(np.ascontiguousarray(x)) for x in back], "n": 0, "types": 0, "classes": [[] for _ in range(len(rows))]})
-    out.loc[out.index[0], "n"] = int(total.sum())
-    out.loc[out.index[0], "types"] = int((total > 0).sum())
-    out.at[out.index[0], "classes"] = stats
+    counts = np.concatenate([unpacked(x) for x in rows["counts"]])
+    keys, first, at = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
+    total = np.zeros(len(keys), np.uint64)
+    np.add.at(total, at, counts)
+    back = (total << np.uint64(2) | (np.bincount(at, minlength=len(keys)) > 1).astype(np.uint64) << np.uint64(1))[at]
+    back[first] |= np.uint64(1)
+    out["counts"] = [packed(np.ascontiguousarray(x)) for x in np.split(back, np.cumsum([len(x) for x in sent])[:-1])]
+    out.loc[out.index[0], ["n", "types"]] = int(total.sum()), int((total > 0).sum())
+    if order == 3:
+        out.at[out.index[0], "stats"] = _class_sums(3, np.frombuffer(b"".join(rows["classes"]), np.uint8)[first], total)
     return out
 
 
-def _in_order(back: pd.DataFrame) -> np.ndarray:
-    found = [unpacked(x, np.uint32) for x in back.sort_values("part")["counts"]]
-    return np.concatenate(found) if found else np.zeros(0, np.uint32)
-
-
-def score(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: Column, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): n_tokens, n_known, train_tokens, base_score and score (log10).
 
     ``train`` says which rows teach the model. A null or empty text is its end alone; null ids stay null and, like
     repeated rows, are scored each; without any training row every token has probability 1; an empty table gives no
-    rows; other columns of ``docs`` are ignored.
+    rows; other columns of ``docs`` are ignored. Two n-grams whose hashes of 64 bits are equal count as one.
     """
-    spark = docs.sparkSession
-    n = block_count(columns(docs, "doc_id", "text"), block_bytes)
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    blocks = gathered(docs, train, block_chars)
+    n = max(1, -(-blocks.count() // BLOCKS_OF_RANGE))
 
-    def words(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = Block(pdf["text"].tolist(), pdf["train"].to_numpy(bool))
-        return _sent(block.words, block.word_counts(), None, int(pdf["block"].iat[0]), n)
+    def words_and_bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                b = Block(row)
+                yield _frame(_sent(1, b.block, b.words, b.counts(b.rank, len(b.words)), None, n) + _sent(2, b.block, b.bigrams, b.counts(b.bigram, len(b.bigrams)), None, n))
 
-    sent = rows.select("block", "text", "train").groupBy("block").applyInPandas(words, _SENT)
-    known = stored(sent.groupBy("part").applyInPandas(_summed, _COUNTS), "lm-words")
-    total, types = (int(x or 0) for x in known.agg(F.sum("n"), F.sum("types")).first())
+    sent = blocks.mapInPandas(words_and_bigrams, _SENT)
+    known = stored(sent.groupBy("order", "part").applyInPandas(_summed, _COUNTS), "lm-known")
+    total, types = (int(x or 0) for x in known.where("order = 1").agg(F.sum("n"), F.sum("types")).first())
 
-    def bigrams(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+    def trigrams(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame(columns=["block", "part", "keys", "counts", "classes"])
-        block = Block(pdf["text"].tolist(), pdf["train"].to_numpy(bool))
-        keys, rank, classes, _ = block.bigrams(_in_order(back))
-        has = rank >= 0
-        counts = np.bincount(rank[has], weights=block.train[has], minlength=len(keys)).astype(np.uint32)
-        return _sent(keys, counts, classes, int(pdf["block"].iat[0]), n)
-
-    returned = known.select("block", "part", "counts")
-    sent = rows.select("block", "text", "train").groupBy("block").cogroup(returned.groupBy("block")).applyInPandas(bigrams, _SENT)
-    pairs = stored(sent.groupBy("part").applyInPandas(_summed, _COUNTS), "lm-bigrams")
-    # One row for each size class, of which there are 64 at most.
-    share_new = {r["size"]: min(0.999, (r["once"] + 0.5) / (r["n"] + 1)) for r in pairs.selectExpr("explode(classes) c").groupBy("c.size").agg(F.sum("c.once").alias("once"), F.sum("c.n").alias("n")).collect()}
+            return _frame([])
+        b = Block(pdf.iloc[0])
+        words, bigrams = Totals(back, 1), Totals(back, 2)
+        one, two = _histories(b, words, bigrams)
+        met = bigrams.elsewhere[b.bigram]
+        met[1:] &= bigrams.elsewhere[b.bigram[:-1]]
+        keys, rank = b.trigrams(met)
+        alone, own = b.trigrams(~met)
+        stats = _class_sums(2, _of_types(b.bigram, len(b.bigrams), size_class(one))[bigrams.own], bigrams.count[bigrams.own])
+        stats += _class_sums(3, _of_types(own, len(alone), size_class(two)), b.counts(own, len(alone)))
+        return _frame([*_sent(3, b.block, keys, b.counts(rank, len(keys)), _of_types(rank, len(keys), size_class(two)), n), (0, b.block % 61, b.block, b"", b"", b"", stats)])
+
+    returned = known.select("order", "part", "block", "counts")
+    sent = blocks.groupBy("block").cogroup(returned.groupBy("block")).applyInPandas(trigrams, _SENT)
+    longer = stored(sent.groupBy("order", "part").applyInPandas(_summed, _COUNTS), "lm-trigrams")
+    # One row for each order and size class, of which there are 64 at most.
+    sums = longer.selectExpr("explode(stats) c").groupBy("c.order", "c.size").agg(F.sum("c.once").alias("once"), F.sum("c.n").alias("n")).collect()
+    share_new = {(r["order"], r["size"]): min(MOST_SHARE, (r["once"] + 0.5) / (r["n"] + 1)) for r in sums}
 
     def walked(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        block = Block(pdf["text"].tolist(), pdf["train"].to_numpy(bool))
-        auto = Automaton(block, _in_order(back[back["kind"] == 1]), _in_order(back[back["kind"] == 2]), total, types, share_new)
-        n_known, base, model = auto.walk()
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": block.lengths, "n_known": n_known, "train_tokens": total, "base_score": base, "score": model})
-
-    returned = returned.withColumn("kind", F.lit(1)).unionByName(pairs.select("block", "part", "counts").withColumn("kind", F.lit(2)))
-    return rows.groupBy("block").cogroup(returned.groupBy("block")).applyInPandas(walked, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        if not len(pdf):
+            return pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        b = Block(pdf.iloc[0])
+        words, bigrams = Totals(back, 1), Totals(back, 2)
+        met = bigrams.elsewhere[b.bigram]
+        met[1:] &= bigrams.elsewhere[b.bigram[:-1]]
+        (_, rank), (alone, own) = b.trigrams(met), b.trigrams(~met)
+        arcs, sent_counts = np.zeros(len(rank), np.int64), Totals(back, 3).count
+        arcs[rank >= 0] = sent_counts[rank[rank >= 0]]
+        arcs[own >= 0] = b.counts(own, len(alone)).astype(np.int64)[own[own >= 0]]
+        n_known, base, model = Automaton(b, words, bigrams, arcs, total, types, share_new).walk()
+        return pd.DataFrame({"doc_id": pd.array([None if i is None else int(i) for i in b.ids], "Int64"), "n_tokens": b.lengths, "n_known": n_known, "train_tokens": total, "base_score": base, "score": model})
+
+    returned = returned.unionByName(longer.where("order = 3").select("order", "part", "block", "counts"))
+    out = stored(blocks.groupBy("block").cogroup(returned.groupBy("block")).applyInPandas(walked, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+    for used in (blocks, known, longer):
+        dropped(used)
+    return out
