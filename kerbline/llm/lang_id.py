@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.shared import columns
+from kerbline.llm.shared import columns, stored
 from kerbline.llm.textnum import mixed
 
 ORDER, DISCOUNT = 4, 0.75
+#: Characters that the score's odds count at most.
+EVIDENCE = 40
 #: The bound of the sample: labelled rows of a language, in expectation, and characters of a sampled row at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 20_000
 #: One in so many sampled rows calibrates the rejection instead of fitting. The limit is the quantile of their
@@ -126,7 +128,7 @@ class Model:
         n = len(points) - 1
         entropy = -self.log_probs(points) / n
         best = int(np.argmin(entropy))
-        odds = np.exp(-(entropy - entropy[best]) * min(n, 40))
+        odds = np.exp(-(entropy - entropy[best]) * min(n, EVIDENCE))
         rejected = bool(entropy[best] > self.limit[best] + SHORT_MARGIN / np.sqrt(n))
         return self.langs[best], float(1 / odds.sum()), float(entropy[best]), rejected
 
@@ -183,18 +185,18 @@ def fit(labelled: DataFrame, order: int = ORDER, discount: float = DISCOUNT, sam
 
     About ``sample_rows`` rows of each language are drawn by a hash of the row's id, and so reruns agree. They bound what
     reaches the driver: the n-grams of ``sample_rows`` rows of ``sample_chars`` characters for each language. Longer rows
-    are left out of the sample, unless a language has no others. Every language gets a finite limit of rejection: that of
+    are left out of the sample, unless a language has no others. The model has a column for each distinct lang, and so these
+    should be languages and not free text. Every language gets a finite limit of rejection: that of
     its own held-out rows, and where these are few, that of all languages' but not below what its own ask for.
     """
     rows = columns(labelled, "doc_id", "text", "lang").where("text is not null and lang is not null")
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("draw")), F.lit(1 << 40)) / float(1 << 40)
     fits = F.length("text") <= sample_chars
-    sizes = rows.groupBy("lang").agg(F.count(F.when(fits, 1)).alias("n"), F.count("*").alias("all")).collect()
-    few = {r["lang"] for r in sizes if (r["n"] or r["all"]) < FEW_ROWS}
-    share: Column = F.lit(0.0)
-    for r in sizes:
-        part = F.when(fits, sample_rows / r["n"]).otherwise(0.0) if r["n"] else F.lit(sample_rows / r["all"])
-        share = F.when(F.col("lang") == r["lang"], part).otherwise(share)
+    sizes = stored(rows.groupBy("lang").agg(F.count(F.when(fits, 1)).alias("n"), F.count("*").alias("all")), "lang-sizes")
+    few = {r["lang"] for r in sizes.where(F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("all")) < FEW_ROWS).collect()}
+    # A row for each language, as the model has a column for each.
+    rows = rows.join(F.broadcast(sizes), "lang")
+    share = F.when(F.col("n") == 0, sample_rows / F.col("all")).when(fits, F.try_divide(F.lit(sample_rows), F.col("n"))).otherwise(0.0)
     sample = rows.where(drawn < share).withColumn("fold", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("fold")), F.lit(CALIBRATE)))
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,6 +248,10 @@ def fit(labelled: DataFrame, order: int = ORDER, discount: float = DISCOUNT, sam
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): language, score from 0 to 1, cross-entropy and whether rejected.
 
+    The language and the rejection go by the cross-entropy of the whole text. The score is the share of the best language in
+    odds of ``EVIDENCE`` characters at that cross-entropy (all characters of shorter texts), since the characters of a text
+    are no independent pieces of evidence, and with all of them the score would be 1 for any text of a few lines.
+
     Null texts and texts without a letter, and every text where nothing could be learnt, are ``und`` with score 0 and
     rejected. Texts of any length count whole. Null ids stay null, repeated rows are predicted each, other columns of
     ``docs`` are ignored. The model is bounded by the sample that it was fitted on.
