@@ -4,6 +4,10 @@ A template is any function from a list of (role, text) turns to a string. Succes
 rendered, and the outputs compared: what a prefix adds to the one before is its last turn's span. Where an output doesn't
 begin with the one before, the template rewrites history; the turn's span then begins where the two part, earlier spans
 are cut there, and the conversation is marked.
+
+Within a turn that is learnt from, the place of the text alone is found the same way: the turn is rendered with two other
+texts of one character each, and what these renderings share before and after that character is what the template puts
+around a text.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ TURN, TEXT, END = CONTROL[:3]
 _BEGINS = re.compile("|".join(f"{re.escape(x[0])}(?={re.escape(x[1:])})" for x in CONTROL))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
-SCHEMA = "conv_id long, n_turns long, formatted string, spans array<struct<role: string, first: long, last: long, loss: boolean>>, rewrites long"
+SCHEMA = "conv_id long, n_turns long, formatted string, spans array<struct<role: string, first: long, last: long, loss: boolean, text_first: long, text_last: long>>, rewrites long"
 
 
 def escaped(text: str) -> str:
@@ -41,37 +45,54 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"{TURN}{escaped(role)}{TEXT}{escaped(text)}{END}" for role, text in turns)
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+#: Two texts of one character that templates have no reason to treat differently from each other.
+PROBES = ("a", "b")
+
+
 class Spans:
-    """Renders ever longer prefixes of one conversation and keeps the span that each turn added."""
+    """Renders ever longer prefixes of one conversation and keeps the span that each turn added, and of turns of ``loss_roles`` that of the text in it."""
 
-    def __init__(self, template: Callable[[list[tuple[str, str]]], str]) -> None:
-        self.template = template
+    def __init__(self, template: Callable[[list[tuple[str, str]]], str], loss_roles: tuple[str, ...]) -> None:
+        self.template, self.loss_roles = template, loss_roles
         self.turns: list[tuple[str, str]] = []
         self.text = template([])
-        self.found: list[tuple[str, int, int]] = []
+        self.found: list[tuple[str, int, int, int, int]] = []
         self.rewrites = 0
 
     def add(self, role: str, text: str) -> None:
+        said, wanted = (len(self.text), len(self.text)), role in self.loss_roles
+        around = [self.template([*self.turns, (role, x)]) for x in PROBES] if wanted else []
         self.turns.append((role, text))
         now = self.template(self.turns)
         if now.startswith(self.text):
             at = len(self.text)
         else:
             self.rewrites += 1
-            low, high = 0, min(len(now), len(self.text))
-            while low < high:  # the longest common prefix
-                mid = (low + high + 1) // 2
-                low, high = (mid, high) if now[:mid] == self.text[:mid] else (low, mid - 1)
-            at = low
-            self.found = [(r, min(a, at), min(b, at)) for r, a, b in self.found]
+            at = _common(now, self.text)
+            self.found = [(r, *(min(x, at) for x in places)) for r, *places in self.found]
+        if wanted and around[0] != around[1]:
+            first = _common(*around)
+            said = first, max(first, len(now) - (len(around[0]) - first - 1))
+        elif wanted:  # a template that doesn't show the text
+            said = len(now), len(now)
         self.text = now
-        self.found.append((role, at, len(now)))
+        self.found.append((role, at, len(now), *said))
 
 
 def format_conversations(turns: DataFrame, template: Callable[[list[tuple[str, str]]], str] = render, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row for each conv_id of ``turns`` (conv_id, turn, role, text): the formatted text and each turn's span in it.
 
-    Spans are in code points, from ``first`` up to ``last``; ``loss`` marks turns of ``loss_roles``. Turns are ordered by
+    Spans are in code points, from ``first`` up to ``last``; ``loss`` marks turns of ``loss_roles``, of which ``text_first``
+    to ``text_last`` is the text alone, as the template wrote it: the loss mask (empty in other turns). Turns are ordered by
     turn (null first), role and text, so that ties and repeated rows have one order; null roles and texts are empty; the
     rows of a null conv_id are one conversation; an empty table gives no rows; other columns are ignored. ``rewrites``
     counts the turns at which the template changed what it had rendered before.
@@ -89,7 +110,7 @@ def format_conversations(turns: DataFrame, template: Callable[[list[tuple[str, s
 
         def close() -> None:
             if now is not None:
-                spans = [{"role": r, "first": a, "last": b, "loss": r in loss_roles} for r, a, b in now.found]
+                spans = [{"role": r, "first": a, "last": b, "loss": r in loss_roles, "text_first": x, "text_last": y} for r, a, b, x, y in now.found]
                 out.append((None if at is None else int(at), len(now.turns), now.text, spans, now.rewrites))
 
         def frame() -> pd.DataFrame:
@@ -102,7 +123,7 @@ def format_conversations(turns: DataFrame, template: Callable[[list[tuple[str, s
                 conv = None if pd.isna(conv) else conv
                 if now is None or conv != at:
                     close()
-                    now, at = Spans(template), conv
+                    now, at = Spans(template, loss_roles), conv
                 now.add(role, text)
             yield frame()
         close()
@@ -126,8 +147,9 @@ def digests(formatted: DataFrame) -> DataFrame:
                     role, said = (unescaped(x) for x in _TURN.fullmatch(text[span["first"] : span["last"]]).groups())
                     turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
                     if span["loss"]:
-                        loss.update(said.encode("utf-8", "surrogatepass"))
-                        chars += len(said)
+                        learnt = unescaped(text[span["text_first"] : span["text_last"]])
+                        loss.update(learnt.encode("utf-8", "surrogatepass"))
+                        chars += len(learnt)
                 out.append((None if pd.isna(conv) else int(conv), len(spans), turns.hexdigest(), chars, loss.hexdigest(), len(text)))
             yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
 
