@@ -6,8 +6,9 @@ packed from its own pieces; the gap of a window is filled with the longest piece
 last a piece is cut to close it. What a partition has left at its end is cut for ever shorter tiers, so that every window
 is full. Windows of a tier have one length, and step groups of the same number of tokens hold equal work.
 
-Every partition packs its own documents: no shuffle, no driver, memory bounded by a batch of texts, and a lost task
-repeats to the same result.
+Every partition packs its own documents: no shuffle of texts, memory bounded by a batch of them, and a lost task repeats to
+the same result. Step groups are dealt out afterwards, from the number of windows of each tier in each partition, so that
+groups run on over partitions and at most one of each tier isn't full.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from kerbline.llm.shared import columns
+from kerbline.llm.shared import columns, stored
 from kerbline.llm.tokens import encode, vocabulary_paths
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, part int, nth long"
 #: Context sizes, longest first; each is a power of two. The last ones take only what a partition has left at its end.
 TIERS, TAIL_TIERS = (1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1), 7
 #: Windows of the longest tier whose pieces wait, so that there is a choice to fill gaps from.
@@ -31,6 +34,8 @@ POOL = 128
 END_ID = 0
 #: Tokens of a step group: its sequences have one length, so that the groups of a tier hold equal work.
 STEP_TOKENS = 32_768
+#: Rows of three numbers that are broadcast at most.
+MOST_SENT = 500_000
 
 
 class Pieces:
@@ -93,14 +98,16 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID,
 
     A document is its token ids and then ``end_id``; a null or empty text is the end alone, a null doc_id stays null,
     repeated rows are packed each, an empty table gives no rows, and a text of any length is cut into windows. ``tier`` is
-    the length of the sequence, ``offset`` the piece's place there, ``step_group`` its group of ``step_tokens`` tokens.
+    the length of the sequence, ``offset`` the piece's place there, ``step_group`` its group of ``step_tokens`` tokens,
+    numbered within the tier; all groups of a tier but its last are full.
     """
     json_path, rank_path = (json_path, rank_path) if json_path and rank_path else vocabulary_paths()
     longest = tiers[0]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
-        base = (context.partitionId() if context else 0) << 33
+        part = context.partitionId() if context else 0
+        base = part << 33
         pieces, known, made, in_tier = Pieces(), {}, 0, dict.fromkeys(tiers, 0)
         serial = 0
 
@@ -108,19 +115,18 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID,
             nonlocal made
             out = []
             for tier, held in windows(pieces, tiers, last):
-                group = base + (tiers.index(tier) << 27) + in_tier[tier] * tier // step_tokens
-                in_tier[tier] += 1
                 offset = 0
                 for doc, start, length in held:
                     doc_id, ids, left = known[doc]
-                    out.append((doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), base + made, offset, tier, group))
+                    out.append((doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), base + made, offset, tier, part, in_tier[tier]))
                     offset += length
                     if left == length:
                         del known[doc]
                     else:
                         known[doc] = doc_id, ids, left - length
                 made += 1
-            frame = pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+                in_tier[tier] += 1
+            frame = pd.DataFrame(out, columns=[x.split()[0] for x in _PIECES.split(", ")])
             return frame.astype({"doc_id": "Int64"})
 
         for batch in batches:
@@ -142,4 +148,12 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID,
         yield rows(True)
 
     # The id goes through Arrow as decimal text where it may be null, so that no long passes through a float.
-    return columns(docs, "doc_id", "text").selectExpr("cast(doc_id as string) doc_id", "text").mapInPandas(task, SCHEMA)
+    packed = stored(columns(docs, "doc_id", "text").selectExpr("cast(doc_id as string) doc_id", "text").mapInPandas(task, _PIECES), "packed")
+    # A row for each partition and tier; numbered within the tier, partition by partition.
+    counts = packed.where("offset = 0").groupBy("tier", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = stored(counts.select("tier", "part", before.alias("before")), "packed-before")
+    # Eleven rows at most for each task of the scan.
+    rows = packed.join(F.broadcast(ahead) if ahead.count() <= MOST_SENT else ahead, ["tier", "part"])
+    group = F.floor((F.col("before") + F.col("nth")) / F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier")))).cast("long")
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", group.alias("step_group"))
