@@ -6,7 +6,9 @@ patterns to sources; what flows out of a pattern is then taken as whole document
 them for each full epoch, and a prefix of that order for the rest.
 
 Only sums for each pattern and each hash bucket of a pattern are gathered; the prefix is found on those sums, and exactly
-within the one bucket in which it ends. No task sees all documents of a source.
+within the one bucket in which it ends. No task sees all documents of a source. Targets are found on the table of sources. A
+source that shares no document with another gets its target from its own pattern, whatever the number of such sources; the
+flow is solved on the driver for the patterns of sources that overlap, whose number doesn't grow with documents.
 """
 
 from __future__ import annotations
@@ -24,25 +26,37 @@ from kerbline.llm.shared import columns, stored
 WEIGHTS, SHARE, EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2, "mix-1"
 #: Hash buckets of a pattern: the prefix ends within one of them. A power of 16, being leading hexadecimal digits.
 BUCKET_DIGITS = 3
-#: Patterns and sources that the driver's flow may hold; the count of either doesn't grow with documents.
-MOST_NODES = 100_000
-
-
-def quotas(sizes: dict, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = EPOCHS) -> dict:
-    """Target of each source: a weighted share of ``share`` of all sizes, none above ``most`` times its size; the excess is shared anew by weight."""
-    order = sorted((x for x in sizes if x is not None)) + [x for x in sizes if x is None]
-    weight = {x: weights[i % len(weights)] for i, x in enumerate(order)}
-    left, open_, target = share * sum(sizes.values()), [x for x in order if sizes[x] > 0], dict.fromkeys(order, 0.0)
-    while open_:
-        unit = left / sum(weight[x] for x in open_)
-        full = [x for x in open_ if unit * weight[x] >= most * sizes[x]]
-        if not full:
-            target |= {x: unit * weight[x] for x in open_}
-            break
-        target |= {x: float(most * sizes[x]) for x in full}
-        left -= sum(target[x] for x in full)
-        open_ = [x for x in open_ if x not in set(full)]
-    return target
+#: Rows of a plan of patterns that are broadcast at most; with more, both sides of its joins are shuffled.
+MOST_SENT = 200_000
+
+
+def _ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` (source, ...) with rank, from 0 in the order of code points, null last: sorted in ranges, and counted on from range to range."""
+    place = F.monotonically_increasing_id()
+    ordered = sources.orderBy(F.col("source").isNull(), "source").select("*", F.spark_partition_id().alias("_part"), place.bitwiseAND((1 << 33) - 1).alias("_at"))
+    ordered = stored(ordered, "mix-sources")
+    counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    return ordered.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn("rank", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = EPOCHS) -> DataFrame:
+    """``sources`` (source, size) with target: a weighted share of ``share`` of all sizes, none above ``most`` times its size; the excess is shared anew by weight.
+
+    A source is full where its share by weight reaches its most. Sharing anew only raises the share of a unit of weight, so
+    that full sources stay full and the sums of two columns, over and over, lead to the end.
+    """
+    cycle = F.array(*[F.lit(float(w)) for w in weights])
+    weighed = stored(_ranked(sources).withColumn("_w", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))), "mix-weights")
+    cap = F.lit(float(most)) * F.col("size")
+    total, open_ = (float(x or 0) for x in weighed.agg(F.sum("size"), F.sum(F.when(F.col("size") > 0, F.col("_w")))).first())
+    full, seen = 0.0, None
+    while open_ and (full, open_) != seen:
+        seen, unit = (full, open_), (share * total - full) / open_
+        reached = F.lit(unit) * F.col("_w") >= cap
+        full, open_ = (float(x or 0) for x in weighed.agg(F.sum(F.when(reached, cap)), F.sum(F.when(~reached, F.col("_w")))).first())
+    by_weight = F.lit(unit) * F.col("_w") if open_ else cap
+    return weighed.select("source", "size", F.least(cap, by_weight).alias("target"))
 
 
 def routed(patterns: dict[tuple, float], target: dict, epochs: int = EPOCHS) -> dict[tuple, float]:
@@ -50,8 +64,6 @@ def routed(patterns: dict[tuple, float], target: dict, epochs: int = EPOCHS) ->
 
     Successive shortest paths from the patterns over the bipartite graph of patterns and sources with residual arcs.
     """
-    if len(patterns) + len(target) > MOST_NODES:
-        raise ValueError(f"{len(patterns)} membership patterns: the flow is solved on the driver for at most {MOST_NODES} nodes")
     members = {s: [p for p in patterns if s in p] for s in target}
     flow: dict[tuple, dict] = {p: {} for p in patterns}
     out = dict.fromkeys(patterns, 0.0)
@@ -97,44 +109,60 @@ def routed(patterns: dict[tuple, float], target: dict, epochs: int = EPOCHS) ->
     return out
 
 
+def _planned(patterns: DataFrame, weights: Sequence[float], share: float, epochs: int) -> DataFrame:
+    """Of each pattern (_sources, _n words): full epochs, words of one more, and the size and target of its sources."""
+    each = patterns.select("_sources", "_n", F.explode("_sources").alias("source"))
+    wanted = stored(targets(each.groupBy("source").agg(F.sum("_n").alias("size")), weights, share, epochs), "mix-targets")
+    # Sources of patterns of several sources, and all patterns of such sources.
+    shared = each.where(F.size("_sources") > 1).select(F.col("source").alias("_shared")).distinct()
+    tied = stored(each.join(shared, F.col("source").eqNullSafe(F.col("_shared")), "left_semi").join(wanted.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))), "mix-tied").collect()
+    sums, size, target = {}, {}, {}
+    for r in tied:
+        sums[tuple(r["_sources"])] = float(r["_n"])
+        size[r["source"]], target[r["source"]] = r["size"], r["target"]
+    flow = routed(sums, target, epochs)
+    solved = [(list(p), n, flow[p], sum(size[s] for s in p), float(sum(target[s] for s in p))) for p, n in sums.items()]
+    solved = patterns.sparkSession.createDataFrame(solved, "_sources array<string>, _n double, _taken double, source_size long, target double")
+    alone = patterns.join(solved.select("_sources"), "_sources", "left_anti").where(F.size("_sources") > 0)
+    alone = alone.join(wanted, F.element_at("_sources", 1).eqNullSafe(F.col("source")))
+    alone = alone.select("_sources", F.col("_n").cast("double").alias("_n"), F.col("target").alias("_taken"), F.col("size").alias("source_size"), "target")
+    out = alone.unionByName(solved)
+    whole = F.when(F.col("_n") > 0, F.least(F.floor(F.col("_taken") / F.col("_n") + 1e-9), F.lit(epochs))).otherwise(0).cast("int")
+    rest = F.col("_taken") - F.col("_full") * F.col("_n")
+    return out.withColumn("_full", whole).select("_sources", "_full", F.when(rest > 0.5, rest).otherwise(0.0).alias("_rest"), "source_size", "target")
+
+
 def mix(docs: DataFrame, sources: Column, size: Column, key: Column, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, also: Sequence[str] = ()) -> DataFrame:
     """Each row of ``docs`` with doc_id, ``also``, size, sources (array), target (of its sources) and taken (words).
 
     ``sources`` gives a row's array of sources (its set of members; null is a source of its own), ``size`` its words and
     ``key`` what is hashed with the seed; rows with the same key and pattern are in the order of their ids and are ties
-    otherwise, all taken or none. Documents without words are taken 0 words; an empty table gives no rows.
+    otherwise, all taken or none; rows with a null id are ties by their key. Documents without words are taken 0 words; a
+    row with an empty array of sources is in no mix and left out; an empty table gives no rows.
     """
-    kept = docs.select(*[F.col(f"`{x}`") for x in ("doc_id", *also)], F.array_sort(F.array_distinct(sources)).alias("_sources"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), F.md5(F.concat(F.lit(seed + ":"), key)).alias("_key"))
-    kept = stored(kept.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS)), "mix-sizes")
+    named = docs.select(*[F.col(f"`{x}`") for x in ("doc_id", *also)], F.array_sort(F.array_distinct(sources)).alias("_sources"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), F.md5(F.concat(F.lit(seed + ":"), key)).alias("_key"))
+    named = named.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    kept = stored(named.select("doc_id", "_sources", "_size", "_key", "_bucket") if also else named, "mix-sizes")
     by_bucket = stored(kept.groupBy("_sources", "_bucket").agg(F.sum("_size").alias("_sum")), "mix-buckets")
-    sums = {tuple(r[0]): float(r[1]) for r in by_bucket.groupBy("_sources").agg(F.sum("_sum")).limit(MOST_NODES + 1).collect()}
-    per_source: dict = {}
-    for p, n in sums.items():
-        for s in p:
-            per_source[s] = per_source.get(s, 0.0) + n
-    target = quotas(per_source, weights, share, epochs)
-    taken = routed(sums, target, epochs)
-    plan = []
-    for p, n in sums.items():
-        full = min(int(taken[p] / n + 1e-9), epochs) if n else 0
-        rest = taken[p] - full * n
-        plan.append((list(p), full, float(rest if rest > 0.5 else 0.0), int(sum(per_source[s] for s in p)), float(sum(target[s] for s in p))))
-    plan = docs.sparkSession.createDataFrame(plan, "_sources array<string>, _full int, _rest double, source_size long, target double")
-    # Bounded by MOST_NODES rows.
-    plan = F.broadcast(plan)
+    patterns = stored(by_bucket.groupBy("_sources").agg(F.sum("_sum").alias("_n")), "mix-patterns")
+    plan = stored(_planned(patterns, weights, share, epochs), "mix-plan")
+    few = plan.count() <= MOST_SENT
+    small = lambda df: F.broadcast(df) if few else df  # noqa: E731  a row for each pattern at most
+    plan = small(plan)
     order = Window.partitionBy("_sources").orderBy("_bucket")
     before = F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     marks = by_bucket.withColumn("_before", before).join(plan, "_sources").where("_rest > _before").withColumn("_whole", F.col("_before") + F.col("_sum") <= F.col("_rest"))
     edge = marks.where("not _whole").select("_sources", "_bucket", "_before", "_rest")
     # One bucket of each pattern at most, of one in 16 ** BUCKET_DIGITS of its documents.
-    last = kept.join(F.broadcast(edge), ["_sources", "_bucket"]).where("_size > 0")
+    last = kept.join(small(edge), ["_sources", "_bucket"]).where("_size > 0")
     run = Window.partitionBy("_sources", "_bucket").orderBy("_key", "doc_id")
     upto = last.withColumn("_upto", F.col("_before") + F.coalesce(F.sum("_size").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # A document whose middle lies before the end of the prefix is within it: the sum is then off by half a document at most.
     cut = upto.where(F.col("_upto") + F.col("_size") / 2 <= F.col("_rest")).groupBy("_sources", "_bucket").agg(F.max("_key").alias("_last"))
-    marks = marks.join(F.broadcast(cut), ["_sources", "_bucket"], "left").select("_sources", "_bucket", "_whole", "_last")
+    marks = marks.join(small(cut), ["_sources", "_bucket"], "left").select("_sources", "_bucket", "_whole", "_last")
     ends = marks.groupBy("_sources").agg(F.max(F.when(F.col("_whole"), F.col("_bucket"))).alias("_through"), F.max("_last").alias("_last"))
-    rows = kept.join(plan, "_sources").join(F.broadcast(ends), "_sources", "left")
+    # Further columns, such as texts, are not written once more: what the rows were named by is worked out again.
+    rows = (named if also else kept).join(plan, "_sources").join(small(ends), "_sources", "left")
     more = F.coalesce(F.col("_bucket") <= F.col("_through"), F.lit(False)) | F.coalesce(F.col("_key") <= F.col("_last"), F.lit(False))
     return rows.select("doc_id", *[F.col(f"`{x}`") for x in also], F.col("_size").alias("size"), F.col("_sources").alias("sources"), "source_size", "target", (F.col("_size") * (F.col("_full") + F.when(more, 1).otherwise(0))).alias("taken"))
 
