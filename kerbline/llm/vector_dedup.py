@@ -75,16 +75,20 @@ def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataF
         yield pd.concat(held, ignore_index=True)
 
 
+def _most_apart(bits: int, least: float) -> float:
+    """Bits of ``bits`` in which the codes of two linked vectors differ at most, by ``SIGMAS`` standard deviations."""
+    apart = math.acos(least) / math.pi
+    return bits * apart + SIGMAS * math.sqrt(bits * apart * (1 - apart))
+
+
 def _screened(rows: DataFrame, least: float) -> DataFrame:
     """Rows (key, cid) of small buckets that are as near to another of their bucket as a link allows, by their codes' heads."""
-    apart = math.acos(least) / math.pi
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _groups(batches, ["key"]):
             key = part["key"].to_numpy()
             head = np.frombuffer(b"".join(part["head"]), np.uint64).reshape(len(part), -1)
-            n = head.shape[1] * 64
-            most = n * apart + SIGMAS * math.sqrt(n * apart * (1 - apart))
+            most = _most_apart(head.shape[1] * 64, least)
             near, shift = np.zeros(len(part), bool), 1
             while shift < len(part) and (same := key[:-shift] == key[shift:]).any():
                 at = np.flatnonzero(same)
@@ -110,6 +114,9 @@ def _compared(rows: DataFrame, n_tables: int, bits: int, least: float) -> DataFr
         found_i, found_j = [], []
         for s in range(0, len(i), 65_536):
             p, q = i[s : s + 65_536], j[s : s + 65_536]
+            # The screen of small buckets, so that a pair passes or not whatever the sizes of the buckets in which it meets.
+            near = np.bitwise_count(ca[p][:, -SCREEN_BITS // 8 :] ^ cb[q][:, -SCREEN_BITS // 8 :]).sum(axis=1) <= _most_apart(SCREEN_BITS, least)
+            p, q = p[near], q[near]
             hit = cosines(a[p], b[q]) >= least
             p, q = p[hit], q[hit]
             first = np.ones(len(p), bool)
