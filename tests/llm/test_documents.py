@@ -8,9 +8,11 @@ from collections import Counter
 import numpy as np
 import pytest
 from cases import SCHEMA, documents, rows
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from kerbline.llm import lang_id, license_scan, lm_score, minhash, mixing, packing, token_counts
-from kerbline.llm.tokens import encode, vocabulary_paths
+from kerbline.llm.tokens import vocabulary_paths
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -81,9 +83,55 @@ def test_lm_score_against_counts(spark):
     assert all(r.score > r.base_score for r in seen)
 
 
+def backoff_scores(texts, train):
+    """log10 probabilities by the formulas of ``lm_score``, with dictionaries: texts and train by key."""
+    tokens = {i: [*WORD.findall(lower(x)), "END"] for i, x in texts.items()}
+    c = Counter()
+    for i, w in tokens.items():
+        if train[i]:
+            w = ["START", *w]
+            c.update((x,) for x in w[1:])
+            c["START",] += 1
+            c.update(zip(w, w[1:], strict=False))
+            c.update(zip(w, w[1:], w[2:], strict=False))
+    total, types = sum(n for k, n in c.items() if len(k) == 1 and k != ("START",)), sum(len(k) == 1 and k != ("START",) for k in c)
+    once, n = Counter(), Counter()
+    for k, m in c.items():
+        if len(k) > 1:
+            at = len(k), int(math.log2(c[k[:-1]])) + 1
+            once[at] += m == 1
+            n[at] += m
+    share = {at: min(0.999, (once[at] + 0.5) / (n[at] + 1)) for at in n}
+
+    def chance(h, w):
+        if not h:
+            return (c[w,] + 0.5) / (total + 0.5 * (types + 1))
+        if not c[h]:
+            return chance(h[1:], w)
+        new = share.get((len(h) + 1, int(math.log2(c[h])) + 1), 0.5)
+        return (1 - new) * c[*h, w] / c[h] + new * chance(h[1:], w)
+
+    return {i: sum(math.log10(chance(tuple(["START", *w][max(0, j - 1) : j + 1]), x)) for j, x in enumerate(w)) for i, w in tokens.items()}
+
+
+@pytest.mark.parametrize("block_chars", [1 << 40, 4_000])
+def test_lm_score_against_dictionaries(spark, small, block_chars):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = backoff_scores(texts, {i: i % 5 != 1 for i in texts})
+    found = {r.doc_id: r.score for r in lm_score.score(docs, docs.doc_id % 5 != 1, block_chars=block_chars).collect()}
+    assert found == pytest.approx(want, rel=1e-9)
+    odd = [r for r in rows() if r[0] is not None]
+    keyed = {j: t for j, (_, t, *_) in enumerate(odd)}
+    want = backoff_scores(keyed, {j: r[0] % 5 != 1 for j, r in enumerate(odd)})
+    docs = documents(spark, odd)
+    found = Counter((r.doc_id, round(r.score, 6)) for r in lm_score.score(docs, docs.doc_id % 5 != 1, block_chars=block_chars).collect())
+    assert found == Counter((odd[j][0], round(x, 6)) for j, x in want.items())
+
+
 def test_lm_blocks_dont_change_scores(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    one, many = ({r.doc_id: round(r.score, 6) for r in lm_score.score(docs, docs.doc_id % 5 != 1, block_bytes=b).collect()} for b in (1 << 40, 8_000_000))
+    one, many = ({r.doc_id: round(r.score, 6) for r in lm_score.score(docs, docs.doc_id % 5 != 1, block_chars=b).collect()} for b in (1 << 40, 30_000))
     assert one == many
 
 
@@ -106,6 +154,55 @@ def test_language_held_out_accuracy(spark, medium):
     assert sum(r.rejected for r in found) <= 0.02 * len(held)
 
 
+class Neys:
+    """An interpolated Kneser-Ney character model of one language, by dictionaries of runs."""
+
+    def __init__(self, texts, order, discount):
+        self.order, self.d = order, discount
+        self.n = {order: Counter()}
+        for p in map(lang_id.letters_of, texts):
+            self.n[order].update(tuple(p[i : i + order].tolist()) for i in range(len(p) - order + 1))
+        for k in range(order - 1, 0, -1):
+            self.n[k] = Counter(g[1:] for g in self.n[k + 1])
+        self.sum = {k: Counter() for k in self.n}
+        self.types = {k: Counter() for k in self.n}
+        for k, own in self.n.items():
+            for g, m in own.items():
+                self.sum[k][g[:-1]] += m
+                self.types[k][g[:-1]] += 1
+
+    def chance(self, g, characters):
+        k = len(g)
+        total = self.sum[k][g[:-1]]
+        if k == 1:
+            return max(self.n[1][g] - self.d, 0) / total + self.d * len(self.n[1]) / total / (characters + 1)
+        lower = self.chance(g[1:], characters)
+        if not total:
+            return lower
+        return max(self.n[k][g] - self.d, 0) / total + self.d * self.types[k][g[:-1]] / total * lower
+
+    def entropy(self, text, characters):
+        p = tuple(lang_id.letters_of(text).tolist())
+        runs = [p[max(0, i + 1 - self.order) : i + 1] for i in range(1, len(p))]
+        return -sum(math.log(self.chance(g, characters)) for g in runs) / len(runs)
+
+
+def test_language_models_against_dictionaries(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(lang_id.CALIBRATE))
+    taught = docs.where("lang is not null and text is not null").where(F.length("text") <= lang_id.SAMPLE_CHARS).withColumn("fold", fold).where("fold <> 0").collect()
+    models = {lang: Neys([r.text for r in taught if r.lang == lang], lang_id.ORDER, lang_id.DISCOUNT) for lang in {r.lang for r in taught}}
+    characters = len({g for m in models.values() for g in m.n[1]})
+    model, odd = lang_id.fit(docs), ["ab", "xyzzy \u0531\u0574", "the", "Die Straße, 1234!"]
+    for text in odd + [r.text for r in docs.where("text is not null").orderBy("doc_id").limit(60).collect()]:
+        found = model.predict(text[:3000])
+        if found[2] is not None:
+            want = {lang: m.entropy(text[:3000], characters) for lang, m in models.items()}
+            assert found[2] == pytest.approx(min(want.values()), rel=2e-4)
+            n = min(len(lang_id.letters_of(text[:3000])) - 1, lang_id.EVIDENCE)
+            assert found[1] == pytest.approx(1 / sum(math.exp((min(want.values()) - x) * n) for x in want.values()), abs=2e-2)
+
+
 def test_language_of_odd_texts(spark):
     model = lang_id.fit(documents(spark, rows()))
     found = {}
@@ -177,9 +274,20 @@ def test_licence_templates_are_found_as_if_each_stood_alone(spark):
     assert hits > 300
 
 
+def json_ids(text):
+    """Ids by the tokenizer's JSON file itself, not by the library's faster way."""
+    return JSON.encode(text or "", add_special_tokens=False).ids
+
+
+JSON = Tokenizer.from_file(vocabulary_paths()[0])
+
+
 def check_packing(found, texts):
-    paths = vocabulary_paths()
-    ids = {i: [*encode(t, *paths), 0] for i, t in texts.items()}
+    ids = {i: [*json_ids(t), 0] for i, t in texts.items()}
+    groups = Counter((r.tier, r.step_group) for r in found if r.offset == 0)
+    for tier in {t for t, _ in groups}:
+        own = [groups[tier, g] for g in sorted(g for t, g in groups if t == tier)]
+        assert all(n == packing.STEP_TOKENS // tier for n in own[:-1]) and own[-1] <= packing.STEP_TOKENS // tier
     pieces, windows = {}, {}
     for r in found:
         own = ids[r.doc_id]
@@ -209,13 +317,13 @@ def test_packing_round_trip(spark, small):
     assert check_packing(packing.pack(docs).collect(), {r.doc_id: r.text for r in docs.collect()}) < 0.01
     odd = {i: t for i, t, *_ in rows() if i is not None and i != 8}
     check_packing(packing.pack(documents(spark, [(i, t, "en", "a") for i, t in odd.items()])).collect(), odd)
-    assert packing.pack(documents(spark, rows())).selectExpr("sum(length)").first()[0] == sum(len(encode(t, *vocabulary_paths())) + 1 for _, t, *_ in rows())
+    assert packing.pack(documents(spark, rows())).selectExpr("sum(length)").first()[0] == sum(len(json_ids(t)) + 1 for _, t, *_ in rows())
 
 
 def test_token_counts_across_blocks(spark, tmp_path):
-    docs, paths = documents(spark, rows()), vocabulary_paths()
+    docs = documents(spark, rows())
     found = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs).collect())
-    assert found == Counter((i, len(encode(t, *paths))) for i, t, *_ in rows())
+    assert found == Counter((i, len(json_ids(t))) for i, t, *_ in rows())
     token_counts.write_flat(docs, str(tmp_path / "flat"))
     large, tiny = (Counter((r.file, r.ordinal, r.n_tokens) for r in token_counts.scan(spark, str(tmp_path / "flat"), block=b).collect()) for b in (1 << 18, 3))
     assert large == tiny and sum(large.values()) == len(rows())
@@ -238,6 +346,72 @@ def test_mix_near_targets_and_flow(spark, medium):
     assert sum(out.values()) == pytest.approx(210) and all(out[p] <= 2 * n for p, n in {("a",): 100, ("a", "b"): 100, ("b",): 10}.items())
 
 
+def met_at_most(patterns, target, epochs):
+    """Words that can reach the targets at most, by augmenting paths over patterns and sources."""
+    room, need, flow, met = {p: epochs * n for p, n in patterns.items()}, dict(target), Counter(), 0
+    while True:
+        came, queue, end = {}, [("p", p) for p in patterns if room[p] > 1e-9], None
+        came = dict.fromkeys(queue)
+        while queue and end is None:
+            kind, x = queue.pop(0)
+            for y in x if kind == "p" else [p for p in patterns if flow[p, x] > 1e-9]:
+                step = ("s" if kind == "p" else "p", y)
+                if step not in came:
+                    came[step] = (kind, x)
+                    queue.append(step)
+                    if step[0] == "s" and need[y] > 1e-9:
+                        end = step
+                        break
+        if end is None:
+            return met
+        way = [end]
+        while came[way[-1]] is not None:
+            way.append(came[way[-1]])
+        way.reverse()
+        amount = min([room[way[0][1]], need[end[1]], *(flow[b[1], a[1]] for a, b in zip(way, way[1:], strict=False) if a[0] == "s")])
+        for a, b in zip(way, way[1:], strict=False):
+            flow[(a[1], b[1]) if a[0] == "p" else (b[1], a[1])] += amount if a[0] == "p" else -amount
+        room[way[0][1]] -= amount
+        need[end[1]] -= amount
+        met += amount
+
+
+def test_flow_meets_as_much_as_can_be_met():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        names = "abcde"[: rng.integers(2, 6)]
+        patterns = {tuple(sorted(set(rng.choice(list(names), rng.integers(1, 4))))): float(rng.integers(1, 100)) for _ in range(6)}
+        target = {s: float(rng.integers(0, 150)) for s in {s for p in patterns for s in p}}
+        out = mixing.routed(patterns, target, 2)
+        assert sum(out.values()) == pytest.approx(met_at_most(patterns, target, 2), abs=1e-3)
+        assert all(-1e-6 <= out[p] <= 2 * n + 1e-6 for p, n in patterns.items())
+
+
+def test_mix_of_overlapping_and_of_many_sources(spark):
+    made = spark.range(4000).select(F.col("id").alias("doc_id"), F.array_distinct(F.when(F.col("id") % 5 < 2, F.array(F.lit("a"), F.lit("b"))).when(F.col("id") % 5 == 2, F.array(F.lit("b"))).otherwise(F.array(F.concat(F.lit("h"), (F.col("id") % 900).cast("string"))))).alias("of"))
+    found = mixing.mix(made, F.col("of"), F.lit(10), F.col("doc_id").cast("string")).collect()
+    assert len(found) == 4000
+    size, patterns = Counter(), Counter()
+    for r in found:
+        patterns[tuple(r.sources)] += 10
+        for s in r.sources:
+            size[s] += 10
+    order = sorted(size)
+    weight, left, open_, want = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(size.values()), set(order), {}
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if unit * weight[s] >= 2 * size[s]}
+        want |= {s: 2.0 * size[s] if s in full else unit * weight[s] for s in (full or open_)}
+        left, open_ = left - sum(want[s] for s in full), open_ - full if full else set()
+    taken = Counter()
+    for r in found:
+        assert r.target == pytest.approx(sum(want[s] for s in r.sources)) and r.taken in (0, 10, 20)
+        taken[tuple(r.sources)] += r.taken
+    assert all(abs(taken[p] - want[p[0]]) <= 10 for p in patterns if p[0].startswith("h"))
+    tied = {p: float(n) for p, n in patterns.items() if p[0] in "ab"}
+    assert sum(taken[p] for p in tied) == pytest.approx(met_at_most(tied, {s: want[s] for s in "ab"}, 2), abs=10)
+
+
 def test_mix_of_odd_rows(spark):
     found = mixing.mix_documents(documents(spark, rows())).collect()
     assert Counter(r.doc_id for r in found) == Counter(i for i, *_ in rows())

@@ -90,6 +90,7 @@ def test_turns_read_back(spark):
         said = [tuple(map(chat_format.unescaped, chat_format._TURN.fullmatch(r.formatted[s["first"] : s["last"]]).groups())) for s in r.spans]
         assert said == [x[2:] for x in turns] and r.rewrites == 0
         assert [s["loss"] for s in r.spans] == [x[0] == "assistant" for x in said]
+        assert [r.formatted[s["text_first"] : s["text_last"]] for s in r.spans] == [chat_format.escaped(x[1]) if x[0] == "assistant" else "" for x in said]
     assert chat_format.format_conversations(chats(spark).limit(0)).count() == 0
 
 
@@ -106,3 +107,5 @@ def test_template_that_rewrites_history_is_found(spark):
     assert found[1].formatted.endswith("[assistant]second")
     last = found[1].spans[-1]
     assert found[1].formatted[last["first"] : last["last"]].endswith("second")
+    assert found[1].formatted[last["text_first"] : last["text_last"]] == "second"
+    assert [found[2].formatted[s["text_first"] : s["text_last"]] for s in found[2].spans] == ["", "a"]
