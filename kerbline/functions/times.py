@@ -29,3 +29,18 @@ def parsed(value: Column) -> Column:
     """Timestamp from text that is either epoch seconds or an ISO time."""
     number = value.try_cast("double")
     return F.coalesce(F.timestamp_micros((number * 1e6).cast("long")), F.try_to_timestamp(value))
+
+
+#: Seconds of the named periods, and the longest span that may be asked for.
+PERIODS, LONGEST_S = {"15m": 900, "1h": 3600, "6h": 6 * 3600, "24h": 86_400, "7d": 7 * 86_400, "30d": 30 * 86_400}, 92 * 86_400
+
+
+def window_of(now: float, period: str = "1h", since: float | None = None, until: float | None = None) -> tuple[float, float]:
+    """The half-open span [since, until) that is asked for: a named period up to now unless its ends are given; ``until`` is now at the latest."""
+    until = now if until is None else min(until, now)
+    since = until - PERIODS[period] if since is None else since
+    if since >= until:
+        raise ValueError("the span's start must be before its end")
+    if until - since > LONGEST_S:
+        raise ValueError("the span is longer than 92 days")
+    return since, until

@@ -25,6 +25,29 @@ def conditions(since: float | None = None, until: float | None = None, **equal:
     return reduce(lambda a, b: a & b, found, F.lit(True))
 
 
+def sightings(obs: DataFrame, now: float, since: float | None = None, until: float | None = None, least_confidence: float | None = None, unreadable: bool | None = None, **equal: object) -> DataFrame:
+    """Sightings of [since, until] (seven days up to now unless given) that fulfil all of the given filters.
+
+    ``unreadable`` asks for sightings without a plate, or, false, for those with one. Further names are columns and the values
+    that they equal, such as camera_id, vehicle_class, colour or level.
+    """
+    until = now if until is None else until
+    since = until - 7 * 86_400 if since is None else since
+    if since > until:
+        raise ValueError("the span's start must not be after its end")
+    kept = conditions(since, until, **equal)
+    if least_confidence is not None:
+        kept &= F.col("confidence") >= least_confidence
+    if unreadable is not None:
+        kept &= F.col("plate").isNull() if unreadable else F.col("plate").isNotNull()
+    return obs.where(kept)
+
+
+def newest(log: DataFrame, limit: int, offset: int = 0, at: str = "t", ties: str = "event_id", **equal: object) -> DataFrame:
+    """A page of a log: the newest rows of those with the given values, ties by the greater ``ties``."""
+    return log.where(conditions(**equal)).orderBy(F.desc(at), F.desc(ties)).offset(offset).limit(limit)
+
+
 def partial_plate(obs: DataFrame, query: str) -> DataFrame:
     """Sightings whose fused or raw plate contains the letters and digits of the query, two at least."""
     kept = "".join(c for c in query.upper() if c.isascii() and c.isalnum())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kerbline.functions import geo, scores
+from kerbline.functions import geo, scores, times
 from kerbline.operators import joins, search
 from kerbline.plans.registry import query
 from kerbline.sources import tables as T
@@ -62,6 +62,44 @@ def flt_search(spark, sf_dir):
     return T.observations(spark, sf_dir).where(keep).select("event_id", "t")
 
 
+def _described(spark, sf_dir):
+    """Sightings with class, colour and level of their match."""
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), (at % len(names) + 1).cast("int"))
+    return T.observations(spark, sf_dir).withColumns({"vehicle_class": pick(["car", "bus", "truck"], F.col("vehicle_id")), "colour": pick(["white", "red"], F.col("k")), "level": pick(["HIGH", "MEDIUM", "LOW", "NEW"], F.col("k"))})
+
+
+@query(T.with_("obs") + f"""SELECT event_id, t, plate FROM obs WHERE t >= {T.NOW - 7 * 86400} AND t <= {T.NOW} AND camera_id = 'click' AND vehicle_id % 3 = 1 AND k % 2 = 1 AND k % 4 = 1 AND confidence >= 0.6 AND plate IS NOT NULL""")
+def flt_search_all(spark, sf_dir):
+    """Every filter of the search at once, with the days up to now that it has unless told otherwise."""
+    found = search.sightings(_described(spark, sf_dir), T.NOW, least_confidence=0.6, unreadable=False, camera_id="click", vehicle_class="bus", colour="red", level="MEDIUM")
+    return found.select("event_id", "t", "plate")
+
+
+@query(T.with_("obs") + f"SELECT event_id, camera_id FROM obs WHERE t >= {T.NOW - 7 * 86400} AND t < {T.NOW}")
+def flt_window_period(spark, sf_dir):
+    """A named period, whose end is asked for in the future and so is now."""
+    since, until = times.window_of(T.NOW, "7d", until=T.NOW + 86_400)
+    return T.observations(spark, sf_dir).where((F.col("t") >= since) & (F.col("t") < until)).select("event_id", "camera_id")
+
+
+@query(T.with_("obs") + "SELECT event_id, t FROM obs WHERE k % 10 = 0 AND camera_id = 'view' ORDER BY t DESC, event_id DESC LIMIT 20 OFFSET 20")
+def flt_dead_letters(spark, sf_dir):
+    """The second page of twenty unresolved letters of one camera."""
+    letters = T.observations(spark, sf_dir).withColumn("resolved", F.col("k") % 10 != 0)
+    return search.newest(letters, 20, 20, camera_id="view", resolved=False).select("event_id", "t")
+
+
+@query(T.with_("obs", "samples") + "SELECT event_id, t, status, processing_fps FROM samples WHERE camera_id = 'click' ORDER BY t DESC, event_id DESC LIMIT 240")
+def flt_health_history(spark, sf_dir):
+    return search.newest(T.samples(spark, sf_dir), 240, camera_id="click").select("event_id", "t", "status", "processing_fps")
+
+
+@query(T.with_("obs") + "SELECT event_id, t FROM obs WHERE camera_id IN ('view', 'error') AND k % 11 < 2 ORDER BY t DESC, event_id DESC LIMIT 100")
+def flt_camera_logs(spark, sf_dir):
+    log = T.observations(spark, sf_dir).withColumn("level", F.when(F.col("k") % 11 < 2, "ERROR").otherwise("INFO"))
+    return search.newest(log, 100, camera_id=["view", "error"], level="ERROR").select("event_id", "t")
+
+
 @query(T.with_("obs") + "SELECT event_id FROM obs WHERE contains(plate, '001') OR contains('X' || vehicle_id || camera_id, '001')")
 def flt_plate_partial(spark, sf_dir):
     obs = T.observations(spark, sf_dir).withColumn("plate_raw", F.concat(F.lit("X"), "vehicle_id", "camera_id"))

@@ -76,11 +76,11 @@ def rl_ocr(spark, sf_dir):
     return alerts.ocr_drop(T.observations(spark, sf_dir), T.NOW, 86_400, 10 * 86_400, 8, 0.02)
 
 
-@query(T.with_("obs") + f", s AS ({_OCR}) SELECT camera_id, recent_reads, baseline_reads FROM s")
+@query(T.with_("obs") + f", s AS ({_OCR}) SELECT camera_id, recent_reads, baseline_reads, round(r, 6) AS recent_mean, round(b, 6) AS baseline_mean FROM s")
 def agg_ocr_stats(spark, sf_dir):
     rows = T.observations(spark, sf_dir).where((F.col("t") >= T.NOW - 10 * 86_400) & (F.col("t") < T.NOW))
-    recent = F.col("t") >= T.NOW - 86_400
-    return rows.groupBy("camera_id").agg(F.count(F.when(recent, 1)).alias("recent_reads"), F.count(F.when(~recent, 1)).alias("baseline_reads"))
+    recent, read = F.col("t") >= T.NOW - 86_400, F.col("confidence")
+    return rows.groupBy("camera_id").agg(F.count(F.when(recent, 1)).alias("recent_reads"), F.count(F.when(~recent, 1)).alias("baseline_reads"), F.round(F.avg(F.when(recent, read)), 6).alias("recent_mean"), F.round(F.avg(F.when(~recent, read)), 6).alias("baseline_mean"))
 
 
 @query(T.with_("obs", "metrics") + f""", s AS (SELECT camera_id, sum(new_tracks) FILTER (WHERE start_s >= {T.NOW - 86400}) AS n, sum(bucket_seconds) FILTER (WHERE start_s >= {T.NOW - 86400}) AS n_s, sum(new_tracks) FILTER (WHERE start_s < {T.NOW - 86400}) AS b, sum(bucket_seconds) FILTER (WHERE start_s < {T.NOW - 86400}) AS b_s
