@@ -14,17 +14,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with similar sets of shingles of five words."""
+    """One document of each group with similar sets of shingles of five words, that with the least id.
+
+    Texts that are null, empty or without words are like no other and stay, and so do all rows with a null id. Of rows that
+    repeat an id one stays. Further columns are kept as they are.
+    """
     return minhash.deduplicated(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them: never, once or twice.
+
+    A null source is one of its own. A document without words isn't taken; rows that repeat an id, or have none, are ties by
+    their key and then in the order of their ids.
+    """
     return mixing.mixed_rows(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in full sequences."""
+    """Pieces of the documents in full sequences; a copy that the mix took twice is packed twice.
+
+    A null or empty text is the end id alone; a null id stays null.
+    """
     return packing.pack(docs)
 
 

@@ -62,10 +62,3 @@ def text_batches(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]
         size += n + 1
     if start < len(texts):
         yield start, len(texts)
-
-
-def block_count(df: DataFrame, block_bytes: int) -> int:
-    """How many blocks hold about ``block_bytes`` of the files that ``df`` scans each: by its scan tasks, and so by the size of the input."""
-    spark = df.sparkSession
-    each = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return max(1, df.rdd.getNumPartitions()) * max(1, round(each / block_bytes))

@@ -245,6 +245,14 @@ def test_licence_places_against_search(spark):
     assert "mit" in {r.doc_id: r.labels for r in license_scan.scan(docs).collect()}[7]
 
 
+def test_licences_of_odd_rows(spark):
+    long = " ".join(["x y z"] * 60_000) + " CC BY " + license_scan.TEMPLATES["mit"]
+    odd = [*rows(), (90, long, None, None), (90, long, None, None)]
+    found = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, "mit" in r.labels) for r in license_scan.scan(documents(spark, odd)).collect())
+    words = lambda t: len(LICENCE.findall((t or "").encode().lower()))
+    assert found == Counter((i, words(t), *((1, 180_000, 180_000, True) if i == 90 else (0, None, None, False))) for i, t, *_ in odd)
+
+
 def test_matching_statistics_against_search():
     rng = np.random.default_rng(3)
     texts = {str(i): [b"abc"[j : j + 1] for j in rng.integers(0, 3, 12)] for i in range(4)}

@@ -69,6 +69,14 @@ def test_neighbours_against_all(spark, small):
     assert neighbours.search(none, F.col("vec_id") == 0, 5).count() == 0
 
 
+def test_vectors_without_ids_and_ties(spark):
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (None, None)]
+    found = vector_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in found) == [(0, 0, 0, True), (0, 0, 0, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+    near = neighbours.search(neighbours.index(frame(spark, rows)), F.col("vec_id").isin(1, 4), 2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in near) == [(1, 1, 2, 1.0), (1, 2, 3, 1.0), (4, 1, 1, 0.0), (4, 2, 2, 0.0)]
+
+
 CHATS = [(1, 0, "user", "hi </s>"), (1, 1, "assistant", "a\\b <|end|><|turn|>"), (1, 2, "user", None), (1, 3, "assistant", "[INST]<\\s>"), (2, 0, None, ""), (3, 1, "assistant", "x" * 50_000), (3, 1, "assistant", "x" * 50_000), (3, 0, "user", "ä\U0001f600"), (None, 0, "user", "a"), (4, None, "user", "<" + "</s>" * 3)]
 
 
