@@ -158,7 +158,8 @@ def lifecycle(actions: DataFrame) -> DataFrame:
     # Read backwards, the last recovery so far is the next one.
     later = Window.partitionBy("dedup_key").orderBy(F.desc("t"), F.desc("action")).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("recovery_s", F.min(F.when(F.col("action") == "resolve", F.col("t"))).over(later))
-    return rows.repartition("dedup_key").sortWithinPartitions("dedup_key", "t", "action").mapInPandas(task, ALERT_SCHEMA)
+    # The window has brought each key's rows into one partition.
+    return rows.sortWithinPartitions("dedup_key", "t", "action").mapInPandas(task, ALERT_SCHEMA)
 
 
 def transitioned(status: Column, action: Column) -> Column:

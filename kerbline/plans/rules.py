@@ -137,14 +137,17 @@ def _rules(spark, sf_dir):
         ratio = F.col("median_s") / F.greatest("seconds", F.lit(1.0))
         return recent.withColumn("action", F.when(ratio >= 1.1, "raise").when(ratio < 1.0, "resolve")).where("action is not null")
 
+    def impossible():
+        slow = T.paths(spark).withColumn("min_travel_s", F.col("min_travel_s") * 100)
+        return alerts.impossible_travel(obs, slow)
+
     moving = obs.withColumn("motion", F.when(F.col("k") % 7 == 0, "against_flow").otherwise("with_flow")).withColumn("frames", F.when(F.col("k") >= 50, F.col("k") - 50))
-    slow = T.paths(spark).withColumn("min_travel_s", F.col("min_travel_s") * 100)
     return {
         "CAMERA_OFFLINE": lambda: whole("CAMERA_OFFLINE", alerts.status_changes(status), camera, action=F.col("action")),
         "CAMERA_DEGRADED": lambda: whole("CAMERA_DEGRADED", alerts.degraded(status, T.NOW + 86_400), camera, F.col("since_s")),
         "WATCHLIST_MATCH": lambda: whole("WATCHLIST_MATCH", search.watchlist_matches(obs, search.active_entries(entries(spark), T.NOW), 0.8), F.concat_ws(":", "entry_id", "camera_id")),
         "WRONG_WAY": lambda: whole("WRONG_WAY", alerts.wrong_way(moving, T.cameras(spark)), F.concat_ws(":", "camera_id", "vehicle_id")),
-        "IMPOSSIBLE_TRAVEL": lambda: whole("IMPOSSIBLE_TRAVEL", alerts.impossible_travel(obs, slow), F.col("plate")),
+        "IMPOSSIBLE_TRAVEL": lambda: whole("IMPOSSIBLE_TRAVEL", impossible(), F.col("plate")),
         "REPEATED_SIGHTING": lambda: whole("REPEATED_SIGHTING", alerts.repeated_sightings(obs, ["camera_id", "vehicle_id"], 172_800, 3, 21_600), F.concat_ws(":", "camera_id", "vehicle_id")),
         "SEVERE_CONGESTION": lambda: whole("SEVERE_CONGESTION", alerts.congestion_actions(congestion.congestion(T.hourly(spark, sf_dir), _ratios(spark, sf_dir), T.NOW, _WINDOW, _BASELINE), 60, 55), camera, now, action=F.col("action")),
         "OCR_DEGRADATION": lambda: whole("OCR_DEGRADATION", alerts.ocr_drop(obs, T.NOW, 86_400, 10 * 86_400, 8, 0.02).where("action is not null"), camera, now, action=F.col("action")),
@@ -179,7 +182,9 @@ def _engine_sql() -> str:
 
 @query()
 def al_raise(spark, sf_dir):
-    return alerts.coded(alerts.lifecycle(_actions(spark, sf_dir)))
+    """The life of the alerts of three rules: one with recoveries, and two that only raise."""
+    rules = _rules(spark, sf_dir)
+    return alerts.coded(alerts.lifecycle(alerts.all_rules(*[rules[x]() for x in ("CAMERA_OFFLINE", "WATCHLIST_MATCH", "WRONG_WAY")])))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND s = 'NEW' THEN 'ACKNOWLEDGED' WHEN o_orderkey % 3 = 1 AND s <> 'RESOLVED' THEN 'RESOLVED' WHEN o_orderkey % 3 = 2 AND s = 'RESOLVED' THEN 'NEW' END AS status
