@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat_format, lang_id, license_scan, lm_score, minhash, mixing, neighbours, packing, token_counts, vector_dedup
+from kerbline.llm import centroids, chat_format, importance, lang_id, license_scan, lm_score, minhash, mixing, neighbours, packing, secret_scan, token_counts, vector_dedup
 from kerbline.llm.shared import columns, table
 
 
@@ -70,8 +70,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and a digest of the base kinds, and the spans of all kinds."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_scan.BASE]
+    told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of = lambda kinds: F.filter("spans", lambda x: x["kind"].isin(kinds))
+    counts = [F.size(of([k])).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(told(of(base)), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw of a quarter towards the benchmark."""
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding of 64 components, after five rounds with 40 centroids."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_language_id, op3_license_scan, op4_chat_format, op5_vector_dedup, op6_neighbours, op7_packing, op8_mixing, op9_minhash, op10_token_counts)}
+    return {
+        f.__name__: f
+        for f in (op1_lm_score, op2_language_id, op3_license_scan, op4_chat_format, op5_vector_dedup, op6_neighbours, op7_packing, op8_mixing, op9_minhash, op10_token_counts, op11_secret_scan, op12_importance, op13_centroids)
+    }
 
 
 def _controls(x: str) -> str:
@@ -184,5 +208,90 @@ components AS (
 OP9_SQL = f"WITH RECURSIVE {near_duplicate_sql('documents', 2).strip()} SELECT * FROM components"
 
 
+def _either_case(pattern: str) -> str:
+    """``pattern`` with its letters A-Z in either case, outside of classes and escapes."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            n = 4 if pattern[i + 1] == "x" else 2
+            out.append(pattern[i : i + n])
+            i += n
+            continue
+        inside = (inside or c == "[") and c != "]"
+        out.append(f"[{c.upper()}{c.lower()}]" if c.isascii() and c.isalpha() and not inside else c)
+        i += 1
+    return "".join(out)
+
+
+def _spans_sql(order: int, rule: secret_scan.Rule) -> str:
+    """Spans of one kind: where the pieces between matches and the matches before it end."""
+    regex = (_either_case(rule.pattern) if rule.either_case else rule.pattern).replace("'", "''")
+    return f"""SELECT r, {order} AS k, '{rule.kind}' AS kind, CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS first, length(found[i]) AS n
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (
+    SELECT r, string_split_regex(t, '{regex}') AS pieces, regexp_extract_all(t, '{regex}') AS found, regexp_extract_all(t, '{regex}', {rule.group}) AS told FROM texts)) WHERE length(told[i]) >= {rule.least}"""
+
+
+OP11_SQL = f"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(_spans_sql(i, r) for i, r in enumerate(secret_scan.RULES))}),
+told AS (
+  SELECT r, {", ".join(f"count(*) FILTER (WHERE k = {i}) AS n_{x.kind}" for i, x in enumerate(secret_scan.BASE))},
+    string_agg(kind || ':' || first || ':' || (first + n), ',' ORDER BY first, k) FILTER (WHERE k < {len(secret_scan.BASE)}) AS base, string_agg(kind || ':' || first || ':' || (first + n), ',' ORDER BY first, k) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{x.kind}, 0) AS n_{x.kind}" for x in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN told USING (r)
+"""
+
+_CRC_STEP = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+OP12_SQL = f"""
+WITH crcs AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda x, step: {_CRC_STEP}) ORDER BY i) AS crc FROM range(256) u(i)),
+words AS (
+  SELECT which, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT 0 AS which, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), item_id, text FROM benchmark)),
+features AS MATERIALIZED (SELECT which, r, unnest(list_concat(w, list_transform(range(1, greatest(1, len(w))), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+counted AS MATERIALIZED (SELECT which, r, f, count(*) AS n FROM features GROUP BY ALL),
+bytes AS (SELECT f, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)) AS b FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted))),
+buckets AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, b), lambda s, c: xor(crc[(xor(s, c) & 255) + 1], s >> 8)), 4294967295) % {importance.BUCKETS} AS bucket FROM bytes, crcs),
+sums AS (SELECT bucket, sum(CASE WHEN which = 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN which = 1 THEN n ELSE 0 END) AS t FROM counted JOIN buckets USING (f) GROUP BY bucket),
+totals AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM sums),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (all_s + {importance.BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (all_t + {importance.BUCKETS})::DOUBLE))) AS BIGINT) AS gain FROM sums, totals),
+weights AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE) AS BIGINT) AS weight FROM counted JOIN buckets USING (f) JOIN gains USING (bucket) WHERE which = 0 GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (r) WHERE which = 0),
+ranks AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank, count(*) OVER () AS able FROM scored WHERE n_words >= {importance.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {importance.DRAWN_PERCENT} * able // 100 THEN rank END AS rank FROM scored LEFT JOIN ranks USING (r)
+"""
+
+
+def _lloyd_sql() -> str:
+    """Rounds written out: assigned0, centroids1, assigned1 and so on."""
+    steps = []
+    for i in range(centroids.ROUNDS + 1):
+        steps.append(f"""assigned{i} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, CAST(min(d * 64 + c) % 64 AS INTEGER) AS c, CAST(min(d * 64 + c) // 64 AS BIGINT) AS d
+  FROM (SELECT r, vec_id, k.x, c, list_sum(list_transform(list_zip(k.x, m.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM kept k, centroids{i} m) GROUP BY r)""")
+        if i < centroids.ROUNDS:
+            steps.append(f"""means{i} AS (SELECT c, list(m ORDER BY j) AS x FROM (SELECT c, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (
+    SELECT c, j, sum(v) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS v, unnest(range({centroids.DIMENSIONS})) AS j FROM assigned{i}) GROUP BY c, j)) GROUP BY c),
+centroids{i + 1} AS MATERIALIZED (SELECT p.c, coalesce(q.x, p.x) AS x FROM centroids{i} p LEFT JOIN means{i} q USING (c))""")
+    return ",\n".join(steps)
+
+
+OP13_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor(c::DOUBLE * {centroids.SCALE}) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+centroids0 AS MATERIALIZED (SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), x) - 1 AS c, x FROM kept) WHERE c < {centroids.CLUSTERS}),
+{_lloyd_sql()}
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM assigned{centroids.ROUNDS} JOIN centroids{centroids.ROUNDS} m USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op5_vector_dedup": OP5_SQL, "op6_neighbours": OP6_SQL, "op8_mixing": OP8_SQL, "op9_minhash": OP9_SQL}
+    return {
+        "op4_chat_format": OP4_SQL, "op5_vector_dedup": OP5_SQL, "op6_neighbours": OP6_SQL, "op8_mixing": OP8_SQL, "op9_minhash": OP9_SQL, "op11_secret_scan": OP11_SQL, "op12_importance": OP12_SQL, "op13_centroids": OP13_SQL,
+    }
