@@ -157,6 +157,21 @@ def weighted_distance(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_weighted, T.DoubleType())(a, b)
 
 
+_CHEAP = {frozenset(x) for x in CONFUSABLE}
+
+
+def edit_distance(a: str, b: str) -> float:
+    """``weighted_distance`` of two values."""
+    before = [float(j) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        row = [float(i)]
+        for j, y in enumerate(b, 1):
+            swap = 0.0 if x == y else CONFUSED_COST if frozenset((x, y)) in _CHEAP else 1.0
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + swap))
+        before = row
+    return before[-1]
+
+
 def similarity(a: Column, b: Column, distance: Column) -> Column:
     """1 - distance / longer length, at least 0; null if either is null or empty."""
     longer = F.greatest(F.length(a), F.length(b))

@@ -8,6 +8,7 @@ from kerbline.operators import graph, identity, journeys, travel
 from kerbline.plans.registry import query
 from kerbline.plans.traffic import _BASELINE, _CONGESTION, _RATIOS, _WINDOW, rollup_sql
 from kerbline.sources import tables as T
+from kerbline.sources.lineage import cut
 
 _TRIPS = """trips AS (SELECT vehicle_id, journey_index, arg_min(camera_id, seq) AS origin, arg_max(camera_id, seq) AS destination, count(*) AS points, min(t) AS start_s, max(t) AS end_s FROM points GROUP BY ALL),
 cells AS (SELECT origin, destination, count(*) AS journeys, round(median(end_s - start_s), 1) AS median_travel_s FROM trips WHERE points >= 2 AND origin <> destination GROUP BY ALL)"""
@@ -286,9 +287,15 @@ def jn_traj_geometry(spark, sf_dir):
 
 
 def _identity_rows(spark, sf_dir):
+    """Sightings with colours and classes from their numbers; of four in five the vector of the vehicle's number, from one of two models."""
     colours = F.element_at(F.array(*[F.lit(c) for c in ("white", "silver", "grey", "black", "red")]), (F.col("k") % 5 + 1).cast("int"))
     classes = F.element_at(F.array(*[F.lit(c) for c in ("car", "truck", "motorcycle")]), (F.col("vehicle_id") % 3 + 1).cast("int"))
-    return T.observations(spark, sf_dir).select("event_id", F.col("is_demo").alias("scope"), "t", "camera_id", "plate", "confidence", classes.alias("vehicle_class"), colours.alias("colour"), F.lit(None).cast("array<float>").alias("embedding"))
+    vectors = T.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vehicle_id"), "embedding")
+    rows = T.observations(spark, sf_dir).join(vectors, "vehicle_id", "left")
+    return rows.select(
+        "event_id", F.col("is_demo").alias("scope"), "t", "camera_id", "plate", "confidence", classes.alias("vehicle_class"), colours.alias("colour"), F.when(F.col("k") % 5 != 4, F.col("embedding")).alias("embedding"),
+        F.when(F.col("k") % 3 == 0, "color_histogram").otherwise("deep").alias("embedding_model"),
+    )
 
 
 @query(T.with_("obs") + """, near AS (SELECT a.event_id, b.event_id AS p_event_id FROM obs a JOIN obs b ON a.is_demo = b.is_demo AND a.event_id <> b.event_id AND b.t >= a.t - 3600 AND (b.t < a.t OR b.t = a.t AND b.event_id < a.event_id)
@@ -296,35 +303,36 @@ def _identity_rows(spark, sf_dir):
 alike AS (SELECT event_id, unnest(list(event_id) OVER (PARTITION BY is_demo, plate ORDER BY t, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) AS p_event_id FROM obs WHERE plate IS NOT NULL)
 SELECT * FROM near UNION SELECT * FROM alike""")
 def jn_candidates(spark, sf_dir):
-    # Its SQL counts sightings, not vehicles.
-    return identity.candidates(_identity_rows(spark, sf_dir), vehicles=False).select("event_id", "p_event_id")
+    """The pairs that identities are resolved from at first."""
+    return identity.candidate_ids(_identity_rows(spark, sf_dir)).select("event_id", "p_event_id")
 
 
-def _scored(spark, sf_dir):
+def _resolved(spark, sf_dir):
     base = travel.baselines(T.trajectory(spark, sf_dir), T.edges(spark), T.NOW, _BASELINE, _WINDOW)
-    return identity.scored(identity.candidates(_identity_rows(spark, sf_dir)), T.paths(spark), base, T.GAP_S)
+    paths, base = cut(T.paths(spark)), cut(base)
+    return identity.resolved(cut(_identity_rows(spark, sf_dir)), lambda pairs: identity.scored(pairs, paths, base, T.GAP_S))
 
 
 @query()
 def id_score(spark, sf_dir):
-    return _scored(spark, sf_dir).select("event_id", "p_event_id", F.round("score", 4).alias("score"), "strong", "new_journey", "rejected")
+    return _resolved(spark, sf_dir)[1].select("event_id", "p_event_id", "p_vehicle", F.round("score", 4).alias("score"), "strong", "new_journey", "rejected")
 
 
 @query()
 def srt_best_runnerup(spark, sf_dir):
-    return identity.decisions(_scored(spark, sf_dir))
+    return identity.decisions(_resolved(spark, sf_dir)[1])
 
 
 @query()
 def id_resolve(spark, sf_dir):
-    return identity.settled(_identity_rows(spark, sf_dir), _scored(spark, sf_dir))
+    return _resolved(spark, sf_dir)[0]
 
 
 @query()
 def id_conflicts(spark, sf_dir):
-    return identity.conflicts(_scored(spark, sf_dir))
+    return identity.conflicts(_resolved(spark, sf_dir)[1])
 
 
 @query()
 def str_explain(spark, sf_dir):
-    return identity.explained(_scored(spark, sf_dir)).select("event_id", "p_event_id", "why")
+    return identity.explained(_resolved(spark, sf_dir)[1]).select("event_id", "p_event_id", "why")

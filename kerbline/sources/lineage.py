@@ -14,8 +14,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_path(df.sparkSession, "lineage"))
-    return df.checkpoint()
+    """``df`` written to the shared folder and read from there.
+
+    A file has no memory of how its rows were dealt out, which a checkpoint has: over rounds of joins the plans of checkpoints
+    grow until planning takes longer than running.
+    """
+    path = shared_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,10 @@ import heapq
 import math
 import random
 from collections import defaultdict
+from functools import cache
+from itertools import islice, takewhile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from kerbline.sources import tables as T
 EDGE = "from_id string, to_id string, distance_m double, min_travel_s double, typical_travel_s double, allowed boolean"
 
 
+@cache
 def edit(a, b):
     """Weighted edit distance: confusable characters cost 0.35, all else 1."""
     row = [float(j) for j in range(len(b) + 1)]
@@ -63,47 +67,66 @@ def test_paths_against_dijkstra(spark, kind):
 def test_no_two_sightings_are_candidates_of_each_other(spark):
     rows = [(1, True, 2.0, None), (2, True, 1.0, None), (3, True, 2.0, None)]
     obs = spark.createDataFrame(rows, "event_id long, scope boolean, t double, plate string")
-    for vehicles in (True, False):
-        assert sorted((r.event_id, r.p_event_id) for r in identity.candidates(obs, vehicles=vehicles).collect()) == [(1, 2), (3, 1), (3, 2)]
-
-
-def candidates(rows, window_s=3600, limit=200, same_plate=5):
-    rows, out = sorted(rows, key=lambda r: (r.t, r.event_id)), {}
-    for i, r in enumerate(rows):
-        vehicles, same = [], 0
-        for p in reversed(rows[:i]):
-            if p.scope != r.scope:
-                continue
-            mine = p.plate or p.event_id
-            if p.t >= r.t - window_s and mine not in vehicles and len(vehicles) < limit:
-                vehicles.append(mine)
-                out[r.event_id, p.event_id] = (r, p)
-            if r.plate is not None and p.plate == r.plate and same < same_plate:
-                same += 1
-                out[r.event_id, p.event_id] = (r, p)
-    return out
-
-
-def judged(r, p, paths, base):
-    """Score and what rejects a pair, by the rules one after another; no embeddings."""
-    dt, parts = max(r.t - p.t, 0), []
-    similarity = strong = reliability = None
+    assert sorted((r.event_id, r.p_event_id) for r in identity.candidates(obs).collect()) == [(1, 2), (3, 1), (3, 2)]
+
+
+def stream(rows, judge, window_s=3600, limit=200, same_plate=5):
+    """One sighting after the other against a list of vehicles: (vehicle of each, its candidates, its decision)."""
+    vehicles, vehicle, candidates, decided = defaultdict(dict), {}, {}, {}
+    for r in sorted(rows, key=lambda r: (r.t, r.event_id)):
+        newest = lambda: reversed(vehicles[r.scope].values())  # noqa: B023, E731
+        seen = {v["id"]: v for v in islice(takewhile(lambda v: v["last"].t >= r.t - window_s, newest()), limit)}  # noqa: B023
+        seen |= {v["id"]: v for v in islice((v for v in newest() if r.plate and v["plate"] == r.plate), same_plate)}
+        found = []
+        for v in seen.values():
+            score, why, strong = judge(r, v)
+            candidates[r.event_id, v["last"].event_id] = (score, why, v["id"])
+            if why is None and score >= 0.62:
+                found.append((-score, -v["last"].t, v["last"].event_id, strong, v))
+        found.sort(key=lambda x: x[:3])
+        v = {"id": r.event_id, "plate": None, "confidence": 0.0}
+        if found:
+            linked = found[0][3] or len(found) == 1 or found[1][0] - found[0][0] >= 0.05
+            decided[r.event_id] = (found[0][2], -found[0][0], -found[1][0] if len(found) > 1 else None, linked)
+            v = found[0][4] if linked else v
+        v["last"] = r
+        if r.plate and v["confidence"] <= r.confidence:
+            v |= {"plate": r.plate, "confidence": r.confidence}
+        vehicle[r.event_id] = v["id"]
+        vehicles[r.scope].pop(v["id"], None)
+        vehicles[r.scope][v["id"]] = v
+    return vehicle, candidates, decided
+
+
+def unlike(a, b, reliability):
+    d = edit(a, b)
+    if a != b and reliability >= 1 and d >= 1:
+        return "plates_differ"
+    return "plates_unlike" if a != b and reliability >= 0.5 and 1 - d / max(len(a), len(b)) < 0.5 else None
+
+
+def judged(r, v, paths, base):
+    """Score of a sighting and a vehicle, what rejects them, and whether the plates are as good as one; by the rules one after another."""
+    p = v["last"]
+    dt, parts, identifying = max(r.t - p.t, 0), [], 0
+    strong = False
     if r.plate and p.plate:
         d = edit(r.plate, p.plate)
         similarity = 1 - d / max(len(r.plate), len(p.plate))
         reliability = min(1, min(r.confidence, p.confidence) / 0.6)
         parts.append((0.35 * reliability, round(similarity, 3)))
         strong = similarity >= 0.9 and reliability >= 1
-        if r.plate != p.plate and reliability >= 1 and d >= 1:
-            return None, "plates_differ"
-        if r.plate != p.plate and reliability >= 0.5 and similarity < 0.5:
-            return None, "plates_unlike"
+        identifying = similarity if reliability >= 0.5 else 0
+        if why := unlike(r.plate, p.plate, reliability):
+            return None, why, strong
+    if r.plate and v["plate"] and v["plate"] != p.plate and (why := unlike(r.plate, v["plate"], min(r.confidence, v["confidence"]) / 0.6)):
+        return None, why, strong
     path = paths.get((p.camera_id, r.camera_id))
     if path is None and not strong:
-        return None, "no_way"
+        return None, "no_way", strong
     fresh = path is None or dt > T.GAP_S or path.hops > 2
     if path is not None and dt < path.min_travel_s * 0.85:
-        return None, "too_fast"
+        return None, "too_fast", strong
     if not fresh:
         hops = [base.get(x) for x in zip(path.cameras, path.cameras[1:], strict=False)]
         expected = sum(hops) if None not in hops and sum(hops) > 0 else path.typical_travel_s
@@ -111,56 +134,98 @@ def judged(r, p, paths, base):
         parts.append((0.15, round(1 if ratio <= 1 else math.exp(-(math.log(ratio) ** 2) / (2 * 0.64)), 3)))
         parts.append((0.15, 0.6 if r.camera_id == p.camera_id else 1 if path.hops == 1 else max(0.2, 1 - 0.3 * (path.hops - 1))))
     if fresh and not strong:
-        return None, "new_journey_without_plate"
+        return None, "new_journey_without_plate", strong
+    if r.embedding is not None and p.embedding is not None and r.embedding_model == p.embedding_model:
+        x, y = np.array(r.embedding), np.array(p.embedding)
+        cosine = x @ y / (np.linalg.norm(x) * np.linalg.norm(y) + 1e-9)
+        looks = round(min(1, max(0, (cosine - 0.75) / 0.22)), 3)
+        parts.append((0.25 * (0.6 if r.embedding_model == "color_histogram" else 1), looks))
+        identifying = max(identifying, looks)
     alike = [{"white", "silver"}, {"silver", "grey"}, {"grey", "black"}, {"red", "orange"}, {"orange", "brown"}, {"orange", "yellow"}]
     family = {"car", "truck", "bus"}
     kind = 1 if r.vehicle_class == p.vehicle_class else 0.4 if {r.vehicle_class, p.vehicle_class} <= family else 0
     colour = 1 if r.colour == p.colour else 0.4 if {r.colour, p.colour} in alike else 0
     parts.append((0.1, round((kind + colour) / 2, 3)))
-    score = sum(w * x for w, x in parts) / sum(w for w, _ in parts)
-    if max(similarity if similarity is not None and reliability >= 0.5 else 0, 0) < 0.75:
-        return score, "nothing_identifies"
-    return score, None
+    score = round(sum(w * x for w, x in parts) / sum(w for w, _ in parts), 9)
+    return score, None if identifying >= 0.75 else "nothing_identifies", strong
 
 
-def test_identity_against_rules_one_by_one(spark, small):
-    rows = plans._identity_rows(spark, small).collect()
+def judge_of(spark, sf_dir):
     paths = {(r.from_id, r.to_id): r for r in T.paths(spark).collect()}
-    base = {(r.from_id, r.to_id): r.seconds for r in travel.baselines(T.trajectory(spark, small), T.edges(spark), T.NOW, plans._BASELINE, plans._WINDOW).collect()}
-    want = {k: judged(r, p, paths, base) for k, (r, p) in candidates(rows).items()}
-    found = {(r.event_id, r.p_event_id): r for r in plans.id_score(spark, small).collect()}
-    assert set(found) == set(want)
-    for k, (score, why) in want.items():
-        assert found[k].rejected == why, (k, found[k], score)
-        assert score is None or found[k].score == pytest.approx(score, abs=6e-5)
-    assert {why for _, why in want.values()} >= {None, "plates_differ", "no_way"}
-    times, best = {r.event_id: r.t for r in rows}, {}
-    for (i, p), (score, why) in want.items():
-        if why is None and score >= 0.62:
-            best.setdefault(i, []).append((round(-score, 9), -times[p], p))
-    decided = {r.event_id: r for r in plans.srt_best_runnerup(spark, small).collect()}
-    assert set(decided) == set(best)
-    up, chosen = {}, defaultdict(list)
-    for i, ok in best.items():
-        ok.sort()
-        d = decided[i]
-        assert d.p_event_id == ok[0][2] and d.score == pytest.approx(-ok[0][0], abs=6e-5)
-        assert (d.runner_up is None) == (len(ok) == 1) and (len(ok) == 1 or d.runner_up == pytest.approx(-ok[1][0], abs=6e-5))
-        assert d.linked == (d.strong or len(ok) == 1 or ok[1][0] - ok[0][0] >= 0.05)
-        if d.linked:
-            chosen[d.p_event_id].append((-d.score, i))
-    for p, by in chosen.items():
-        up[min(by)[1]] = p
-
-    def first(i):
-        while i in up:
-            i = up[i]
-        return i
-
-    assert {r.event_id: r.vehicle for r in plans.id_resolve(spark, small).collect()} == {r.event_id: first(r.event_id) for r in rows}
-    fast = {k for k, (_, why) in want.items() if why == "too_fast"}
+    base = {(r.from_id, r.to_id): r.seconds for r in travel.baselines(T.trajectory(spark, sf_dir), T.edges(spark), T.NOW, plans._BASELINE, plans._WINDOW).collect()}
+    return lambda r, v: judged(r, v, paths, base)
+
+
+def test_identity_against_one_sighting_after_another(spark, medium):
+    rows = plans._identity_rows(spark, medium).collect()
+    vehicle, candidates, decided = stream(rows, judge_of(spark, medium))
+    vehicles, scored = plans._resolved(spark, medium)
+    scored = scored.cache()
+    assert {r.event_id: r.vehicle for r in vehicles.collect()} == vehicle
+    found = {(r.event_id, r.p_event_id): r for r in scored.select("event_id", "p_event_id", "p_vehicle", "score", "rejected").collect()}
+    assert set(found) == set(candidates)
+    for k, (score, why, of) in candidates.items():
+        assert (found[k].rejected, found[k].p_vehicle) == (why, of), (k, found[k], score)
+        assert score is None or found[k].score == pytest.approx(score, abs=1e-6)
+    assert {why for _, why, _ in candidates.values()} >= {None, "plates_differ", "no_way", "nothing_identifies", "too_fast"}
+    assert {r.event_id: (r.p_event_id, r.score, r.runner_up, r.linked) for r in identity.decisions(scored).collect()} == {k: (p, pytest.approx(s, abs=6e-5), n if n is None else pytest.approx(n, abs=6e-5), linked) for k, (p, s, n, linked) in decided.items()}
+    assert any(n is not None for _, _, n, _ in decided.values()) and any(not linked for *_, linked in decided.values())
     by = {r.event_id: r for r in rows}
-    assert {(r.event_id, r.p_event_id) for r in plans.id_conflicts(spark, small).collect()} == {(i, p) for i, p in fast if by[i].plate == by[p].plate and by[i].camera_id != by[p].camera_id}
+    fast = {(i, p) for (i, p), (_, why, _) in candidates.items() if why == "too_fast" and by[i].plate and by[i].plate == by[p].plate and by[i].camera_id != by[p].camera_id}
+    assert {(r.event_id, r.p_event_id) for r in identity.conflicts(scored).collect()} == fast
+
+
+def no_ways(spark):
+    ring = spark.createDataFrame([("a", "b", 10.0, 10.0, 30.0, True), ("b", "a", 10.0, 10.0, 30.0, True)], EDGE)
+    paths, base = graph.shortest_paths(ring), spark.createDataFrame([], "from_id string, to_id string, seconds double")
+    return paths, lambda pairs: identity.scored(pairs, paths, base, T.GAP_S)
+
+
+SIGHTING = "event_id long, scope boolean, t double, camera_id string, plate string, confidence double, vehicle_class string, colour string, embedding array<float>, embedding_model string"
+
+
+def test_a_vehicle_is_no_rival_of_itself(spark):
+    rows = [(i, True, 100.0 * i, "a", "UP32AB1111", 0.55, "car", "red", None, None) for i in range(1, 6)]
+    vehicles, scored = identity.resolved(spark.createDataFrame(rows, SIGHTING), no_ways(spark)[1])
+    assert {r.event_id: r.vehicle for r in vehicles.collect()} == dict.fromkeys(range(1, 6), 1)
+    assert sorted((r.event_id, r.p_event_id) for r in scored.collect()) == [(i, i - 1) for i in range(2, 6)]
+
+
+def test_crowded_windows_and_many_vehicles_of_one_plate(spark):
+    """More vehicles in the window and by the plate than count, sightings without a plate, misread ones, and equal times."""
+    rng, looks = random.Random(8), [[1.0, 0.0], [0.0, 1.0], [0.97, 0.2431]]
+    rows = [(i, bool(i % 5), float(rng.randrange(0, 40_000, 20)), rng.choice("ab"), rng.choice([None, "UP32AB1111", "UP32AB111I", "UP32A81111", "DL01CC2222", "DL01CC2229"]), rng.choice([0.4, 0.55, 0.9]), rng.choice(["car", "bus"]), rng.choice(["red", "blue"]), rng.choice([None, *looks]), "deep") for i in range(400)]
+    obs = spark.createDataFrame(rows, SIGHTING)
+    paths, score = no_ways(spark)
+    ways = {(r.from_id, r.to_id): r for r in paths.collect()}
+    for limit in (3, 200):
+        vehicle, candidates, _ = stream(obs.collect(), lambda r, v: judged(r, v, ways, {}), limit=limit, same_plate=2)
+        vehicles, scored = identity.resolved(obs, score, limit=limit, same_plate=2)
+        assert {r.event_id: r.vehicle for r in vehicles.collect()} == vehicle
+        assert {(r.event_id, r.p_event_id) for r in scored.collect()} == set(candidates)
+
+
+def test_connected_parts(spark):
+    from kerbline.operators.parts import connected
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(140)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[root(a)] = root(b)
+    want = defaultdict(set)
+    for x in {x for a, b in edges if a != b for x in (a, b)}:
+        want[root(x)].add(x)
+    found = defaultdict(set)
+    for r in connected(spark.createDataFrame(edges, "a long, b long")).collect():
+        found[r.part].add(r.node)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values())) and all(k in v for k, v in found.items())
 
 
 def test_vectors_of_other_models_and_a_vehicles_best_plate(spark):
@@ -177,9 +242,11 @@ def test_vectors_of_other_models_and_a_vehicles_best_plate(spark):
     parts = [(0.25 * 0.6, 1.0), (0.15, found[5, 4].s_time), (0.15, 0.6), (0.1, 1.0)]
     assert found[5, 4].score is None or found[5, 4].s_route is None or found[5, 4].score == pytest.approx(sum(w * v for w, v in parts) / sum(w for w, _ in parts))
     # The second sighting, which has no plate, is linked with the first; so the third can't be: its plate is another.
-    loose = {r.event_id: r.vehicle for r in identity.resolved(obs, identity.decisions(pairs, accept=0.5)).collect()}
-    tight = {r.event_id: r.vehicle for r in identity.settled(obs, pairs).collect()}
-    assert loose[2] == 1 and tight[2] == 1 and tight[3] == 3
+    score = lambda x: identity.scored(x, graph.shortest_paths(ring), base)
+    vehicles, counted = identity.resolved(obs, score, accept=0.5)
+    vehicle = {r.event_id: r.vehicle for r in vehicles.collect()}
+    assert vehicle[2] == 1 and vehicle[3] == 3
+    assert {(r.event_id, r.p_event_id): r.rejected for r in counted.collect()}[3, 2] == "plates_differ"
     why = {(r.event_id, r.p_event_id): r.why for r in identity.explained(pairs).collect()}
     assert "rejected: plates_differ" in why[3, 1] and "looks alike" in why[2, 1]
 
