@@ -14,5 +14,5 @@ def test_query_equals_its_sql(spark, small, name):
 def test_entry_registers_all():
     import __spark_entry__ as entry
 
-    assert {f"op{i}_" for i in range(1, 11)} == {x.split("_")[0] + "_" for x in entry.queries() if x.startswith("op")}
+    assert {f"op{i}_" for i in range(1, 14)} == {x.split("_")[0] + "_" for x in entry.queries() if x.startswith("op")}
     assert "pipeline" in entry.queries()
