@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -13,6 +14,8 @@ from pyspark.sql.window import Window
 from kerbline.operators.folds import min_separation, trailing
 from kerbline.sources.lineage import cut
 
+log = logging.getLogger(__name__)
+
 #: Severity and cooldown of each rule.
 RULES = {
     "WATCHLIST_MATCH": ("MEDIUM", 120), "REPEATED_SIGHTING": ("LOW", 1800), "IMPOSSIBLE_TRAVEL": ("HIGH", 600), "WRONG_WAY": ("HIGH", 60), "SEVERE_CONGESTION": ("MEDIUM", 900),
@@ -20,9 +23,18 @@ RULES = {
 }
 
 
-def raised(df: DataFrame, rule: str, key: Column, t: Column, camera: Column, action: Column | None = None) -> DataFrame:
-    """Rows of a rule in the common form: type, severity, dedup_key, t, camera_id, action (raise or resolve)."""
-    return df.select(F.lit(rule).alias("type"), F.lit(RULES[rule][0]).alias("severity"), F.lit(float(RULES[rule][1])).alias("cooldown_s"), F.concat(F.lit(rule + ":"), key).alias("dedup_key"), t.cast("double").alias("t"), camera.alias("camera_id"), (F.lit("raise") if action is None else action).alias("action"))
+#: Severities that an entry of a watchlist can give its alerts by its priority; others are the rule's own.
+SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+
+
+def raised(df: DataFrame, rule: str, key: Column, t: Column, camera: Column, action: Column | None = None, severity: Column | None = None) -> DataFrame:
+    """Rows of a rule in the common form: type, severity, dedup_key, t, camera_id, action (raise or resolve).
+
+    The severity is the rule's, unless ``severity`` has one of ``SEVERITIES`` for a row.
+    """
+    own = F.lit(RULES[rule][0])
+    own = own if severity is None else F.when(severity.isin(*SEVERITIES), severity).otherwise(own)
+    return df.select(F.lit(rule).alias("type"), own.alias("severity"), F.lit(float(RULES[rule][1])).alias("cooldown_s"), F.concat(F.lit(rule + ":"), key).alias("dedup_key"), t.cast("double").alias("t"), camera.alias("camera_id"), (F.lit("raise") if action is None else action).alias("action"))
 
 
 def all_rules(*parts: DataFrame) -> DataFrame:
@@ -39,6 +51,7 @@ def isolated(rules: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | Non
         try:
             made.append(cut(rule()))
         except Exception as error:  # whatever a rule may do
+            log.exception("alert rule %s failed", name)
             failed[name] = f"{type(error).__name__}: {error}"[:2000]
     return (all_rules(*made) if made else None), failed
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kerbline.functions.plates import weighted_distance
+from kerbline.functions.plates import CONFUSABLE, weighted_distance
 from kerbline.functions.privacy import pseudonym_prefix
 
 
@@ -56,16 +56,43 @@ def partial_plate(obs: DataFrame, query: str) -> DataFrame:
     return obs.where(F.col("plate").contains(kept) | F.col("plate_raw").contains(kept))
 
 
-def fuzzy_plate(obs: DataFrame, target: str, most: float = 1.5, band: int = 2) -> DataFrame:
-    """Sightings with plates within a weighted distance of the target, and the distance to two digits.
+def _classes() -> dict[str, str]:
+    """Each confusable character and the least of those that a chain of confusions leads to."""
+    least = {c: c for pair in CONFUSABLE for c in pair}
+    for _ in least:
+        for a, b in CONFUSABLE:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def deletions(plate: Column, edits: int) -> Column:
+    """Keys of a plate: what is left of it without up to ``edits`` of its characters, confusable ones being one."""
+    classes = _classes()
+    found = F.array(F.translate(plate, "".join(classes), "".join(classes.values())))
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    for _ in range(edits):
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, lambda x: F.when(F.length(x) > 0, without(x)).otherwise(F.array(x))))))
+    return found
+
 
-    The distance is taken of distinct plates only, of lengths within ``band``, that plain Levenshtein doesn't rule out:
-    a weighted distance is 0.35 times it at least.
+def near_plates(plates: DataFrame, wanted: DataFrame, most: float) -> DataFrame:
+    """Pairs of a plate of ``plates`` and one of ``wanted`` (wanted) within a weighted distance, and the distance d.
+
+    By deletions: texts within n edits have a key in common when up to n characters of each are left out, and a confusion
+    is no edit between keys. So pairs meet by equal keys, whatever the lengths, and only those that meet are measured.
     """
-    plates = obs.select("plate").where(F.col("plate").isNotNull() & (F.abs(F.length("plate") - len(target)) <= band)).distinct()
-    near = plates.where(F.levenshtein(F.col("plate"), F.lit(target)) * 0.35 <= most + 1e-9)
-    found = near.withColumn("d", weighted_distance("plate", F.lit(target))).where(F.col("d") <= most)
-    return obs.join(found, "plate").withColumn("plate_distance", F.round("d", 2)).drop("d")
+    edits = int(most + 1e-9)
+    keyed = plates.select("plate").where("plate is not null").distinct().select("plate", F.explode(deletions(F.col("plate"), edits)).alias("_key"))
+    asked = wanted.select("wanted").distinct().select("wanted", F.explode(deletions(F.col("wanted"), edits)).alias("_key"))
+    met = keyed.join(asked, "_key").select("plate", "wanted").distinct()
+    return met.withColumn("d", weighted_distance("plate", "wanted")).where(F.col("d") <= most + 1e-9)
+
+
+def fuzzy_plate(obs: DataFrame, target: str, most: float = 1.5, band: int = 2) -> DataFrame:
+    """Sightings with plates within a weighted distance of the target, of lengths within ``band``, and the distance to two digits."""
+    wanted = obs.sparkSession.createDataFrame([(target,)], "wanted string")
+    found = near_plates(obs, wanted, most).where(F.abs(F.length("plate") - len(target)) <= band)
+    return obs.join(found.select("plate", F.round("d", 2).alias("plate_distance")), "plate")
 
 
 def by_pseudonym(obs: DataFrame, query: str, hashed: str = "plate_hash") -> DataFrame:
@@ -91,15 +118,13 @@ def active_entries(entries: DataFrame, now: float) -> DataFrame:
 def watchlist_matches(obs: DataFrame, entries: DataFrame, most: float = 1.0) -> DataFrame:
     """Sightings that match an entry: the same plate, or for fuzzy entries within a weighted distance (lengths within one).
 
-    Exact matches are an equi-join. For fuzzy ones distinct plates meet entries by length, Levenshtein sifts, and what is
-    left is measured; so no sighting is compared with an entry itself.
+    Exact matches are an equi-join; distinct plates find fuzzy ones by ``near_plates``. No sighting is compared with an entry itself.
     """
     listed = entries.select("entry_id", F.col("plate").alias("entry_plate"), "match_mode", "priority")
     exact = obs.join(listed.withColumn("plate", F.col("entry_plate")), "plate").withColumn("distance", F.lit(0.0))
-    plates = obs.where("plate is not null").select("plate").distinct().withColumn("n", F.length("plate"))
-    fuzzy = listed.where("match_mode = 'fuzzy'").withColumn("n", F.explode(F.array(*[F.length("entry_plate") + k for k in (-1, 0, 1)])))
-    near = plates.join(fuzzy, "n").where((F.col("plate") != F.col("entry_plate")) & (F.levenshtein("plate", "entry_plate") * 0.35 <= most + 1e-9)).drop("n")
-    near = near.withColumn("d", weighted_distance("plate", "entry_plate")).where(F.col("d") <= most)
+    fuzzy = listed.where("match_mode = 'fuzzy'")
+    near = near_plates(obs, fuzzy.select(F.col("entry_plate").alias("wanted")), most).where((F.col("plate") != F.col("wanted")) & (F.abs(F.length("plate") - F.length("wanted")) <= 1))
+    near = near.join(fuzzy, F.col("wanted") == F.col("entry_plate")).drop("wanted")
     return exact.unionByName(obs.join(near, "plate").withColumn("distance", F.round("d", 2)).drop("d"))
 
 

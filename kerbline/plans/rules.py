@@ -128,7 +128,7 @@ def _rules(spark, sf_dir):
 
     obs, status = T.observations(spark, sf_dir), _status(spark, sf_dir)
     camera, t, now = F.col("camera_id"), F.col("t"), F.lit(T.NOW)
-    whole = lambda name, df, key, at=t, where=camera, action=None: alerts.raised(df, name, key, at, where, action)
+    whole = lambda name, df, key, at=t, where=camera, action=None, severity=None: alerts.raised(df, name, key, at, where, action, severity)
 
     def segments():
         points = T.trajectory(spark, sf_dir)
@@ -145,7 +145,7 @@ def _rules(spark, sf_dir):
     return {
         "CAMERA_OFFLINE": lambda: whole("CAMERA_OFFLINE", alerts.status_changes(status), camera, action=F.col("action")),
         "CAMERA_DEGRADED": lambda: whole("CAMERA_DEGRADED", alerts.degraded(status, T.NOW + 86_400), camera, F.col("since_s")),
-        "WATCHLIST_MATCH": lambda: whole("WATCHLIST_MATCH", search.watchlist_matches(obs, search.active_entries(entries(spark), T.NOW), 0.8), F.concat_ws(":", "entry_id", "camera_id")),
+        "WATCHLIST_MATCH": lambda: whole("WATCHLIST_MATCH", search.watchlist_matches(obs, search.active_entries(entries(spark), T.NOW), 0.8), F.concat_ws(":", "entry_id", "camera_id"), severity=F.col("priority")),
         "WRONG_WAY": lambda: whole("WRONG_WAY", alerts.wrong_way(moving, T.cameras(spark)), F.concat_ws(":", "camera_id", "vehicle_id")),
         "IMPOSSIBLE_TRAVEL": lambda: whole("IMPOSSIBLE_TRAVEL", impossible(), F.col("plate")),
         "REPEATED_SIGHTING": lambda: whole("REPEATED_SIGHTING", alerts.repeated_sightings(obs, ["camera_id", "vehicle_id"], 172_800, 3, 21_600), F.concat_ws(":", "camera_id", "vehicle_id")),
@@ -157,10 +157,8 @@ def _rules(spark, sf_dir):
 
 
 def _actions(spark, sf_dir):
-    found, failed = alerts.isolated(_rules(spark, sf_dir))
-    if failed:
-        raise RuntimeError(f"rules failed: {failed}")
-    return found
+    """What the rules that work raise and resolve; those that fail are logged and left out."""
+    return alerts.isolated(_rules(spark, sf_dir))[0]
 
 
 @query()
@@ -182,9 +180,8 @@ def _engine_sql() -> str:
 
 @query()
 def al_raise(spark, sf_dir):
-    """The life of the alerts of three rules: one with recoveries, and two that only raise."""
-    rules = _rules(spark, sf_dir)
-    return alerts.coded(alerts.lifecycle(alerts.all_rules(*[rules[x]() for x in ("CAMERA_OFFLINE", "WATCHLIST_MATCH", "WRONG_WAY")])))
+    """The life of the alerts of all ten rules."""
+    return alerts.coded(alerts.lifecycle(_actions(spark, sf_dir)))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND s = 'NEW' THEN 'ACKNOWLEDGED' WHEN o_orderkey % 3 = 1 AND s <> 'RESOLVED' THEN 'RESOLVED' WHEN o_orderkey % 3 = 2 AND s = 'RESOLVED' THEN 'NEW' END AS status
@@ -234,3 +231,39 @@ def rate_limit(spark, sf_dir):
 @query(deferred=_engine_sql)
 def rl_engine_counts(spark, sf_dir):
     return _actions(spark, sf_dir).groupBy("type", "action").agg(F.count("*").alias("n"))
+
+
+def _severity_sql() -> str:
+    """Severities of raises: the priority of a watchlist's entry, else that of the rule."""
+    hits = f"SELECT 'WATCHLIST_MATCH' AS type, priority AS severity, 'raise' AS action, count(*) AS n FROM ({SQL['jn_watchlist']}) JOIN (WITH {_ENTRIES_SQL} SELECT entry_id, priority FROM entries) USING (entry_id) GROUP BY ALL"
+    fixed = ", ".join(f"('{k}', '{v[0]}')" for k, v in alerts.RULES.items())
+    return f"SELECT type, severity, action, n FROM ({_engine_sql()}) JOIN (VALUES {fixed}) v(type, severity) USING (type) WHERE type <> 'WATCHLIST_MATCH' UNION ALL {hits}"
+
+
+@query(deferred=_severity_sql)
+def rl_engine_severity(spark, sf_dir):
+    return _actions(spark, sf_dir).groupBy("type", "severity", "action").agg(F.count("*").alias("n"))
+
+
+#: Weighted edit distances of the pairs of ``asked`` (a, b), a row of the table of costs at a step. A run of insertions ends
+#: at j from the best m before it: j + min(c[m] - m).
+DISTANCES_SQL = f"""costs AS (
+  SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda j: j::DOUBLE) AS r FROM asked
+  UNION ALL SELECT a, b, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_min(list_transform(range(1, j + 1), lambda m: c[m] - m)) + j) FROM (
+    SELECT a, b, i, list_prepend((i + 1)::DOUBLE, list_transform(range(1, length(b) + 1), lambda j: least(r[j + 1] + 1, r[j] + CASE WHEN a[i + 1] = b[j] THEN 0
+      WHEN list_contains({sorted(plates.CONFUSABLE)}, a[i + 1] || b[j]) OR list_contains({sorted(plates.CONFUSABLE)}, b[j] || a[i + 1]) THEN {plates.CONFUSED_COST} ELSE 1 END))) AS c FROM costs WHERE i < length(a))),
+distances AS (SELECT a, b, r[len(r)] AS d FROM costs WHERE i = length(a))"""
+
+
+@query(T.with_("obs").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_ENTRIES_SQL}, listed AS (SELECT * FROM entries WHERE active AND (expires_s IS NULL OR expires_s > {T.NOW})),
+asked AS (SELECT DISTINCT o.plate AS a, l.plate AS b FROM obs o, listed l WHERE o.plate IS NOT NULL), {DISTANCES_SQL}
+SELECT event_id, entry_id, round(d, 2) AS distance FROM obs o JOIN distances ON a = o.plate JOIN listed l ON l.plate = b WHERE d = 0 OR match_mode = 'fuzzy' AND d <= 1.5""")
+def jn_watchlist_edits(spark, sf_dir):
+    """Hits within an edit and a confusion."""
+    return search.watchlist_matches(T.observations(spark, sf_dir), search.active_entries(entries(spark), T.NOW), 1.5).select("event_id", "entry_id", "distance")
+
+
+@query(T.with_("obs").replace("WITH ", "WITH RECURSIVE ", 1) + f""", asked AS (SELECT DISTINCT plate AS a, 'UP32AB0OO8' AS b FROM obs WHERE plate IS NOT NULL), {DISTANCES_SQL}
+SELECT event_id, round(d, 2) AS plate_distance FROM obs JOIN distances ON a = plate WHERE d <= 1.5""")
+def flt_plate_fuzzy_edits(spark, sf_dir):
+    return search.fuzzy_plate(T.observations(spark, sf_dir), "UP32AB0OO8", 1.5).select("event_id", "plate_distance")

@@ -281,8 +281,16 @@ def test_alerts_against_a_search_of_all(spark, small):
     made = [(f"k{rng.randrange(3)}", "T", "LOW", float(rng.choice([5, 20])), "a", float(rng.randrange(400)), rng.choice(["raise", "raise", "resolve"])) for _ in range(300)]
     df = spark.createDataFrame(made, "dedup_key string, type string, severity string, cooldown_s double, camera_id string, t double, action string")
     assert lives(alerts.lifecycle(df)) == life(df.collect())
-    codes = [r.code for r in rules.al_raise(spark, small).collect()]
-    assert len(set(codes)) == len(codes) > 0
+    raised = rules.al_raise(spark, small).collect()
+    assert len({r.code for r in raised}) == len(raised) > 0
+    severity = {}
+    for r in sorted(actions.where("action = 'raise'").collect(), key=lambda r: r.t):
+        severity.setdefault(r.dedup_key, r.severity)
+    assert sorted((r.type, r.severity, r.dedup_key, r.occurrences) for r in raised) == sorted((k.partition(":")[0], severity[k], k, n) for k, _, _, _, _, n, _ in life(actions.collect()))
+    priorities = {e[0]: e[3] for e in rules.ENTRIES}
+    hits = [r for r in raised if r.type == "WATCHLIST_MATCH"]
+    assert hits and all(r.severity == priorities[int(r.dedup_key.split(":")[1])] for r in hits) and "CRITICAL" in {r.severity for r in hits}
+    assert {r.type for r in raised} == {r.type for r in actions.where("action = 'raise'").collect()} and len({r.type for r in raised}) > 5
 
 
 def test_a_rule_that_fails_takes_no_other_with_it(spark):
@@ -366,3 +374,22 @@ def test_watchlist_candidates_are_those_of_a_full_search(spark, small):
     assert {(r.event_id, r.entry_id) for r in found.collect()} == want
     near = spark.createDataFrame([(a, b) for a in ("UP32AB0001", "", "X") for b in ("UP3ZA80OO1", "UP32A", "", "Y")], "a string, b string")
     assert all(r.d == pytest.approx(edit(r.a, r.b)) for r in near.select("a", "b", plates.weighted_distance("a", "b").alias("d")).where(F.col("d").isNotNull()).collect())
+
+
+def test_plates_found_by_deletions_are_those_of_a_full_search(spark):
+    rng = random.Random(9)
+
+    def changed(x):
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(x) + 1)
+            x = rng.choice([x[:i] + rng.choice("0O1I8BZ29") + x[i:], x[:i] + x[i + 1 :], x[:i] + rng.choice("0ODQ1I7T8BG6") + x[i + 1 :]]) or "A"
+        return x
+
+    seen = ["".join(rng.choice("UPDL01O8B6GZ2") for _ in range(rng.choice([1, 2, 6, 9, 10]))) for _ in range(60)]
+    plates_ = sorted({changed(rng.choice(seen)) for _ in range(400)})
+    obs = spark.createDataFrame([(i, x) for i, x in enumerate([*plates_, None, ""])], "event_id long, plate string")
+    for most in (0.0, 0.7, 1.0, 1.5, 2.1):
+        found = search.near_plates(obs, spark.createDataFrame([(x,) for x in seen], "wanted string"), most)
+        assert {(r.plate, r.wanted) for r in found.collect()} == {(p, w) for p in [*plates_, ""] for w in seen if edit(p, w) <= most + 1e-9}
+    keys = obs.where("plate <> ''").select("plate", F.explode(search.deletions(F.col("plate"), 1)).alias("k")).groupBy("k").count()
+    assert keys.agg(F.max("count")).first()[0] < len(plates_) / 4
