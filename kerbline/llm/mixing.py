@@ -6,9 +6,9 @@ patterns to sources; what flows out of a pattern is then taken as whole document
 them for each full epoch, and a prefix of that order for the rest.
 
 Only sums for each pattern and each hash bucket of a pattern are gathered; the prefix is found on those sums, and exactly
-within the one bucket in which it ends. No task sees all documents of a source. Targets are found on the table of sources. A
-source that shares no document with another gets its target from its own pattern, whatever the number of such sources; the
-flow is solved on the driver for the patterns of sources that overlap, whose number doesn't grow with documents.
+within the one bucket in which it ends. No task sees all documents of a source. Targets are found on the table of sources.
+Sources that share documents, directly or over others, are a group, and no word flows between groups; so the flow of each
+group is solved by itself in a task, from its patterns. Their number doesn't grow with documents.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kerbline.llm.shared import columns, stored
+from kerbline.llm.components import components
+from kerbline.llm.shared import columns, dropped, stored
 
 #: Fixed values of the mix: weights of the sources by code point, repeating; the share of all sizes; copies of a document at most.
 WEIGHTS, SHARE, EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2, "mix-1"
@@ -47,7 +49,9 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     that full sources stay full and the sums of two columns, over and over, lead to the end.
     """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    weighed = stored(_ranked(sources).withColumn("_w", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))), "mix-weights")
+    ranked = _ranked(sources)
+    weighed = stored(ranked.withColumn("_w", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))), "mix-weights")
+    dropped(ranked)
     cap = F.lit(float(most)) * F.col("size")
     total, open_ = (float(x or 0) for x in weighed.agg(F.sum("size"), F.sum(F.when(F.col("size") > 0, F.col("_w")))).first())
     full, seen = 0.0, None
@@ -109,24 +113,33 @@ def routed(patterns: dict[tuple, float], target: dict, epochs: int = EPOCHS) ->
     return out
 
 
+def _routes(wanted: DataFrame, epochs: int) -> DataFrame:
+    """Words that leave each pattern by the flow of its group: rows (_group, _sources, _n, source, size, target) of a group are one problem."""
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = [(tuple(sources), float(n), source, int(size), float(target)) for sources, n, source, size, target in zip(rows["_sources"], rows["_n"], rows["source"], rows["size"], rows["target"], strict=True)]
+        sums = {sources: n for sources, n, *_ in rows}
+        size, target = {x[2]: x[3] for x in rows}, {x[2]: x[4] for x in rows}
+        flow = routed(sums, target, epochs)
+        out = [(list(p), n, flow[p], sum(size[s] for s in p), float(sum(target[s] for s in p))) for p, n in sums.items()]
+        return pd.DataFrame(out, columns=["_sources", "_n", "_taken", "source_size", "target"])
+
+    return wanted.groupBy("_group").applyInPandas(solve, "_sources array<string>, _n double, _taken double, source_size long, target double")
+
+
 def _planned(patterns: DataFrame, weights: Sequence[float], share: float, epochs: int) -> DataFrame:
     """Of each pattern (_sources, _n words): full epochs, words of one more, and the size and target of its sources."""
     each = patterns.select("_sources", "_n", F.explode("_sources").alias("source"))
-    wanted = stored(targets(each.groupBy("source").agg(F.sum("_n").alias("size")), weights, share, epochs), "mix-targets")
-    # Sources of patterns of several sources, and all patterns of such sources.
-    shared = each.where(F.size("_sources") > 1).select(F.col("source").alias("_shared")).distinct()
-    tied = stored(each.join(shared, F.col("source").eqNullSafe(F.col("_shared")), "left_semi").join(wanted.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))), "mix-tied").collect()
-    sums, size, target = {}, {}, {}
-    for r in tied:
-        sums[tuple(r["_sources"])] = float(r["_n"])
-        size[r["source"]], target[r["source"]] = r["size"], r["target"]
-    flow = routed(sums, target, epochs)
-    solved = [(list(p), n, flow[p], sum(size[s] for s in p), float(sum(target[s] for s in p))) for p, n in sums.items()]
-    solved = patterns.sparkSession.createDataFrame(solved, "_sources array<string>, _n double, _taken double, source_size long, target double")
-    alone = patterns.join(solved.select("_sources"), "_sources", "left_anti").where(F.size("_sources") > 0)
-    alone = alone.join(wanted, F.element_at("_sources", 1).eqNullSafe(F.col("source")))
-    alone = alone.select("_sources", F.col("_n").cast("double").alias("_n"), F.col("target").alias("_taken"), F.col("size").alias("source_size"), "target")
-    out = alone.unionByName(solved)
+    found = targets(each.groupBy("source").agg(F.sum("_n").alias("size")), weights, share, epochs)
+    wanted = stored(found, "mix-targets")
+    dropped(found)
+    # A source is a node by its hash; two that had one hash would only be solved together.
+    node = lambda c: F.xxhash64(c)
+    links = patterns.select(F.explode(F.slice("_sources", 2, 1 << 20)).alias("b"), node(F.element_at("_sources", 1)).alias("a"))
+    groups = components(links.select("a", node(F.col("b")).alias("b")))
+    rows = each.join(wanted.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))).withColumn("node", node(F.col("source")))
+    rows = rows.join(groups, "node", "left").select(F.coalesce("component", "node").alias("_group"), "_sources", "_n", "source", "size", "target")
+    out = _routes(rows, epochs)
     whole = F.when(F.col("_n") > 0, F.least(F.floor(F.col("_taken") / F.col("_n") + 1e-9), F.lit(epochs))).otherwise(0).cast("int")
     rest = F.col("_taken") - F.col("_full") * F.col("_n")
     return out.withColumn("_full", whole).select("_sources", "_full", F.when(rest > 0.5, rest).otherwise(0.0).alias("_rest"), "source_size", "target")
@@ -145,7 +158,9 @@ def mix(docs: DataFrame, sources: Column, size: Column, key: Column, weights: Se
     kept = stored(named.select("doc_id", "_sources", "_size", "_key", "_bucket") if also else named, "mix-sizes")
     by_bucket = stored(kept.groupBy("_sources", "_bucket").agg(F.sum("_size").alias("_sum")), "mix-buckets")
     patterns = stored(by_bucket.groupBy("_sources").agg(F.sum("_sum").alias("_n")), "mix-patterns")
-    plan = stored(_planned(patterns, weights, share, epochs), "mix-plan")
+    planned = _planned(patterns, weights, share, epochs)
+    plan = stored(planned, "mix-plan")
+    dropped(planned)
     few = plan.count() <= MOST_SENT
     small = lambda df: F.broadcast(df) if few else df  # noqa: E731  a row for each pattern at most
     plan = small(plan)

@@ -1,5 +1,6 @@
 """Operators on documents against brute force, on the rows of ``cases`` and on the test tables."""
 
+import itertools
 import math
 import re
 import zlib
@@ -7,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from cases import SCHEMA, documents, rows
+from cases import SCHEMA, documents, prose, rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -395,6 +396,40 @@ def test_flow_meets_as_much_as_can_be_met():
         assert all(-1e-6 <= out[p] <= 2 * n + 1e-6 for p, n in patterns.items())
 
 
+def test_flow_costs_as_little_as_can_be():
+    """Words of second epochs, against all ways to take whole words of small patterns."""
+    rng = np.random.default_rng(3)
+    for _ in range(25):
+        names = "abc"[: rng.integers(2, 4)]
+        patterns = {tuple(sorted(set(rng.choice(list(names), rng.integers(1, 3))))): float(rng.integers(1, 4)) for _ in range(3)}
+        target = {s: float(rng.integers(0, 6)) for s in {s for p in patterns for s in p}}
+        most, least = met_at_most(patterns, target, 2), None
+        for taken in itertools.product(*[range(int(2 * n) + 1) for n in patterns.values()]):
+            cost = sum(max(0, x - n) for x, n in zip(taken, patterns.values(), strict=True))
+            if sum(taken) == most and (least is None or cost < least) and met_at_most(dict(zip(patterns, map(float, taken), strict=True)), target, 1) == pytest.approx(most):
+                least = cost
+        out = mixing.routed(patterns, target, 2)
+        assert sum(max(0.0, out[p] - n) for p, n in patterns.items()) == pytest.approx(least, abs=1e-6)
+
+
+def test_the_flow_decides_what_is_taken_of_single_sources_too(spark):
+    """With the share of what a flow of one epoch can carry, no row is taken twice, whatever the targets."""
+    docs = documents(spark, [(i, prose(i, 30), "en", f"s{i % 3}") for i in range(60)])
+    plan = mixing._routes(spark.createDataFrame([(1, ["a"], 100, "a", 100, 150.0), (2, ["b"], 100, "b", 100, 40.0), (2, ["b", "c"], 50, "b", 100, 40.0), (2, ["b", "c"], 50, "c", 50, 90.0)], "_group long, _sources array<string>, _n long, source string, size long, target double"), 2).collect()
+    want = mixing.routed({("a",): 100.0, ("b",): 100.0, ("b", "c"): 50.0}, {"a": 150.0, "b": 40.0, "c": 90.0}, 2)
+    assert {tuple(r._sources): r._taken for r in plan} == want
+    once = mixing.mix_documents(docs, epochs=1).collect()
+    assert all(r.taken in (0, r.size) for r in once) and sum(r.taken for r in once) == sum(r.size for r in once)
+
+
+def test_mix_of_null_ids_and_of_one_key(spark):
+    data = [(None, prose(i, 20), "en", "a") for i in range(30)] + [(7, prose(99, 20), "en", "b")] * 30 + [(i, prose(i, 20), "en", "c") for i in range(100, 130)]
+    found = mixing.mix_documents(documents(spark, data)).collect()
+    assert len(found) == 90 and all(r.taken <= 2 * r.size for r in found)
+    for of in ((None, "a"), (7, "b")):
+        assert len({r.taken for r in found if (r.doc_id, r.source) == of}) == 1
+
+
 def test_mix_of_overlapping_and_of_many_sources(spark):
     made = spark.range(4000).select(F.col("id").alias("doc_id"), F.array_distinct(F.when(F.col("id") % 5 < 2, F.array(F.lit("a"), F.lit("b"))).when(F.col("id") % 5 == 2, F.array(F.lit("b"))).otherwise(F.array(F.concat(F.lit("h"), (F.col("id") % 900).cast("string"))))).alias("of"))
     found = mixing.mix(made, F.col("of"), F.lit(10), F.col("doc_id").cast("string")).collect()
