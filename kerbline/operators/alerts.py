@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kerbline.operators.folds import min_separation, trailing
+from kerbline.operators import anchors
+from kerbline.operators.folds import trailing
 from kerbline.sources.lineage import cut
 
 log = logging.getLogger(__name__)
@@ -77,9 +78,8 @@ def repeated_counts(obs: DataFrame, key: list[str], window_s: int = 1800) -> Dat
 
 
 def repeated_sightings(obs: DataFrame, key: list[str], window_s: float = 1800, least: int = 3, apart_s: float = 60) -> DataFrame:
-    """Sightings with which a key has ``least`` passages, ``apart_s`` apart, in the trailing window."""
-    out = trailing(obs, key, window_s, {"times": "collect_list(t)"}).withColumn("times", F.array_sort("times"))
-    return out.withColumn("passages", F.size(min_separation(F.col("times"), apart_s))).drop("times").where(F.col("passages") >= least)
+    """Sightings with which a key has ``least`` passages, ``apart_s`` apart, in the trailing window; passages is their number."""
+    return anchors.passages_in_window(obs, key, window_s, apart_s).where(F.col("passages") >= least)
 
 
 def status_changes(events: DataFrame) -> DataFrame:

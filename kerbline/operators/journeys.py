@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kerbline.operators.quantiles import medians
+
 #: Seconds without a sighting after which a new journey begins.
 JOURNEY_GAP_S = 1800
 
@@ -40,10 +42,15 @@ def journeys(points: DataFrame) -> DataFrame:
     )
 
 
+def _trips(points: DataFrame) -> DataFrame:
+    """Journeys with two sightings at least and two different ends."""
+    return journeys(points).where("points >= 2 and origin <> destination")
+
+
 def od_cells(points: DataFrame) -> DataFrame:
-    """Cells of journeys with two sightings at least and two different ends: count and median seconds."""
-    trips = journeys(points).where("points >= 2 and origin <> destination")
-    return trips.groupBy("origin", "destination").agg(F.count("*").alias("journeys"), F.round(F.median(F.col("end_s") - F.col("start_s")), 1).alias("median_travel_s"))
+    """Cells of journeys by their ends: count and median seconds."""
+    found = medians(_trips(points).withColumn("travel_s", F.col("end_s") - F.col("start_s")), ["origin", "destination"], "travel_s", "median_travel_s", "journeys")
+    return found.select("origin", "destination", "journeys", F.round("median_travel_s", 1).alias("median_travel_s"))
 
 
 def od_matrix(points: DataFrame, min_count: int = 1) -> DataFrame:
@@ -53,7 +60,8 @@ def od_matrix(points: DataFrame, min_count: int = 1) -> DataFrame:
 
 def od_totals(points: DataFrame, min_count: int = 1) -> DataFrame:
     """One row: journeys of all cells and of those suppressed."""
-    return od_cells(points).agg(F.coalesce(F.sum("journeys"), F.lit(0)).alias("total_journeys"), F.coalesce(F.sum(F.when(F.col("journeys") < min_count, F.col("journeys"))), F.lit(0)).alias("suppressed_journeys"))
+    cells = _trips(points).groupBy("origin", "destination").agg(F.count("*").alias("journeys"))
+    return cells.agg(F.coalesce(F.sum("journeys"), F.lit(0)).alias("total_journeys"), F.coalesce(F.sum(F.when(F.col("journeys") < min_count, F.col("journeys"))), F.lit(0)).alias("suppressed_journeys"))
 
 
 def od_drilldown(points: DataFrame, origin: str, destination: str) -> DataFrame:

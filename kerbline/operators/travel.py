@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kerbline.operators.metrics import rollup_columns
+from kerbline.operators.quantiles import medians
 
 
 def segment_samples(points: DataFrame, since: float, until: float, levels: tuple[str, ...] = ("HIGH", "MEDIUM")) -> DataFrame:
@@ -18,7 +19,8 @@ def segment_samples(points: DataFrame, since: float, until: float, levels: tuple
 
 
 def segment_medians(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("from_id", "to_id").agg(F.median("travel_s").alias("median_s"), F.count("*").alias("samples"))
+    """Of each segment the median of its samples and how many there are."""
+    return medians(samples, ["from_id", "to_id"], "travel_s", "median_s")
 
 
 def baselines(points: DataFrame, edges: DataFrame, now: float, baseline_s: float = 21_600, exclude_recent_s: float = 900, min_samples: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kerbline.functions import plates
-from kerbline.operators import alerts, folds, search
+from kerbline.operators import alerts, anchors, folds, search
 from kerbline.plans.registry import SQL, query
 from kerbline.plans.traffic import _BASELINE, _CONGESTION, _RATIOS, _WINDOW, _ratios
 from kerbline.sources import tables as T
@@ -201,14 +201,14 @@ SELECT camera_id, vehicle_id, CAST(max(i) AS INTEGER) AS sightings, CAST(max(n)
 
 @query(_PASSES.format(test=">= 86400"))
 def win_min_separation(spark, sf_dir):
-    return folds.passages(T.observations(spark, sf_dir), ["camera_id", "vehicle_id"], 86_400)
+    return anchors.passages(T.observations(spark, sf_dir), ["camera_id", "vehicle_id"], 86_400)
 
 
 @query(_PASSES.format(test="> 86400"))
 def win_fragment(spark, sf_dir):
     """Fragments of a passage: what the merge makes of a vehicle's sightings at a camera within a day of the first."""
     obs = T.observations(spark, sf_dir).withColumn("plate", F.col("vehicle_id").cast("string")).withColumn("votes", F.col("k"))
-    merged = folds.merged_fragments(obs, 86_400)
+    merged = anchors.merged_fragments(obs, 86_400)
     return merged.groupBy("camera_id", F.col("plate").cast("long").alias("vehicle_id")).agg(F.sum("fragments").cast("int").alias("sightings"), F.count("*").cast("int").alias("passages"))
 
 

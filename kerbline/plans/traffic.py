@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kerbline.functions.scores import clamp, confidence_level, congestion_level, weighted_mean
 from kerbline.functions.times import bucket_start
 from kerbline.operators import congestion, health, metrics
+from kerbline.operators.quantiles import medians
 from kerbline.operators.travel import baselines, inbound_ratios, segment_samples
 from kerbline.plans.registry import query
 from kerbline.sources import tables as T
@@ -72,7 +73,7 @@ def agg_group_counts(spark, sf_dir):
 
 @query(T.with_("obs") + "SELECT camera_id, median(speed_kmh) AS median_speed FROM obs GROUP BY camera_id")
 def agg_median(spark, sf_dir):
-    return T.observations(spark, sf_dir).groupBy("camera_id").agg(F.median("speed_kmh").alias("median_speed"))
+    return medians(T.observations(spark, sf_dir), ["camera_id"], "speed_kmh", "median_speed").drop("samples")
 
 
 @query(T.with_("obs") + f"SELECT camera_id, count(*) AS last_day FROM obs WHERE t >= {T.NOW - 86400} AND t < {T.NOW} GROUP BY camera_id")

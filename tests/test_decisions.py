@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.functions import plates
-from kerbline.operators import alerts, folds, graph, identity, search, travel
+from kerbline.operators import alerts, anchors, folds, graph, identity, quantiles, search, travel
 from kerbline.plans import registry, rules, text
 from kerbline.plans import travel as plans
 from kerbline.sources import tables as T
@@ -393,3 +393,33 @@ def test_plates_found_by_deletions_are_those_of_a_full_search(spark):
         assert {(r.plate, r.wanted) for r in found.collect()} == {(p, w) for p in [*plates_, ""] for w in seen if edit(p, w) <= most + 1e-9}
     keys = obs.where("plate <> ''").select("plate", F.explode(search.deletions(F.col("plate"), 1)).alias("k")).groupBy("k").count()
     assert keys.agg(F.max("count")).first()[0] < len(plates_) / 4
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_anchors_put_together_are_those_of_the_fold(spark, hot):
+    rng = random.Random(11)
+    times = [float(rng.randrange(0, 9000 if hot else 60_000)) / 2 for _ in range(3000)] + [-50.0, -49.5, -2.0, 0.0, 640.0, 640.0]
+    rows = [("a", "P" if hot or rng.random() < 0.7 else f"Q{rng.randrange(60)}", t, i, rng.random(), rng.choice([None, 30.0, 50.0]), rng.randrange(5)) for i, t in enumerate(times)] + [("b", None, 1.0, 9000, 0.5, None, 1)]
+    obs = spark.createDataFrame(rows, "camera_id string, plate string, t double, event_id long, confidence double, speed_kmh double, votes long").repartition(5)
+    for apart in (10.0, 0.5, 700.0):
+        plain = lambda df: sorted((tuple(-1 if x is None or x != x else x for x in r) for r in df.collect()), key=repr)
+        names = ["camera_id", "plate", "event_id", "anchor", "last_t", "confidence", "speed_kmh", "votes", "fragments"]
+        assert plain(anchors.merged_fragments(obs, apart).select(names)) == plain(folds.merged_fragments(obs, apart).select(names))
+        keyed = obs.where("plate is not null")
+        assert plain(anchors.passages(keyed, ["camera_id", "plate"], apart)) == plain(folds.passages(keyed, ["camera_id", "plate"], apart))
+
+
+def test_a_hot_key_is_dealt_to_many_tasks(spark):
+    """Of one key's rows no task gets more than a few stretches, and the fold gets few rows."""
+    obs = spark.range(40_000).select(F.lit("a").alias("camera_id"), (F.col("id") * 5.0).alias("t"))
+    stretches = obs.groupBy(F.floor(F.col("t") / (10.0 * anchors.STRETCH))).count()
+    assert stretches.count() > 300 and stretches.agg(F.max("count")).first()[0] <= 2 * anchors.STRETCH
+    assert anchors.passages(obs, ["camera_id"], 10.0).collect() == [("a", 40_000, 20_000)]
+
+
+def test_medians_of_a_hot_key_and_of_odd_values(spark):
+    rng = np.random.default_rng(5)
+    values = {"hot": rng.lognormal(3, 2, 20_001), "even": rng.normal(0, 50, 5_000), "one": np.array([7.5]), "two": np.array([-1.0, 4.0]), "same": np.full(999, 3.25), "close": 1e6 + rng.integers(0, 50, 3_000) / 64, "signs": np.array([-3.0, -3.0, -0.0, 0.0, 2.0, 2.0]), "large": np.array([1e300, -1e300, 5e-324])}
+    rows = [(k, float(v)) for k, own in values.items() for v in own] + [("hot", None), ("none", None), (None, 1.0), (None, 3.0)]
+    found = {r.k: (r.median, r.samples) for r in quantiles.medians(spark.createDataFrame(rows, "k string, v double").repartition(6), ["k"], "v").collect()}
+    assert found == {k: (float(np.median(v)), len(v)) for k, v in values.items()} | {None: (2.0, 2)}
