@@ -39,31 +39,54 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return out.join(into, "camera_id", "full").select("camera_id", F.coalesce("outgoing", empty).alias("outgoing"), F.coalesce("incoming", empty).alias("incoming"))
 
 
-def shortest_paths(edges: DataFrame, cost: str = "distance_m", max_hops: int | None = None, origin: str | None = None) -> DataFrame:
-    """The cheapest allowed path between any two cameras (and loop back to each), of any number of hops or at most ``max_hops``.
+#: Edges that paths are extended by between two tables that are written.
+HOPS_A_ROUND = 3
+_MEASURES = ("distance_m", "min_travel_s", "typical_travel_s")
 
-    With ``origin`` only paths from there are searched. Columns: from_id, to_id, cost, cameras, hops, skipped (cameras
-    between), and the path's distance, least and usual time. Ties go to the path that comes first. Each round extends the
-    paths that the last one found or improved by an edge, until a round improves none: a road network's diameter bounds the
-    rounds, and a round's table, which is written, holds one path for each pair.
+
+def _searched(first: DataFrame, hop: DataFrame, max_hops: int | None = None, labels: tuple[str, ...] = ()) -> DataFrame:
+    """Cheapest paths that begin with the edges ``first`` and go on by ``hop``, one for each two ends and label.
+
+    A label ``avoids`` names a camera that its paths don't pass. A step extends the paths that the last one found or improved
+    by an edge, and a round of a few steps is written, until one improves none: a road network's diameter bounds the steps,
+    and a round's table holds one path for each pair and label.
     """
-    measures = ("distance_m", "min_travel_s", "typical_travel_s")
-    hop = edges.where("allowed").select("from_id", "to_id", F.col(cost).cast("double").alias("c"), *measures)
-    first = hop if origin is None else hop.where(F.col("from_id") == origin)
-    best = first.select("from_id", "to_id", F.col("c").alias("cost"), F.array("from_id", "to_id").alias("cameras"), *measures, F.lit(1).alias("new"))
+    best = first.select(*labels, "from_id", "to_id", F.col("c").alias("cost"), F.array("from_id", "to_id").alias("cameras"), *_MEASURES, F.lit(1).alias("new"))
 
     def least(paths: DataFrame) -> DataFrame:
         # A path found again equals the kept one, which is not new and so comes first.
-        return paths.groupBy("from_id", "to_id").agg(F.min(F.struct("cost", "cameras", *measures, "new")).alias("p")).select("from_id", "to_id", "p.*")
+        return paths.groupBy(*labels, "from_id", "to_id").agg(F.min(F.struct("cost", "cameras", *_MEASURES, "new")).alias("p")).select(*labels, "from_id", "to_id", "p.*")
 
-    best, rounds = cut(least(best)), 1
-    while (max_hops is None or rounds < max_hops) and not best.where("new = 1").isEmpty():
-        ends = best.where("new = 1 and from_id <> to_id").select("from_id", F.col("to_id").alias("via"), "cost", "cameras", *[F.col(m).alias(f"{m}_0") for m in measures])
+    def extended(best: DataFrame) -> DataFrame:
+        ends = best.where("new = 1 and from_id <> to_id").select(*labels, "from_id", F.col("to_id").alias("via"), "cost", "cameras", *[F.col(m).alias(f"{m}_0") for m in _MEASURES])
         step = ends.join(hop.withColumnRenamed("from_id", "via"), "via").where((F.col("to_id") == F.col("from_id")) | ~F.array_contains("cameras", F.col("to_id")))
-        paths = step.select("from_id", "to_id", (F.col("cost") + F.col("c")).alias("cost"), F.concat("cameras", F.array("to_id")).alias("cameras"), *[(F.col(f"{m}_0") + F.col(m)).alias(m) for m in measures], F.lit(1).alias("new"))
-        best, rounds = cut(least(best.withColumn("new", F.lit(0)).unionByName(paths))), rounds + 1
+        step = step.where(F.col("to_id") != F.col("avoids")) if "avoids" in labels else step
+        paths = step.select(*labels, "from_id", "to_id", (F.col("cost") + F.col("c")).alias("cost"), F.concat("cameras", F.array("to_id")).alias("cameras"), *[(F.col(f"{m}_0") + F.col(m)).alias(m) for m in _MEASURES], F.lit(1).alias("new"))
+        return least(best.withColumn("new", F.lit(0)).unionByName(paths))
+
+    hop, best, hops = cut(hop), cut(least(best)), 1
+    while (max_hops is None or hops < max_hops) and not best.where("new = 1").isEmpty():
+        steps = HOPS_A_ROUND if max_hops is None else min(HOPS_A_ROUND, max_hops - hops)
+        for _ in range(steps):
+            best = extended(best)
+        best, hops = cut(best), hops + steps
+    return best.drop("new")
+
+
+def _hops(edges: DataFrame, cost: str) -> DataFrame:
+    return edges.where("allowed").select("from_id", "to_id", F.col(cost).cast("double").alias("c"), *_MEASURES)
+
+
+def shortest_paths(edges: DataFrame, cost: str = "distance_m", max_hops: int | None = None, origin: str | None = None) -> DataFrame:
+    """The cheapest allowed path between any two cameras (and loop back to each), of any number of hops or at most ``max_hops``.
+
+    With ``origin`` only paths from there are searched. Columns: from_id, to_id, cost, cameras, hops, skipped (cameras
+    between), and the path's distance, least and usual time. Ties go to the path that comes first.
+    """
+    hop = _hops(edges, cost)
+    best = _searched(hop if origin is None else hop.where(F.col("from_id") == origin), hop, max_hops)
     hops = F.size("cameras") - 1
-    return best.drop("new").withColumn("hops", hops).withColumn("skipped", F.when(hops > 1, F.slice("cameras", 2, hops - 1)).otherwise(F.array().cast("array<string>")))
+    return best.withColumn("hops", hops).withColumn("skipped", F.when(hops > 1, F.slice("cameras", 2, hops - 1)).otherwise(F.array().cast("array<string>")))
 
 
 def loaded(edges: DataFrame, base: DataFrame, scores: DataFrame) -> DataFrame:
@@ -92,19 +115,23 @@ def corridor(edges: DataFrame, base: DataFrame, scores: DataFrame, origin: str,
 def alternatives(edges: DataFrame, cost: str, origin: str, destination: str, max_hops: int | None = None) -> DataFrame:
     """Cheapest paths that avoid one camera between the ends of the cheapest path each; the same path is returned once.
 
-    The cameras of one path are collected, and one search from the origin is made for each that is avoided.
+    One search for all: paths are labelled with the camera that they avoid, and a round extends those of all labels.
     """
-    primary = shortest_paths(edges, cost, max_hops, origin).where(F.col("to_id") == destination).first()
-    found = None
-    for avoided in primary["cameras"][1:-1] if primary else []:
-        kept = edges.where((F.col("to_id") != avoided) & (F.col("from_id") != avoided))
-        one = shortest_paths(kept, cost, max_hops, origin).where(F.col("to_id") == destination).withColumn("avoids", F.lit(avoided))
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return shortest_paths(edges.limit(0), cost, max_hops).withColumn("avoids", F.lit(None).cast("string")).select("cameras", "avoids", "cost", "distance_m")
+    hop = _hops(edges, cost)
+    primary = _searched(hop.where(F.col("from_id") == origin), hop, max_hops).where(F.col("to_id") == destination)
+    labels = primary.select("from_id", F.explode(F.slice("cameras", 2, F.greatest(F.size("cameras") - 2, F.lit(0)))).alias("avoids"))
+    first = hop.join(F.broadcast(labels), "from_id").where(F.col("to_id") != F.col("avoids"))  # the cameras of one path
+    found = _searched(first, hop, max_hops, ("avoids",)).where(F.col("to_id") == destination)
     return found.groupBy("cameras").agg(F.min("avoids").alias("avoids"), F.first("cost").alias("cost"), F.first("distance_m").alias("distance_m"))
 
 
+def corridor_options(edges: DataFrame, base: DataFrame, scores: DataFrame, origin: str, destination: str, max_hops: int | None = None) -> DataFrame:
+    """The ways of a corridor by load cost: the cheapest (avoids is null) and those that avoid one of its cameras each; cameras, avoids, cost, distance_m."""
+    timed = cut(loaded(edges, base, scores))
+    primary = shortest_paths(timed, "load_cost", max_hops, origin).where(F.col("to_id") == destination)
+    return primary.select("cameras", F.lit(None).cast("string").alias("avoids"), "cost", "distance_m").unionByName(alternatives(timed, "load_cost", origin, destination, max_hops))
+
+
 def geojson(edges: DataFrame, cameras: DataFrame) -> DataFrame:
     """One feature for each edge as JSON text: its line and properties."""
     place = cameras.select("camera_id", F.array("longitude", "latitude").alias("at"))

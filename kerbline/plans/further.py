@@ -37,12 +37,12 @@ def dml_watchlist(spark, sf_dir):
     return changes.current(log, ["entry_id"], ["n"]).select("entry_id", "price")
 
 
-@query(T.with_("edges") + """, fresh AS (SELECT to_id AS from_id, from_id AS to_id FROM edges UNION ALL SELECT from_id, 'new' FROM edges), n AS (SELECT from_id, to_id, count(*) AS n FROM fresh GROUP BY ALL)
+@query(T.with_("network") + """, fresh AS (SELECT to_id AS from_id, from_id AS to_id FROM edges UNION ALL SELECT from_id, 'new' FROM edges UNION ALL SELECT from_id, to_id FROM edges WHERE to_id < 'N05'), n AS (SELECT from_id, to_id, count(*) AS n FROM fresh GROUP BY ALL)
 SELECT f.from_id, f.to_id, n.n > 1 OR e.from_id IS NOT NULL AS refused FROM fresh f JOIN n USING (from_id, to_id) LEFT JOIN edges e ON e.from_id = f.from_id AND e.to_id = f.to_id""")
 def dml_edges(spark, sf_dir):
-    """New edges: those that exist or are asked for twice are refused."""
-    edges = T.edges(spark)
-    fresh = edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")).unionByName(edges.select("from_id", F.lit("new").alias("to_id")))
+    """New edges of the network: those that exist or are asked for twice are refused."""
+    edges = T.network(spark, sf_dir)
+    fresh = edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")).unionByName(edges.select("from_id", F.lit("new").alias("to_id"))).unionByName(edges.where("to_id < 'N05'").select("from_id", "to_id"))
     taken, refused = changes.created(edges, fresh, ["from_id", "to_id"])
     return taken.withColumn("refused", F.lit(False)).unionByName(refused.withColumn("refused", F.lit(True)))
 

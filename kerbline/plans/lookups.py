@@ -237,13 +237,14 @@ def props_json(spark, sf_dir):
 _R = 6_371_008.8
 
 
-@query(T.with_("cameras") + f"""SELECT a.camera_id AS from_id, b.camera_id AS to_id,
+@query(T.with_("network", "network_cameras") + f"""SELECT e.from_id, e.to_id,
   round(2 * {_R}::DOUBLE * asin(sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))), 3) AS distance_m
-FROM cameras a JOIN cameras b ON a.camera_id <> b.camera_id""")
+FROM edges e JOIN cameras a ON a.camera_id = e.from_id JOIN cameras b ON b.camera_id = e.to_id""")
 def geo_haversine(spark, sf_dir):
-    a, b = T.cameras(spark).alias("a"), T.cameras(spark).alias("b")
+    """As the crow flies along each segment of the network between two cameras."""
+    a, b = (T.network_cameras(spark, sf_dir).alias(x) for x in "ab")
     d = geo.haversine_m(*[F.col(c) for c in ("a.latitude", "a.longitude", "b.latitude", "b.longitude")])
-    return a.join(b, F.col("a.camera_id") != F.col("b.camera_id")).select(F.col("a.camera_id").alias("from_id"), F.col("b.camera_id").alias("to_id"), F.round(d, 3).alias("distance_m"))
+    return T.network(spark, sf_dir).join(a, F.col("a.camera_id") == F.col("from_id")).join(b, F.col("b.camera_id") == F.col("to_id")).select("from_id", "to_id", F.round(d, 3).alias("distance_m"))
 
 
 @query("SELECT event_id, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][CAST(floor((value % 360 + 22.5) / 45) AS INTEGER) % 8 + 1] AS heading, round((value + 180) % 360, 4) AS opposite FROM events")

@@ -98,9 +98,11 @@ def entries(spark):
     return spark.createDataFrame(ENTRIES, "entry_id int, plate string, match_mode string, priority string, active boolean, expires_s double")
 
 
-@query(f"WITH {_ENTRIES_SQL} SELECT entry_id FROM entries WHERE active AND (expires_s IS NULL OR expires_s > {T.NOW})")
+@query(f"""SELECT c_custkey AS entry_id FROM customer WHERE c_mktsegment <> 'BUILDING' AND (c_custkey % 3 = 0 OR {T.NOW}::DOUBLE + c_acctbal::DOUBLE > {T.NOW}::DOUBLE)""")
 def flt_watchlist_active(spark, sf_dir):
-    return search.active_entries(entries(spark), T.NOW).select("entry_id")
+    """Customers as entries: those of one segment are switched off, and two in three expire by their balance."""
+    listed = T.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entry_id"), (F.col("c_mktsegment") != "BUILDING").alias("active"), F.when(F.col("c_custkey") % 3 != 0, T.NOW + F.col("c_acctbal").cast("double")).alias("expires_s"))
+    return search.active_entries(listed, T.NOW).select("entry_id")
 
 
 #: Plates are as long as the listed ones, and an insertion costs 1: within 0.8 only swaps of confusable characters are left.

@@ -116,33 +116,36 @@ def jn_during_before(spark, sf_dir):
     return travel.incident_segments(T.trajectory(spark, sf_dir), T.edges(spark), "click", _START, _END)
 
 
-@query(T.with_("edges") + "SELECT from_id, to_id, median(distance_m) AS distance_m FROM edges WHERE allowed GROUP BY ALL")
+@query(T.with_("network", "network_cameras") + "SELECT from_id, to_id, distance_m FROM edges WHERE allowed AND from_id IN (SELECT camera_id FROM cameras) AND to_id IN (SELECT camera_id FROM cameras)")
 def gr_build(spark, sf_dir):
-    return graph.known(T.edges(spark), T.cameras(spark)).where("allowed").select("from_id", "to_id", "distance_m")
+    return graph.known(T.network(spark, sf_dir), T.network_cameras(spark, sf_dir)).where("allowed").select("from_id", "to_id", "distance_m")
 
 
-@query(T.with_("edges", "cameras") + """SELECT camera_id, coalesce((SELECT string_agg(DISTINCT to_id, ',' ORDER BY to_id) FROM edges WHERE allowed AND from_id = camera_id), '') AS outgoing,
-  coalesce((SELECT string_agg(DISTINCT from_id, ',' ORDER BY from_id) FROM edges WHERE allowed AND to_id = camera_id), '') AS incoming FROM cameras""")
+@query(T.with_("network") + """SELECT camera_id, coalesce((SELECT string_agg(DISTINCT to_id, ',' ORDER BY to_id) FROM edges WHERE from_id = camera_id), '') AS outgoing,
+  coalesce((SELECT string_agg(DISTINCT from_id, ',' ORDER BY from_id) FROM edges WHERE to_id = camera_id), '') AS incoming FROM (SELECT from_id AS camera_id FROM edges UNION SELECT to_id FROM edges)""")
 def gr_neighbours(spark, sf_dir):
-    return graph.neighbours(T.edges(spark)).select("camera_id", F.array_join("outgoing", ",").alias("outgoing"), F.array_join("incoming", ",").alias("incoming"))
+    return graph.neighbours(T.network(spark, sf_dir)).select("camera_id", F.array_join("outgoing", ",").alias("outgoing"), F.array_join("incoming", ",").alias("incoming"))
 
 
-@query(T.with_("edges", "paths") + "SELECT from_id, to_id, cost, array_to_string(cameras, '>') AS cameras, CAST(len(cameras) - 1 AS INTEGER) AS hops, min_travel_s, typical_travel_s FROM paths")
+@query(T.with_("network", "paths") + "SELECT from_id, to_id, cost, array_to_string(cameras, '>') AS cameras, CAST(len(cameras) - 1 AS INTEGER) AS hops, round(min_travel_s, 6) AS min_travel_s, round(typical_travel_s, 6) AS typical_travel_s FROM paths")
 def gr_shortest(spark, sf_dir):
-    return T.paths(spark).select("from_id", "to_id", "cost", F.array_join("cameras", ">").alias("cameras"), "hops", "min_travel_s", "typical_travel_s")
+    """Paths of up to 24 hops over a network that comes from the tables."""
+    return graph.shortest_paths(T.network(spark, sf_dir)).select("from_id", "to_id", "cost", F.array_join("cameras", ">").alias("cameras"), "hops", F.round("min_travel_s", 6).alias("min_travel_s"), F.round("typical_travel_s", 6).alias("typical_travel_s"))
 
 
-@query(T.with_("edges") + """, d AS (SELECT from_id, to_id, distance_m FROM edges UNION ALL SELECT to_id, from_id, distance_m FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.from_id = e.to_id AND x.to_id = e.from_id))
-SELECT from_id, to_id, round(distance_m / 25, 4) AS min_travel_s, round(distance_m / 8.33::DOUBLE, 4) AS typical_travel_s, true AS valid FROM d""")
+@query(T.with_("network") + """, bare AS (SELECT from_id, to_id, distance_m, CASE WHEN from_id < 'N10' THEN distance_m / 20 END AS least FROM edges),
+d AS (SELECT * FROM bare UNION ALL SELECT to_id, from_id, distance_m, least FROM bare e WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.from_id = e.to_id AND x.to_id = e.from_id))
+SELECT from_id, to_id, round(coalesce(least, distance_m / 25), 4) AS min_travel_s, round(distance_m / 8.33::DOUBLE, 4) AS typical_travel_s, coalesce(least, distance_m / 25) <= distance_m / 8.33::DOUBLE AS valid FROM d""")
 def gr_edge_defaults(spark, sf_dir):
-    bare = T.edges(spark).select("from_id", "to_id", "distance_m", F.lit(None).cast("double").alias("min_travel_s"), F.lit(None).cast("double").alias("typical_travel_s"))
+    known = F.when(F.col("from_id") < "N10", F.col("distance_m") / 20)
+    bare = T.network(spark, sf_dir).select("from_id", "to_id", "distance_m", known.alias("min_travel_s"), F.lit(None).cast("double").alias("typical_travel_s"))
     return graph.with_defaults(bare, both_ways=True).select("from_id", "to_id", F.round("min_travel_s", 4).alias("min_travel_s"), F.round("typical_travel_s", 4).alias("typical_travel_s"), "valid")
 
 
-@query(T.with_("edges", "cameras") + """SELECT e.from_id, e.to_id, a.longitude AS x1, a.latitude AS y1, b.longitude AS x2, b.latitude AS y2, 'LineString' AS kind, distance_m FROM edges e JOIN cameras a ON a.camera_id = e.from_id JOIN cameras b ON b.camera_id = e.to_id""")
+@query(T.with_("network", "network_cameras") + """SELECT e.from_id, e.to_id, a.longitude AS x1, a.latitude AS y1, b.longitude AS x2, b.latitude AS y2, 'LineString' AS kind, distance_m FROM edges e JOIN cameras a ON a.camera_id = e.from_id JOIN cameras b ON b.camera_id = e.to_id""")
 def gr_geojson_fields(spark, sf_dir):
     """The features of ``gr_geojson`` read back from their text."""
-    found = graph.geojson(T.edges(spark), T.cameras(spark))
+    found = graph.geojson(T.network(spark, sf_dir), T.network_cameras(spark, sf_dir))
     at = lambda path: F.get_json_object("feature", path)
     places = {f"{c}{i + 1}": at(f"$.geometry.coordinates[{i}][{j}]").cast("double") for i in (0, 1) for j, c in enumerate("xy")}
     return found.select("from_id", "to_id", *[v.alias(k) for k, v in places.items()], at("$.geometry.type").alias("kind"), at("$.properties.distance_m").cast("double").alias("distance_m"))
@@ -150,19 +153,7 @@ def gr_geojson_fields(spark, sf_dir):
 
 @query()
 def gr_geojson(spark, sf_dir):
-    return graph.geojson(T.edges(spark), T.cameras(spark))
-
-
-@query(T.with_("network", "paths") + "SELECT from_id, to_id, cost, array_to_string(cameras, '>') AS cameras, CAST(len(cameras) - 1 AS INTEGER) AS hops FROM paths")
-def gr_shortest_network(spark, sf_dir):
-    """Paths of up to 24 hops over a network that comes from the tables."""
-    return graph.shortest_paths(T.network(spark, sf_dir)).select("from_id", "to_id", "cost", F.array_join("cameras", ">").alias("cameras"), "hops")
-
-
-@query(T.with_("network") + """SELECT camera_id, coalesce((SELECT string_agg(DISTINCT to_id, ',' ORDER BY to_id) FROM edges WHERE from_id = camera_id), '') AS outgoing,
-  coalesce((SELECT string_agg(DISTINCT from_id, ',' ORDER BY from_id) FROM edges WHERE to_id = camera_id), '') AS incoming FROM (SELECT from_id AS camera_id FROM edges UNION SELECT to_id FROM edges)""")
-def gr_neighbours_network(spark, sf_dir):
-    return graph.neighbours(T.network(spark, sf_dir)).select("camera_id", F.array_join("outgoing", ",").alias("outgoing"), F.array_join("incoming", ",").alias("incoming"))
+    return graph.geojson(T.network(spark, sf_dir), T.network_cameras(spark, sf_dir))
 
 
 def _route_sql(origin: str, destination: str, cost: str) -> str:
@@ -200,14 +191,20 @@ avoiding AS (SELECT mid, c.* FROM mids, complete c WHERE NOT list_contains(c.cam
 SELECT array_to_string(cameras, '>') AS cameras, min(mid) AS avoids, min(cost) AS cost, min(distance_m) AS distance_m FROM avoiding GROUP BY cameras"""
 
 
-@query(T.with_("edges").replace("WITH ", "WITH RECURSIVE ", 1) + ", priced AS (SELECT * FROM edges WHERE allowed), " + _route_sql("click", "view", "typical_travel_s") + ", " + _AVOIDING)
+@query(T.with_("network").replace("WITH ", "WITH RECURSIVE ", 1) + ", priced AS (SELECT * FROM edges), " + _route_sql("N00", "N18", "typical_travel_s") + ", " + _AVOIDING)
 def gr_alternatives(spark, sf_dir):
-    return graph.alternatives(T.edges(spark), "typical_travel_s", "click", "view").withColumn("cameras", F.array_join("cameras", ">"))
+    return graph.alternatives(T.network(spark, sf_dir), "typical_travel_s", "N00", "N18").withColumn("cameras", F.array_join("cameras", ">"))
 
 
-@query(T.with_("network").replace("WITH ", "WITH RECURSIVE ", 1) + ", priced AS (SELECT * FROM edges), " + _route_sql("N00", "N18", "typical_travel_s") + ", " + _AVOIDING)
-def gr_alternatives_network(spark, sf_dir):
-    return graph.alternatives(T.network(spark, sf_dir), "typical_travel_s", "N00", "N18").withColumn("cameras", F.array_join("cameras", ">"))
+@query(T.with_("network", "network_load").replace("WITH ", "WITH RECURSIVE ", 1) + ", priced AS (SELECT e.*, typical_travel_s * (1 + coalesce(score, 0) / 100) AS load_cost FROM edges e LEFT JOIN loads ON camera_id = to_id), " + _route_sql("N00", "N18", "load_cost") + ", "
+    + _AVOIDING.replace("SELECT array_to_string(cameras, '>') AS cameras, min(mid)", ", options AS (SELECT cameras, NULL::VARCHAR AS avoids, cost, distance_m FROM cheapest UNION ALL SELECT cameras, min(mid)", 1).replace("GROUP BY cameras", "GROUP BY cameras)") + """
+SELECT array_to_string(cameras, '>') AS cameras, avoids, round(cost, 6) AS cost, distance_m FROM options""")
+def gr_corridor_options(spark, sf_dir):
+    """The ways of a corridor by load cost: the cheapest, and around each of its cameras."""
+    network = T.network(spark, sf_dir)
+    base = network.select("from_id", "to_id", F.col("typical_travel_s").alias("seconds"))
+    found = graph.corridor_options(network, base, T.network_load(spark, sf_dir), "N00", "N18")
+    return found.select(F.array_join("cameras", ">").alias("cameras"), "avoids", F.round("cost", 6).alias("cost"), "distance_m")
 
 
 #: Transitions of the last day before the time that queries take as now count for predictions.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.functions.scores import congestion_level
 from kerbline.functions.times import epoch_seconds
 from kerbline.operators import graph, journeys, metrics
 
@@ -125,7 +126,29 @@ NETWORK_SQL = """edges AS (
   FROM (SELECT *, unnest(CASE WHEN n_regionkey = 0 THEN [1, 4] ELSE [1] END) AS step FROM nation) LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY ALL) ON n_nationkey = c_nationkey)"""
 
 
-_PARTS = {"obs": OBS, "edges": EDGES_SQL, "cameras": CAMERAS_SQL, "points": TRAJECTORY, "metrics": METRICS, "samples": SAMPLES, "paths": PATHS_SQL, "network": NETWORK_SQL}
+def network_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras at the nodes of ``network`` but those of the last region, in a ring about a point; one-way where the key is even."""
+    nations = read(spark, sf_dir, "nation").where("n_regionkey < 4")
+    angle = F.radians(F.col("n_nationkey") * 14.4)
+    return nations.select(F.format_string("N%02d", "n_nationkey").alias("camera_id"), F.round(26.8 + 0.1 * F.sin(angle), 6).alias("latitude"), F.round(80.9 + 0.1 * F.cos(angle), 6).alias("longitude"), (F.col("n_nationkey") % 2 == 0).alias("one_way"), (F.col("n_regionkey") == 0).alias("is_demo"))
+
+
+NETWORK_CAMERAS_SQL = """cameras AS (
+  SELECT printf('N%02d', n_nationkey) AS camera_id, round(26.8::DOUBLE + 0.1::DOUBLE * sin(radians(n_nationkey * 14.4::DOUBLE)), 6) AS latitude, round(80.9::DOUBLE + 0.1::DOUBLE * cos(radians(n_nationkey * 14.4::DOUBLE)), 6) AS longitude, n_nationkey % 2 = 0 AS one_way, n_regionkey = 0 AS is_demo
+  FROM nation WHERE n_regionkey < 4)"""
+
+
+def network_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """camera_id, score and level of congestion of the nodes of ``network`` that have suppliers, by their number."""
+    each = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    found = each.select(F.format_string("N%02d", "s_nationkey").alias("camera_id"), (F.col("n") * 7 % 101).cast("double").alias("score"))
+    return found.withColumn("level", congestion_level(F.col("score")))
+
+
+NETWORK_LOAD_SQL = """loads AS (SELECT printf('N%02d', s_nationkey) AS camera_id, (count(*) * 7 % 101)::DOUBLE AS score FROM supplier GROUP BY s_nationkey)"""
+
+
+_PARTS = {"network_cameras": NETWORK_CAMERAS_SQL, "network_load": NETWORK_LOAD_SQL, "obs": OBS, "edges": EDGES_SQL, "cameras": CAMERAS_SQL, "points": TRAJECTORY, "metrics": METRICS, "samples": SAMPLES, "paths": PATHS_SQL, "network": NETWORK_SQL}
 
 
 def with_(*names: str) -> str:
