@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from kerbline.operators import anchors
 from kerbline.operators.folds import trailing
+from kerbline.operators.stretches import previous
 from kerbline.sources.lineage import cut
 
 log = logging.getLogger(__name__)
@@ -84,8 +85,7 @@ def repeated_sightings(obs: DataFrame, key: list[str], window_s: float = 1800, l
 
 def status_changes(events: DataFrame) -> DataFrame:
     """Raises and recoveries of offline cameras: each status with the one before; only changes count."""
-    by = Window.partitionBy("camera_id").orderBy("t", "event_id")
-    changed = events.withColumn("before", F.lag("status").over(by)).where("before is null or before <> status")
+    changed = previous(events, ["camera_id"], ["status"]).withColumnRenamed("before_status", "before").where("before is null or before <> status")
     action = F.when(F.col("status").isin("OFFLINE", "ERROR"), "raise").when(F.col("status") == "ONLINE", "resolve")
     return changed.withColumn("action", action).where("action is not null")
 

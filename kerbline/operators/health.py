@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kerbline.operators.folds import folded, trailing
+from kerbline.operators.quantiles import medians
+from kerbline.operators.stretches import numbered, previous
 
 #: The level that a status is logged with (others INFO), and the most characters of a message.
 LEVELS, MOST_MESSAGE = {"DEGRADED": "WARNING", "OFFLINE": "ERROR", "ERROR": "ERROR"}, 2000
@@ -21,18 +23,16 @@ def fps(frames: DataFrame, window_s: int = 5) -> DataFrame:
 
 def counter_deltas(samples: DataFrame, counter: str) -> DataFrame:
     """Growth of a cumulative counter since the sample before; a fall means that it began anew."""
-    by = Window.partitionBy("camera_id").orderBy("t", "event_id")
-    before = F.lag(counter).over(by)
-    return samples.withColumn(f"{counter}_delta", F.when(before.isNull() | (F.col(counter) < before), F.col(counter)).otherwise(F.col(counter) - before))
+    before, now = F.col(f"before_{counter}"), F.col(counter)
+    found = previous(samples, ["camera_id"], [counter])
+    return found.withColumn(f"{counter}_delta", F.when(before.isNull() | (now < before), now).otherwise(now - before)).drop(f"before_{counter}")
 
 
 def split_halves(samples: DataFrame, column: str, least: int = 4) -> DataFrame:
     """Medians of the first and the second half of each camera's known values in time; the middle one of an odd number is in the second."""
-    known = samples.where(F.col(column).isNotNull())
-    by = Window.partitionBy("camera_id")
-    rows = known.withColumn("i", F.row_number().over(by.orderBy("t", "event_id"))).withColumn("n", F.count("*").over(by))
-    early = F.col("i") <= F.floor(F.col("n") / 2)
-    return rows.where(F.col("n") >= least).groupBy("camera_id").agg(F.median(F.when(early, F.col(column))).alias("early"), F.median(F.when(~early, F.col(column))).alias("late"))
+    rows = numbered(samples.where(F.col(column).isNotNull()).select("camera_id", "t", "event_id", column), ["camera_id"]).where(F.col("n") >= least)
+    halves = medians(rows.withColumn("half", F.when(F.col("i") <= F.floor(F.col("n") / 2), "early").otherwise("late")), ["camera_id", "half"], column)
+    return halves.groupBy("camera_id").agg(*[F.max(F.when(F.col("half") == half, F.col("median"))).alias(half) for half in ("early", "late")])
 
 
 def tail_median(samples: DataFrame, column: str, last: int = 4) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.functions import plates
-from kerbline.operators import alerts, anchors, folds, graph, identity, quantiles, search, travel
+from kerbline.operators import alerts, anchors, folds, graph, health, identity, quantiles, search, stretches, travel
 from kerbline.plans import registry, rules, text
 from kerbline.plans import travel as plans
 from kerbline.sources import tables as T
@@ -423,3 +423,23 @@ def test_medians_of_a_hot_key_and_of_odd_values(spark):
     rows = [(k, float(v)) for k, own in values.items() for v in own] + [("hot", None), ("none", None), (None, 1.0), (None, 3.0)]
     found = {r.k: (r.median, r.samples) for r in quantiles.medians(spark.createDataFrame(rows, "k string, v double").repartition(6), ["k"], "v").collect()}
     assert found == {k: (float(np.median(v)), len(v)) for k, v in values.items()} | {None: (2.0, 2)}
+
+
+def test_stretches_hand_on_their_edges(spark):
+    """One camera with nearly all rows: what windows over all its rows give, by stretches of which each is small."""
+    rng = random.Random(12)
+    rows = [("hot" if rng.random() < 0.95 else rng.choice("ab"), float(rng.choice([rng.randrange(0, 400_000), rng.randrange(0, 400)])), i, rng.choice([None, 0, 1, 5, 9]), rng.choice(["ONLINE", "OFFLINE", "DEGRADED"])) for i in range(4000)] + [(None, 5.0, 9000, 3, "ONLINE"), (None, 99_999.0, 9001, 2, "OFFLINE")]
+    df = spark.createDataFrame(rows, "camera_id string, t double, event_id long, v long, status string").repartition(7)
+    order, want, numbers = defaultdict(list), {}, {}
+    for r in sorted(rows, key=lambda r: r[1:3]):
+        own = order[r[0]]
+        want[r[2]] = (own[-1][3], own[-1][4]) if own else (None, None)
+        own.append(r)
+        numbers[r[2]] = len(own)
+    for stretch in (10.0, 3600.0):
+        found = stretches.previous(df, ["camera_id"], ["v", "status"], stretch)
+        assert {r.event_id: (r.before_v, r.before_status) for r in found.collect()} == want and found.columns[:5] == df.columns
+        assert {r.event_id: (r.i, r.n) for r in stretches.numbered(df, ["camera_id"], stretch_s=stretch).collect()} == {k: (numbers[k], len(order[next(r[0] for r in rows if r[2] == k)])) for k in numbers}
+    known = {k: [r[3] for r in own if r[3] is not None] for k, own in order.items()}
+    halves = {r.camera_id: (r.early, r.late) for r in health.split_halves(df, "v").collect()}
+    assert halves == {k: (float(np.median(v[: len(v) // 2])), float(np.median(v[len(v) // 2 :]))) for k, v in known.items() if len(v) >= 4}
