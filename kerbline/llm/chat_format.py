@@ -2,12 +2,13 @@
 
 A template is any function from a list of (role, text) turns to a string. Successive prefixes of a conversation are
 rendered, and the outputs compared: what a prefix adds to the one before is its last turn's span. Where an output doesn't
-begin with the one before, the template rewrites history; the turn's span then begins where the two part, earlier spans
-are cut there, and the conversation is marked.
+begin with the one before, the template rewrites history, and the conversation is marked; all its turns are then located
+anew in the last output.
 
 Within a turn that is learnt from, the place of the text alone is found the same way: the turn is rendered with two other
 texts of one character each, and what these renderings share before and after that character is what the template puts
-around a text.
+around a text. After a rewrite each earlier turn is rendered so in the whole conversation: there its text is, or what the
+template has left of it, and the turn goes on as far as it did behind its text when it was the last.
 """
 
 from __future__ import annotations
@@ -68,9 +69,15 @@ class Spans:
         self.found: list[tuple[str, int, int, int, int]] = []
         self.rewrites = 0
 
+    def _place(self, turns: list[tuple[str, str]], i: int, now: str) -> tuple[int, int] | None:
+        """From where to where the text of turn i stands in ``now``, the output for ``turns``; None where the template doesn't show it."""
+        one, other = (self.template([*turns[:i], (turns[i][0], x), *turns[i + 1 :]]) for x in PROBES)
+        if one == other:
+            return None
+        first = _common(one, other)
+        return first, max(first, len(now) - (len(one) - first - 1))
+
     def add(self, role: str, text: str) -> None:
-        said, wanted = (len(self.text), len(self.text)), role in self.loss_roles
-        around = [self.template([*self.turns, (role, x)]) for x in PROBES] if wanted else []
         self.turns.append((role, text))
         now = self.template(self.turns)
         if now.startswith(self.text):
@@ -78,15 +85,28 @@ class Spans:
         else:
             self.rewrites += 1
             at = _common(now, self.text)
-            self.found = [(r, *(min(x, at) for x in places)) for r, *places in self.found]
-        if wanted and around[0] != around[1]:
-            first = _common(*around)
-            said = first, max(first, len(now) - (len(around[0]) - first - 1))
-        elif wanted:  # a template that doesn't show the text
-            said = len(now), len(now)
+        said = (self._place(self.turns, len(self.turns) - 1, now) or (len(now), len(now))) if role in self.loss_roles else (at, at)
         self.text = now
         self.found.append((role, at, len(now), *said))
 
+    def located(self) -> list[tuple[str, int, int, int, int]]:
+        """(role, first, last, text_first, text_last) of each turn in the last output."""
+        if not self.rewrites:
+            return self.found
+        out, begin = [], min(self.found[0][1], len(self.text))
+        places = [self._place(self.turns, i, self.text) for i in range(len(self.turns))]
+        for i, (role, _) in enumerate(self.turns):
+            end = len(self.text)
+            first, last = places[i] or (begin, begin)
+            if i + 1 < len(self.turns):
+                head = self.template(self.turns[: i + 1])
+                own = self._place(self.turns[: i + 1], i, head)
+                after = next((x[0] for x in places[i + 1 :] if x), end)
+                end = min(last + (len(head) - own[1] if own and places[i] else 0), after)
+            out.append((role, begin, max(begin, end), *((first, last) if role in self.loss_roles else (begin, begin))))
+            begin = max(begin, end)
+        return out
+
 
 def format_conversations(turns: DataFrame, template: Callable[[list[tuple[str, str]]], str] = render, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row for each conv_id of ``turns`` (conv_id, turn, role, text): the formatted text and each turn's span in it.
@@ -95,7 +115,8 @@ def format_conversations(turns: DataFrame, template: Callable[[list[tuple[str, s
     to ``text_last`` is the text alone, as the template wrote it: the loss mask (empty in other turns). Turns are ordered by
     turn (null first), role and text, so that ties and repeated rows have one order; null roles and texts are empty; the
     rows of a null conv_id are one conversation; an empty table gives no rows; other columns are ignored. ``rewrites``
-    counts the turns at which the template changed what it had rendered before.
+    counts the turns at which the template changed what it had rendered before. A turn that the template has taken out has an
+    empty span, and so has a text that it doesn't show.
 
     Spark sorts the turns of each conversation into one partition and a task streams them: it holds one conversation. A
     black-box template must be rendered anew for every prefix, so that a conversation costs its turns times its length.
@@ -110,7 +131,7 @@ def format_conversations(turns: DataFrame, template: Callable[[list[tuple[str, s
 
         def close() -> None:
             if now is not None:
-                spans = [{"role": r, "first": a, "last": b, "loss": r in loss_roles, "text_first": x, "text_last": y} for r, a, b, x, y in now.found]
+                spans = [{"role": r, "first": a, "last": b, "loss": r in loss_roles, "text_first": x, "text_last": y} for r, a, b, x, y in now.located()]
                 out.append((None if at is None else int(at), len(now.turns), now.text, spans, now.rewrites))
 
         def frame() -> pd.DataFrame:

@@ -117,3 +117,33 @@ def test_template_that_rewrites_history_is_found(spark):
     assert found[1].formatted[last["first"] : last["last"]].endswith("second")
     assert found[1].formatted[last["text_first"] : last["text_last"]] == "second"
     assert [found[2].formatted[s["text_first"] : s["text_last"]] for s in found[2].spans] == ["", "a"]
+
+
+def shown(row):
+    return [(s["role"], row.formatted[s["first"] : s["last"]], row.formatted[s["text_first"] : s["text_last"]]) for s in row.spans]
+
+
+def test_every_turn_is_located_after_a_rewrite(spark):
+    """Templates that trim what earlier turns of the assistant thought, that take old turns out, or that change a header."""
+
+    def trims(turns):
+        last = max((i for i, (r, _) in enumerate(turns) if r == "assistant"), default=-1)
+        return "<s>" + "".join(f"<{r}>{t.split('|')[-1] if r == 'assistant' and i < last else t}</{r}>" for i, (r, t) in enumerate(turns))
+
+    def forgets(turns):
+        return "".join(f"({r}: {t})" if i >= len(turns) - 2 else "" for i, (r, t) in enumerate(turns))
+
+    def counts(turns):
+        return f"#{len(turns)};" + "".join(f"{r}={t};" for r, t in turns)
+
+    turns = [("user", "q|1"), ("assistant", "thought|answer"), ("user", "more"), ("assistant", "again|yes"), ("user", "</assistant>"), ("assistant", "last thought|end")]
+    chats_ = spark.createDataFrame([(1, i, *x) for i, x in enumerate(turns)] + [(2, 0, "assistant", ""), (2, 1, "assistant", "a"), (2, 2, "user", "b")], "conv_id long, turn int, role string, text string")
+    one, two = (shown(r) for r in sorted(chat_format.format_conversations(chats_, trims).collect(), key=lambda r: r.conv_id))
+    want = [("user", "q|1"), ("assistant", "answer"), ("user", "more"), ("assistant", "yes"), ("user", "</assistant>"), ("assistant", "last thought|end")]
+    assert one == [(r, f"<{r}>{t}</{r}>", t if r == "assistant" else "") for r, t in want]
+    assert two == [("assistant", "<assistant></assistant>", ""), ("assistant", "<assistant>a</assistant>", "a"), ("user", "<user>b</user>", "")]
+    rows = {r.conv_id: r for r in chat_format.format_conversations(chats_, forgets).collect()}
+    assert shown(rows[1]) == [(r, "", "") for r, _ in turns[:-2]] + [("user", "(user: </assistant>)", ""), ("assistant", "(assistant: last thought|end)", "last thought|end")] and rows[1].rewrites == 4
+    rows = {r.conv_id: r for r in chat_format.format_conversations(chats_, counts).collect()}
+    assert [x[2] for x in shown(rows[1])] == [t if r == "assistant" else "" for r, t in turns]
+    assert [x[1] for x in shown(rows[1])][1:] == [f"{r}={t};" for r, t in turns[1:]]
