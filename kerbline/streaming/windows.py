@@ -66,6 +66,24 @@ def passages(events: DataFrame, seconds: float = 25, late: str = "2 seconds") ->
     return rows.groupBy("camera_id", "plate").applyInPandasWithState(fold, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def marked_late(events: DataFrame, keys: list[str], late_s: float) -> DataFrame:
+    """``events`` (t in seconds, no column named late) with ``late``: whether an event is more than ``late_s`` behind the newest one of its keys in earlier batches.
+
+    Spark drops rows behind a watermark; here they are told apart, so that a sink can keep them. State is one time for each key.
+    """
+    names = events.columns
+
+    def mark(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = newest = state.get[0] if state.exists else float("-inf")
+        for rows in batches:
+            newest = max(newest, rows["t"].max())
+            yield rows[names].assign(late=rows["t"] < before - late_s)
+        state.update((float(newest),))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in events.dtypes) + ", late boolean"
+    return events.groupBy(*keys).applyInPandasWithState(mark, schema, "newest double", "append", GroupStateTimeout.NoTimeout)
+
+
 def latest(events: DataFrame, fresh: str = "30 seconds") -> DataFrame:
     """The newest status of each camera, for update mode; the reader drops those older than ``fresh`` by its clock."""
     newest = events.groupBy("camera_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))

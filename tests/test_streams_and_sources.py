@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -74,6 +75,33 @@ def test_dead_letters_and_their_replay(spark, tmp_path):
     assert ingest.new_events(events, events.limit(0)).count() == 1
 
 
+def test_every_event_is_on_time_or_late(spark, tmp_path):
+    batches = [[row(1, 100), row(2, 500)], [row(3, 430), row(4, 50), row(5, 600, camera="b"), row(6, 900)], [row(7, 500), row(8, 800), row(9, 10, camera="b")], []]
+    told = windows.marked_late(stream(spark, str(tmp_path / "in"), [x for x in batches if x]).drop("ts"), ["camera_id"], 100)
+    run.continued(told, str(tmp_path / "out"), run.on_time_and_late(str(tmp_path / "out")))
+    found = {(r.event_id, r.late) for r in run.told_apart(spark, str(tmp_path / "out")).collect()}
+    assert found == {(1, False), (2, False), (3, False), (4, True), (5, False), (6, False), (7, True), (8, False), (9, True)}
+
+
+def test_letters_are_replayed_once(spark, tmp_path):
+    lines = ["{torn", json.dumps({"type": "parcel", "event_id": "7"}), json.dumps({"type": "box", "event_id": "8"}), json.dumps({"type": "observation", "event_id": "9"})]
+    path = str(tmp_path / "out")
+    ingest.tables_sink(path)(ingest.decoded(spark.createDataFrame([(x,) for x in lines], "value string")), 4)
+    mended = F.regexp_replace("payload", "parcel", "observation")
+    states = lambda: sorted(r.state for r in ingest.letters(spark, path, 4).collect())
+    assert states() == ["OPEN"] * 3
+    with ThreadPoolExecutor(4) as pool:  # of replays at once one does it
+        done = list(pool.map(lambda _: ingest.replay(spark, path, 4, mended), range(4)))
+    replayed = lambda: sorted(r.event_id for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/replayed").collect())
+    assert any(done) and states() == ["OPEN", "OPEN", "RESOLVED"] and replayed() == ["7"]
+    assert ingest.replay(spark, path, 4, mended) and replayed() == ["7"]  # what is resolved isn't replayed again
+    assert ingest.discard(spark, path, 4, F.col("payload") == "{torn") and states() == ["DISCARDED", "OPEN", "RESOLVED"]
+    assert not ingest.resumed(spark, path, 4, mended)
+    ingest._claimed(spark, path, 4)  # one that began, and died
+    assert not ingest.replay(spark, path, 4, mended) and ingest.resumed(spark, path, 4, F.regexp_replace("payload", "box", "observation"))
+    assert states() == ["DISCARDED", "RESOLVED", "RESOLVED"] and replayed() == ["7", "8"]
+
+
 def test_shards_are_digests_modulo(spark):
     names = [f"camera-{i}" for i in range(30)]
     for r in spark.createDataFrame([(x,) for x in names], "c string").select("c", ingest.shard(F.col("c"), 7).alias("s")).collect():
@@ -140,21 +168,22 @@ def test_paths_and_corridors_have_no_limit_of_hops(spark):
 
 def test_candidates_count_vehicles_not_sightings(spark):
     # Two vehicles seen 150 times each use up no place of a third seen before them, nor of two sightings without a plate.
-    rows = [(1, False, 10.0, "C"), (2, False, 11.0, None), (3, False, 12.0, None)] + [(10 + i, False, 20.0 + i, "AB"[i % 2]) for i in range(300)] + [(999, False, 400.0, "D")]
+    seen = [(1, 10.0, "C"), (2, 11.0, None), (3, 12.0, None)] + [(10 + i, 20.0 + i, "AB"[i % 2]) for i in range(300)] + [(999, 400.0, "D")]
+    rows = [(i, False, t, "a", plate and plate * 6, 0.9, "car", "red", None) for i, t, plate in seen]
+    obs = spark.createDataFrame(rows, "event_id long, scope boolean, t double, camera_id string, plate string, confidence double, vehicle_class string, colour string, embedding array<float>")
+    ring = spark.createDataFrame([("a", "b", 1.0, 0.1, 0.3, True), ("b", "a", 1.0, 0.1, 0.3, True)], "from_id string, to_id string, distance_m double, min_travel_s double, typical_travel_s double, allowed boolean")
+    paths, base = graph.shortest_paths(ring), spark.createDataFrame([], "from_id string, to_id string, seconds double")
+    for limit, want in ((200, [1, 2, 3, 308, 309]), (4, [2, 3, 308, 309])):
+        vehicles, scored = identity.resolved(obs, lambda pairs: identity.scored(pairs, paths, base), limit=limit)
+        assert sorted(r.p_event_id for r in scored.where("event_id = 999").collect()) == want
+        assert vehicles.select("vehicle").distinct().count() == 6
+
+
+def test_pairs_to_begin_with_are_the_newest_and_those_of_a_plate(spark):
+    rows = [(i, False, float(10 * i), "AB"[i % 2]) for i in range(40)]
     obs = spark.createDataFrame(rows, "event_id long, scope boolean, t double, plate string")
-    found = identity.candidates(obs).where("event_id = 999").collect()
-    assert sorted(r.p_event_id for r in found) == [1, 2, 3, 308, 309]
-    assert sorted(r.p_event_id for r in identity.candidates(obs, limit=4).where("event_id = 999").collect()) == [2, 3, 308, 309]
-    again = identity.candidates(obs).where("event_id = 309").collect()
-    assert sorted(r.p_event_id for r in again) == [1, 2, 3, 299, 301, 303, 305, 307, 308]  # five back with its plate
-
-
-def test_identity_queries_score_five_candidates_of_a_plate(spark, small):
-    from kerbline.plans import travel
-
-    rows = travel._identity_rows(spark, small)
-    want = {(r.event_id, r.p_event_id) for r in identity.candidates(rows, same_plate=identity.SAME_PLATE).collect()}
-    assert {(r.event_id, r.p_event_id) for r in travel.id_score(spark, small).collect()} == want
+    found = identity.candidate_ids(obs, window_s=100, limit=3).where("event_id = 39").collect()
+    assert {(r.p_event_id, r.near) for r in found} == {(38, True), (37, True), (36, True), (35, False), (33, False), (31, False), (29, False)}
 
 
 def test_pseudonym_and_event_filters_find_rows(spark, small):
