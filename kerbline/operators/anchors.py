@@ -50,19 +50,34 @@ def passages_in_window(obs: DataFrame, keys: list[str], window_s: float, apart_s
     span = F.floor(F.col("t") / float(window_s))
     rows = obs.withColumn("_own", span).withColumn("_span", F.explode(F.array(span, span + 1)))
 
+    window, apart = round(window_s * 1e6), round(apart_s * 1e6)
+
+    def counted(run: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        """All groups of a run at once: in whole microseconds, each so far from the next that none looks into it."""
+        t = np.rint(run["t"].to_numpy() * 1e6).astype(np.int64)
+        t += group * (4 * (window + apart)) - t[np.unique(group, return_index=True)[1]][group]
+        at, last = np.searchsorted(t, t - window), np.searchsorted(t, t, side="right") - 1
+        passages = np.ones(len(t), np.int32)
+        tables = _doubled(np.searchsorted(t, t + apart), window // apart + 1)
+        for k in reversed(range(len(tables))):
+            to = tables[k][at]
+            within = to <= last
+            passages += within.astype(np.int32) << k
+            at = np.where(within, to, at)
+        own = (run["_own"] == run["_span"]).to_numpy()
+        return run.loc[own, names].assign(passages=passages[own])
+
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _whole_groups(batches, [*keys, "_span"]):
-            t = group["t"].to_numpy()
-            at, last = np.searchsorted(t, t - window_s), np.searchsorted(t, t, side="right") - 1
-            passages = np.ones(len(t), np.int32)
-            tables = _doubled(np.searchsorted(t, t + apart_s), int(window_s // apart_s) + 1)
-            for k in reversed(range(len(tables))):
-                to = tables[k][at]
-                within = to <= last
-                passages += within.astype(np.int32) << k
-                at = np.where(within, to, at)
-            own = (group["_own"] == group["_span"]).to_numpy()
-            yield group.loc[own, names].assign(passages=passages[own])
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            group = held.groupby([*keys, "_span"], sort=False, dropna=False).ngroup().to_numpy()
+            if len(group) and group[-1]:  # the last group may go on in the next batch
+                whole = group < group[-1]
+                yield counted(held[whole], group[whole])
+                held = held[~whole].reset_index(drop=True)
+        if held is not None and len(held):
+            yield counted(held, np.zeros(len(held), np.int64))
 
     return rows.repartition(*keys, "_span").sortWithinPartitions(*keys, "_span", "t").mapInPandas(task, f"{schema}, passages int")
 
