@@ -115,7 +115,8 @@ def vehicle_summary(points: DataFrame) -> DataFrame:
 def replay_timeline(points: DataFrame, cap_s: float) -> DataFrame:
     """Virtual seconds of each sighting when gaps are cut to ``cap_s``, and whether its leg bridges a journey break."""
     by = Window.partitionBy("vehicle_id").orderBy("seq")
-    leg = F.coalesce(F.least(F.col("t") - F.lag("t").over(by), F.lit(float(cap_s))), F.lit(0.0))
+    gap = F.col("t") - F.lag("t").over(by)
+    leg = F.when(gap.isNull(), 0.0).otherwise(F.least(gap, F.lit(float(cap_s))))  # the least of a null and a number is the number
     out = points.withColumn("leg_s", leg).withColumn("is_break", F.coalesce(F.col("journey_index") != F.lag("journey_index").over(by), F.lit(False)))
     return out.withColumn("virtual_s", F.sum("leg_s").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 

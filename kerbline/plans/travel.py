@@ -257,13 +257,13 @@ def id_vehicle_upsert(spark, sf_dir):
     return journeys.vehicle_summary(points)
 
 
-@query(T.with_("obs", "points") + """, legs AS (SELECT *, coalesce(least(t - lag(t) OVER w, 3600), 0) AS leg_s, coalesce(journey_index <> lag(journey_index) OVER w, false) AS is_break FROM points WINDOW w AS (PARTITION BY vehicle_id ORDER BY seq))
+@query(T.with_("obs", "points") + """, legs AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL THEN 0 ELSE least(t - lag(t) OVER w, 3600) END AS leg_s, coalesce(journey_index <> lag(journey_index) OVER w, false) AS is_break FROM points WINDOW w AS (PARTITION BY vehicle_id ORDER BY seq))
 SELECT event_id, is_break, round(sum(leg_s) OVER (PARTITION BY vehicle_id ORDER BY seq), 3) AS virtual_s FROM legs""")
 def win_timeline(spark, sf_dir):
     return journeys.replay_timeline(T.trajectory(spark, sf_dir), 3600).select("event_id", "is_break", F.round("virtual_s", 3).alias("virtual_s"))
 
 
-@query(T.with_("obs", "cameras", "points") + """, legs AS (SELECT *, coalesce(least(t - lag(t) OVER w, 3600), 0) AS leg_s FROM points WINDOW w AS (PARTITION BY vehicle_id ORDER BY seq)),
+@query(T.with_("obs", "cameras", "points") + """, legs AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL THEN 0 ELSE least(t - lag(t) OVER w, 3600) END AS leg_s FROM points WINDOW w AS (PARTITION BY vehicle_id ORDER BY seq)),
 timeline AS (SELECT vehicle_id, seq, sum(leg_s) OVER (PARTITION BY vehicle_id ORDER BY seq) AS v0, latitude AS lat0, longitude AS lon0 FROM legs JOIN cameras USING (camera_id)),
 spans AS (SELECT *, lead(v0) OVER w AS v1, lead(lat0) OVER w AS lat1, lead(lon0) OVER w AS lon1 FROM timeline WINDOW w AS (PARTITION BY vehicle_id ORDER BY seq)),
 asked AS (SELECT DISTINCT vehicle_id, unnest([1800.0::DOUBLE, 36000.0, 90000.5]) AS v FROM obs)
