@@ -24,7 +24,7 @@ def query(sql: str | None = None, deferred: Callable[[], str] | None = None) ->
 
 
 def queries() -> dict[str, Callable]:
-    from kerbline.plans import evidence, further, lookups, roads, rules, streams, text, traffic, travel  # noqa: F401  they register themselves
+    from kerbline.plans import evidence, further, keeping, lookups, roads, rules, streams, text, traffic, travel  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 
