@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +30,29 @@ def _doubled(following: np.ndarray, most: int) -> list[np.ndarray]:
     return tables
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of each key, of batches in which they stand together."""
-    held: pd.DataFrame | None = None
+def _far(t: np.ndarray, begin: np.ndarray, end: np.ndarray, since: np.ndarray, apart_s: float, after: bool) -> np.ndarray:
+    """For each time of ``since`` the first row from ``begin`` to before ``end`` that is far enough from it; ``end`` if none is."""
+    low, high = begin.copy(), end.copy()
+    while len(wide := np.flatnonzero(low < high)):
+        middle = (low[wide] + high[wide]) // 2
+        gap = t[middle] - since[wide]
+        far = gap > apart_s if after else gap >= apart_s
+        high[wide[far]], low[wide[~far]] = middle[far], middle[~far] + 1
+    return low
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Each batch of rows in order with its times, where its groups begin and end, and whether the first group began before it."""
+    before = None
     for batch in batches:
-        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        groups = [x for _, x in held.groupby(keys, sort=False, dropna=False)]
-        yield from groups[:-1]
-        held = groups[-1] if groups else None
-    if held is not None:
-        yield held
+        if not batch.num_rows:
+            continue
+        columns, new = [batch.column(k) for k in keys], np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            new |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        begins = np.append(0, np.flatnonzero(new) + 1)
+        yield batch, batch.column("t").to_numpy(zero_copy_only=False), begins, np.append(begins[1:], batch.num_rows), before == [c[0].as_py() for c in columns]
+        before = [c[-1].as_py() for c in columns]
 
 
 def passages_in_window(obs: DataFrame, keys: list[str], window_s: float, apart_s: float) -> DataFrame:
@@ -87,56 +102,92 @@ def anchored(obs: DataFrame, keys: list[str], apart_s: float, after: bool = Fals
 
     A time is kept that is ``apart_s`` after the last one kept, or with ``after`` more than that. A stretch of time works out
     by itself, for each of its rows that may be its first anchor, where the anchors from there end. These rows, a small part
-    of all, are put together in order, which tells each stretch its first anchor; then it marks its rows.
+    of all, are put together in order, which tells each stretch the last anchor before it; then it marks its rows. All groups
+    of a batch are worked out at once, and a group that goes on in the next is handed on by its anchors alone. A row without a
+    time or one of its keys has no place and is not in the result.
     """
     names, schema = obs.columns, ", ".join(f"`{c}` {t}" for c, t in obs.dtypes)
-    width, side = float(apart_s) * STRETCH, "right" if after else "left"
-    rows = obs.withColumn("stretch", F.floor(F.col("t") / width))
+    width = float(apart_s) * STRETCH
+    rows = obs.dropna(subset=[*keys, "t"]).withColumn("stretch", F.floor(F.col("t") / width))
     groups = [*keys, "stretch"]
     key_schema = ", ".join(f"{c} {t}" for c, t in rows.select(*groups).dtypes)
 
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _whole_groups(batches, groups):
-            t = group["t"].to_numpy()
+    def steps(t: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        end = np.repeat(ends, ends - begins)
+        following = _far(t, np.arange(1, len(t) + 1), end, t, apart_s, after)
+        return _doubled(np.where(following < end, following, len(t)), STRETCH + 1)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each group, of its possible first anchors those up to ``first`` that lead to the same ``last``."""
+        told = lambda of, first, last: pa.RecordBatch.from_arrays([*of.columns, pa.array(first), pa.array(last)], names=[*groups, "first", "last"])
+        key, first, last, latest = None, np.empty(0), np.empty(0), None  # of the group that may go on
+        for batch, t, begins, stops, goes_on in _grouped(batches, groups):
+            if not goes_on:
+                if key is not None:
+                    yield told(key.take(pa.array(np.zeros(len(first), np.int64))), first, last)
+                first, last = np.empty(0), np.empty(0)
             # The last anchor before is older than the stretch: its first is of those within ``apart_s`` of its begin, or the next row.
-            firsts = np.unique(t, return_index=True)[1]
-            firsts = firsts[: np.searchsorted(t[firsts], group["stretch"].iat[0] * width + apart_s) + 1]
-            at = firsts.copy()
-            for table in reversed(_doubled(np.searchsorted(t, t + apart_s, side=side), STRETCH + 1)):
-                at = np.where(table[at] < len(t), table[at], at)
-            yield group.iloc[firsts][groups].assign(first=t[firsts], last=t[at])
+            earlier = np.append(-np.inf, t[:-1])
+            earlier[begins] = -np.inf
+            if goes_on:
+                earlier[0] = latest
+            own = np.flatnonzero((t > earlier) & (earlier < batch.column("stretch").to_numpy() * width + apart_s))
+            going = _far(t, np.zeros(len(last), np.int64), np.full(len(last), stops[0]), last, apart_s, after)
+            at = np.append(np.where(going < stops[0], going, -1), own)
+            moved = np.flatnonzero(at >= 0)
+            for table in reversed(steps(t, begins, stops)):
+                to = table[at[moved]]
+                at[moved] = np.where(to < len(t), to, at[moved])
+            reached = np.append(last, t[own])
+            reached[moved] = t[at[moved]]
+            of = np.append(np.zeros(len(first), np.int64), np.searchsorted(begins, own, side="right") - 1)
+            only = np.append((of[1:] != of[:-1]) | (reached[1:] != reached[:-1]), True)
+            of, first, last = of[only], np.append(first, t[own])[only], reached[only]
+            whole, table = of < len(begins) - 1, batch.select(groups)
+            yield told(table.take(pa.array(begins[of[whole]])), first[whole], last[whole])
+            key, first, last, latest = table.slice(begins[-1], 1), first[~whole], last[~whole], t[-1]
+        if key is not None:
+            yield told(key.take(pa.array(np.zeros(len(first), np.int64))), first, last)
 
     def begun(key: tuple, state: dict, row: object) -> list:
         out = []
         if row.stretch != state["stretch"]:
             out = done(key, state)
-            state |= {"stretch": row.stretch, "first": None, "before": state["last"]}
+            state |= {"stretch": row.stretch, "begun": False, "before": state["last"]}
         gap = float("inf") if state["before"] is None else row.first - state["before"]
-        if state["first"] is None and (gap > apart_s or (gap == apart_s and not after)):
-            state |= {"first": row.first, "last": row.last}
+        if not state["begun"] and (gap > apart_s or (gap == apart_s and not after)):
+            state |= {"begun": True, "last": row.last}
         return out
 
     def done(key: tuple, state: dict) -> list:
-        return [] if state["stretch"] is None else [(*key, state["stretch"], state["first"], state["before"])]
-
-    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _whole_groups(batches, groups):
-            t = group["t"].to_numpy()
+        return [] if state["stretch"] is None else [(*key, state["stretch"], state["before"])]
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A group begins with the row that tells the last anchor before it and has no time."""
+        since = np.empty(0)
+        for batch, t, begins, stops, goes_on in _grouped(batches, groups):
+            before, row = batch.column("_before").to_numpy(zero_copy_only=False)[begins], ~np.isnan(t)
+            handed, since = since, np.where(np.isnan(before), -np.inf, before)
+            if goes_on:
+                since[0] = handed[-1]
             kept = np.zeros(len(t) + 1, bool)
-            if not np.isnan(first := group["first"].iat[0]):
-                kept[np.searchsorted(t, first)] = True
-                for table in _doubled(np.searchsorted(t, t + apart_s, side=side), STRETCH + 1):
-                    kept[table[np.flatnonzero(kept)]] = True
+            first = _far(t, begins + ~row[begins], stops, since, apart_s, after)
+            kept[first[first < stops]] = True
+            for table in steps(t, begins, stops):
+                kept[table[np.flatnonzero(kept)]] = True
             kept = kept[:-1]
-            at = np.maximum.accumulate(np.where(kept, np.arange(len(t)), -1))
-            anchor = np.where(at >= 0, t[at], group["before"].to_numpy(float))
-            yield group[names].assign(anchor=anchor, kept=kept)
-
-    parts = rows.select(*groups, "t").repartition(*groups).sortWithinPartitions(*groups, "t").mapInPandas(ends, f"{key_schema}, first double, last double")
-    start = lambda _: {"stretch": None, "first": None, "last": None, "before": None}
-    told = folded(parts, keys, ["stretch", "first"], start, begun, done, f"{key_schema}, first double, before double")
-    joined = rows.join(told, groups).repartition(*groups).sortWithinPartitions(*groups, "t", *[c for c in ("event_id",) if c in obs.columns])
-    return joined.mapInPandas(marked, f"{schema}, anchor double, kept boolean")
+            at, size = np.maximum.accumulate(np.where(kept, np.arange(len(t)), -1)), stops - begins
+            anchor = np.where(at >= np.repeat(begins, size), t[at], np.repeat(since, size))
+            since[-1] = anchor[-1]
+            out = pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(anchor), pa.array(kept)], names=[*names, "anchor", "kept"])
+            yield out.filter(pa.array(row))
+
+    parts = rows.select(*groups, "t").repartition(*groups).sortWithinPartitions(*groups, "t").mapInArrow(ends, f"{key_schema}, first double, last double")
+    start = lambda _: {"stretch": None, "begun": False, "last": None, "before": None}
+    told = folded(parts, keys, ["stretch", "first"], start, begun, done, f"{key_schema}, _before double")
+    both = rows.unionByName(told, allowMissingColumns=True)
+    ordered = both.repartition(*groups).sortWithinPartitions(*groups, F.col("t").asc_nulls_first(), *[c for c in ("event_id",) if c in names])
+    return ordered.mapInArrow(marked, f"{schema}, anchor double, kept boolean")
 
 
 def passages(obs: DataFrame, keys: list[str], seconds: float) -> DataFrame:

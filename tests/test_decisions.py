@@ -417,6 +417,52 @@ def test_a_hot_key_is_dealt_to_many_tasks(spark):
     assert anchors.passages(obs, ["camera_id"], 10.0).collect() == [("a", 40_000, 20_000)]
 
 
+@pytest.mark.parametrize("after", [False, True])
+def test_anchors_of_groups_that_go_on_in_other_batches(spark, after):
+    """However few rows a batch has, a group's anchors are those of one row after another; other columns stay as they are."""
+    rng = random.Random(21)
+    times = [float(rng.randrange(-200, 4000 if rng.random() < 0.7 else 40_000)) / 2 for _ in range(500)] + [640.0] * 40
+    rows = [(rng.choice("aab"), rng.choice([7, 7, 2**60 + 1, *range(30)]), t, i, rng.choice([None, 2**53 + 1])) for i, t in enumerate(times)]
+    odd = [(None, 7, 5.0, 9000, None), ("a", None, 5.0, 9001, None), ("a", 7, None, 9002, 1)]
+    obs = spark.createDataFrame(rows + odd, "camera_id string, vehicle_id long, t double, event_id long, votes long").repartition(5)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for apart in (10.0, 0.5):
+            want, last = {}, {}
+            for r in sorted(rows, key=lambda r: (r[2], r[3])):
+                gap = r[2] - last.get(r[:2], -math.inf)
+                kept = gap > apart or (gap == apart and not after)
+                last[r[:2]] = r[2] if kept else last[r[:2]]
+                want[r[3]] = (*r, last[r[:2]], kept)
+            for rows_of_a_batch in (1, 16):
+                spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_of_a_batch)
+                found = anchors.anchored(obs, ["camera_id", "vehicle_id"], apart, after).collect()
+                assert len(found) == len(rows) and {r.event_id: tuple(r) for r in found} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+@pytest.mark.parametrize("name", ["win_min_separation"])
+def test_groups_of_a_batch_are_worked_out_at_once(spark, small, tmp_path, monkeypatch, name):
+    """Python hands back a few batches, and not one for each vehicle at a camera, which took some milliseconds each."""
+    events = spark.read.parquet(f"{small}/events.parquet").withColumn("user_id", F.explode(F.array(*[F.col("user_id") + 15 * i for i in range(8)])))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    made, frame = spark.sparkContext.accumulator(0), type(events)
+
+    def counted(task):
+        def told(batches):
+            for x in task(batches):
+                made.add(1)
+                yield x
+
+        return told
+
+    for of in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(frame, of, lambda self, task, *a, f=getattr(frame, of), **b: f(self, counted(task), *a, **b))
+    assert len(registry.queries()[name](spark, str(tmp_path)).collect()) == 600
+    assert 0 < made.value < 300
+
+
 def test_medians_of_a_hot_key_and_of_odd_values(spark):
     rng = np.random.default_rng(5)
     values = {"hot": rng.lognormal(3, 2, 20_001), "even": rng.normal(0, 50, 5_000), "one": np.array([7.5]), "two": np.array([-1.0, 4.0]), "same": np.full(999, 3.25), "close": 1e6 + rng.integers(0, 50, 3_000) / 64, "signs": np.array([-3.0, -3.0, -0.0, 0.0, 2.0, 2.0]), "large": np.array([1e300, -1e300, 5e-324])}
