@@ -442,7 +442,7 @@ def test_anchors_of_groups_that_go_on_in_other_batches(spark, after):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
 
 
-@pytest.mark.parametrize("name", ["win_min_separation"])
+@pytest.mark.parametrize("name", ["win_min_separation", "win_fragment"])
 def test_groups_of_a_batch_are_worked_out_at_once(spark, small, tmp_path, monkeypatch, name):
     """Python hands back a few batches, and not one for each vehicle at a camera, which took some milliseconds each."""
     events = spark.read.parquet(f"{small}/events.parquet").withColumn("user_id", F.explode(F.array(*[F.col("user_id") + 15 * i for i in range(8)])))
